@@ -51,6 +51,10 @@ def avg_if(cond: Column, value: Column) -> Column:
     return F.avg(F.when(cond, value))
 
 
-def compact_structs(*cands: Column) -> Column:
-    """Array of the non-null structs among ``cands`` (one row per fired rule)."""
-    return F.filter(F.array(*cands), lambda x: x.isNotNull())
+def explode_fired(df: DataFrame, keep: list, cands: list[Column], name: str = "a") -> DataFrame:
+    """One row per non-null struct among ``cands`` (one row per fired rule).
+
+    ``explode`` + null filter rather than a higher-order ``filter``, so the
+    candidates may reference scalar subqueries (``as_of``).
+    """
+    return df.select(*keep, F.explode(F.array(*cands)).alias(name)).where(F.col(name).isNotNull())

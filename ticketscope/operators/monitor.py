@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from ticketscope.constants import ALERT_COOLDOWN_MINUTES, MONITOR_THRESHOLDS
-from ticketscope.operators._util import as_of_col, compact_structs, hours, minutes, safe_div
+from ticketscope.operators._util import as_of_col, explode_fired, hours, minutes, safe_div
 
 
 def _pct(col: Column, q, exact: bool) -> Column:
@@ -114,7 +114,7 @@ def degradation_alerts(pair: DataFrame, th: dict | None = None) -> DataFrame:
     # formatter breaks exact ties
     snap = lambda x: F.round(x * 1048576.0) / 1048576.0
     pct = lambda x: F.format_string("%.2f%%", F.round(snap(x) * 10000) / 100)
-    alerts = compact_structs(
+    alerts = [
         alert(acc_drop > th["accuracy_drop"], "accuracy_degradation",
               F.when(acc_drop > 0.1, F.lit("high")).otherwise(F.lit("medium")), "accuracy",
               F.col("cur_acc"), F.col("base_acc") - th["accuracy_drop"],
@@ -130,10 +130,10 @@ def degradation_alerts(pair: DataFrame, th: dict | None = None) -> DataFrame:
         alert(err_inc > th["error_rate_increase"], "error_rate_increase", F.lit("high"), "error_rate",
               F.col("cur_err"), F.col("base_err") + th["error_rate_increase"],
               F.concat(F.lit("Error rate increased by "), pct(err_inc), F.lit(" from baseline"))),
-    )
+    ]
     keep = [c for c in pair.columns if c in ("model_name", "check_ts")]
-    return (pair.where((F.col("cur_n") > 0) & (F.col("base_n") > 0))
-            .select(*keep, F.explode(alerts).alias("a")).select(*keep, "a.*"))
+    fired = explode_fired(pair.where((F.col("cur_n") > 0) & (F.col("base_n") > 0)), keep, alerts)
+    return fired.select(*keep, "a.*")
 
 
 def mon_degradation(preds: DataFrame, *, as_of=None, current_hours: float = 1,
