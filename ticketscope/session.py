@@ -24,6 +24,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = (
         SparkSession.builder.master(master).appName(app_name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(parts))
