@@ -56,3 +56,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+
+    Used where one intermediate feeds two branches of a plan and must be
+    identical in both (e.g. partition-id dependent running totals): a
+    recomputation could pick different range bounds. ``checkpoint`` writes
+    to ``spark.checkpoint.dir``, so it also survives executor loss.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
