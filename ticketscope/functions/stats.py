@@ -13,6 +13,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _EPS = 1e-15
 _FPMIN = 1e-300
@@ -111,12 +112,12 @@ def t_two_sided_p(t: float, df: float) -> float:
     return betainc(df / 2.0, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf_udf(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([chi2_sf(a, b) for a, b in zip(x, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided_p(a, b) for a, b in zip(t, df)], dtype="float64")
 

@@ -174,7 +174,7 @@ def v_drift(spark, sf_dir, side: str, shifted: bool = False):
 def v_ab_log(spark, sf_dir):
     p = v_predictions(spark, sf_dir)
     return p.where(F.col("model_name").isin("m0", "m1")).select(
-        F.col("model_name").alias("version_id"), F.col("ts"),
+        F.col("id"), F.col("model_name").alias("version_id"), F.col("ts"),
         F.create_map(F.lit("confidence"), F.col("confidence"),
                      F.lit("latency_ms"), F.col("latency_ms")).alias("metrics"))
 
@@ -335,7 +335,7 @@ SQL_VIEWS: dict[str, str] = {
                event_type AS label, props AS text
         FROM events WHERE ts >= TIMESTAMP '{DRIFT_SPLIT}'""",
     "v_ab_log": """
-        SELECT model_name AS version_id, ts, confidence, latency_ms
+        SELECT id, model_name AS version_id, ts, confidence, latency_ms
         FROM v_predictions WHERE model_name IN ('m0', 'm1')""",
     "v_requests": """
         SELECT CAST(event_id AS VARCHAR) AS request_id, ts FROM events""",
