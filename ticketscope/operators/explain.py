@@ -115,38 +115,47 @@ def ex_counterfactual(candidates: DataFrame, model, *, id_col: str, target_col:
     return hit.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_out).drop("_r")
 
 
-def ex_local_surrogate(df: DataFrame, predict_proba, *, id_col: str, text_col: str, n_samples: int = 500,
+def ex_local_surrogate(df: DataFrame, predict_tokens, *, id_col: str, tokens_col: str, n_samples: int = 500,
                        top_k: int = 10, seed: int = 42) -> DataFrame:
     """Local linear explanation per document (LIME-style), as a batch job.
 
-    Perturbations are generated by Spark (``explode(sequence(1, n))`` with
-    hash masks over word positions), scored by ``predict_proba`` (a function
-    DataFrame -> DataFrame adding ``p``), and a weighted least-squares fit per
-    document runs in ``applyInPandas`` on (n_samples x words) - bounded by
-    the sample count and one document's length.
+    Features are the document's distinct words. Perturbation ``s`` drops
+    every occurrence of a word when ``xxhash64(doc, s, word)`` is odd
+    (sample 1 keeps everything), so no per-sample text is re-parsed: the
+    kept token array goes straight to ``predict_tokens`` (DataFrame with
+    ``toks_kept`` -> DataFrame with ``p``). A weighted least-squares fit per
+    document runs in ``applyInPandas`` on an (n_samples x distinct words)
+    matrix: bounded by the sample count and one document's vocabulary.
     """
     import numpy as np
     import pandas as pd
 
-    toks = df.select(F.col(id_col).alias("doc_id"), F.split(F.col(text_col), " ").alias("toks"))
-    s = toks.select("doc_id", "toks", F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("sample"))
-    mask = F.transform("toks", lambda t, i: (F.abs(F.xxhash64("doc_id", "sample", i, F.lit(seed))) % 2 == 0)
-                       | (F.col("sample") == 1))
-    s = s.withColumn("mask", mask).withColumn(
-        "text", F.array_join(F.filter(F.arrays_zip("toks", "mask"), lambda z: z["mask"]).getField("toks"), " "))
-    scored = predict_proba(s)
+    base = df.select(F.col(id_col).alias("doc_id"), F.col(tokens_col).alias("toks"))
+    base = base.withColumn("words", F.array_distinct("toks"))
+    s = base.select("doc_id", "toks", "words", F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("sample"))
+
+    def keep(w):
+        return (F.col("sample") == 1) | (F.pmod(F.xxhash64(F.col("doc_id"), F.col("sample"), w, F.lit(seed)), F.lit(2)) == 0)
+
+    s = s.withColumn("mask", F.transform("words", keep)).withColumn("toks_kept", F.filter("toks", keep))
+    scored = predict_tokens(s.drop("toks"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        toks_ = list(pdf["toks"].iloc[0])
         X = np.array([np.asarray(m, dtype=float) for m in pdf["mask"]])
+        if X.ndim != 2 or X.shape[1] == 0:
+            return pd.DataFrame({"doc_id": pd.Series([], dtype="int64"), "pos": pd.Series([], dtype="int32"),
+                                 "weight": pd.Series([], dtype="float64")})
         y = pdf["p"].to_numpy(dtype=float)
         dist = 1.0 - X.mean(axis=1)
         w = np.sqrt(np.exp(-(dist ** 2) / 0.25 ** 2))
         Xw = np.hstack([X, np.ones((len(X), 1))]) * w[:, None]
         coef, *_ = np.linalg.lstsq(Xw, y * w, rcond=None)
-        order = np.argsort(-np.abs(coef[:-1]))[:top_k]
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "word": [toks_[i] for i in order],
-                             "weight": [float(coef[i]) for i in order]})
-
-    return scored.select("doc_id", "toks", "mask", "p").groupBy("doc_id").applyInPandas(
-        fit, "doc_id long, word string, weight double")
+        order = np.argsort(-np.abs(coef[:-1]), kind="stable")[:top_k]
+        return pd.DataFrame({"doc_id": np.full(len(order), pdf["doc_id"].iloc[0], dtype="int64"),
+                             "pos": order.astype("int32"), "weight": coef[order].astype("float64")})
+
+    fitted = scored.select("doc_id", "mask", "p").groupBy("doc_id").applyInPandas(
+        fit, "doc_id long, pos int, weight double")
+    # words travel once per document, joined back by position
+    return fitted.join(base.select("doc_id", "words"), "doc_id").select(
+        "doc_id", F.element_at("words", F.col("pos") + 1).alias("word"), "weight")

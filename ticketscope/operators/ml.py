@@ -52,7 +52,7 @@ def ml_train_pipeline(df: DataFrame, *, text_col: str = "customer_message", labe
     d = txt_preprocess(df, text_col=text_col).where(F.length("processed_text") > 0)
     d = d.where(F.col(label_col).isNotNull())
     feats = Pipeline(stages=[
-        StringIndexer(inputCol=label_col, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"),
+        StringIndexer(inputCol=label_col, outputCol="label", stringOrderType="alphabetAsc"),
         RegexTokenizer(inputCol="processed_text", outputCol="_tok", pattern=TOKEN2_RE, gaps=False),
         StopWordsRemover(inputCol="_tok", outputCol="_tok2", stopWords=list(default_stopwords())),
         CountVectorizer(inputCol="_tok2", outputCol="_tf", vocabSize=max_features),
@@ -76,6 +76,21 @@ def model_labels(model: PipelineModel) -> list[str]:
     return list(model.stages[-1].getLabels())
 
 
+def token_stages(model: PipelineModel) -> PipelineModel:
+    """The fitted stages after stop-word removal (counts -> ... -> label), fed
+    with a token array column ``_tok2``; lets callers score token arrays
+    without re-running text preprocessing."""
+    idx = next(i for i, st in enumerate(model.stages) if st.__class__.__name__ == "CountVectorizerModel")
+    return PipelineModel(stages=model.stages[idx:])
+
+
+def model_tokens(model: PipelineModel, df: DataFrame, *, text_col: str) -> DataFrame:
+    """df + ``_tok2`` (preprocessed, tokenised, stop words removed) using the model's own stages."""
+    idx = next(i for i, st in enumerate(model.stages) if st.__class__.__name__ == "CountVectorizerModel")
+    pre = PipelineModel(stages=[st for st in model.stages[:idx] if st.__class__.__name__ != "StringIndexerModel"])
+    return pre.transform(txt_preprocess(df, text_col=text_col))
+
+
 def ml_predict_batch(model: PipelineModel, df: DataFrame, *, text_col: str = "customer_message",
                      with_prob_columns: bool = True) -> DataFrame:
     """Category, confidence (max probability), processed text, probability map and

@@ -207,15 +207,17 @@ reg("ex_counterfactual", _counterfactual)
 
 
 def _surrogate(s, sf):
+    from pyspark.ml.functions import vector_to_array
     from ticketscope.operators.explain import ex_local_surrogate
     m = _model(s, sf, "logistic_regression")
+    toks = ML.model_tokens(m, _tickets(s, sf).select("ticket_id", "customer_message"), text_col="customer_message")
+    scorer = ML.token_stages(m)
 
-    def proba(df):
-        out = ML.ml_predict_batch(m, df.withColumnRenamed("text", "customer_message"), with_prob_columns=False)
-        return out.withColumn("p", F.col("confidence"))
+    def predict_tokens(df):
+        out = scorer.transform(df.withColumnRenamed("toks_kept", "_tok2"))
+        return out.withColumn("p", F.array_max(vector_to_array("probability")))
 
-    return ex_local_surrogate(_tickets(s, sf).select("ticket_id", "customer_message"), proba,
-                              id_col="ticket_id", text_col="customer_message", n_samples=500)
+    return ex_local_surrogate(toks, predict_tokens, id_col="ticket_id", tokens_col="_tok2", n_samples=500)
 
 
 reg("ex_local_surrogate", _surrogate)
