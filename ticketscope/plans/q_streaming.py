@@ -1,5 +1,287 @@
-"""Registered queries."""
+"""Streaming queries. Each registered callable runs a Structured Streaming
+query to completion (``availableNow``) over the given tables used as a file
+stream, then returns the sink's table; the batch twins are oracle-checked."""
 
-from ticketscope.plans.registry import Query  # noqa: F401
+from __future__ import annotations
 
-QUERIES: list = []
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from ticketscope.operators import monitor as M
+from ticketscope.operators.drift import running_totals
+from ticketscope.plans.fixtures import spark_view
+from ticketscope.plans.registry import Query
+from ticketscope.streaming import pipeline as P
+
+Q = []
+
+
+def reg(name, fn, sql=None, views=(), dbl=()):
+    Q.append(Query(name, fn, sql, list(views), tuple(dbl)))
+
+
+def _fresh(s, name):
+    return P.scratch(s, f"stream-{name}-{uuid.uuid4().hex}")
+
+
+def _events_stream(s, sf, files: int = 4):
+    """events as a file stream: staged into a folder of ``files`` files (the
+    file source reads directories), one file per micro-batch."""
+    stage = _fresh(s, "events")
+    s.read.parquet(f"{sf}/events.parquet").repartition(files).write.parquet(stage)
+    schema = s.read.parquet(stage).schema
+    return s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(stage)
+
+
+def _fixture_scorer(df):
+    """The fixture's classifier: the same derivation as v_predictions."""
+    k = F.get_json_object("props", "$.k").cast("double") / F.lit(100.0)
+    pred = F.when(F.col("event_type") == "error", F.lit("Error")).otherwise(F.col("event_type"))
+    return df.select(F.col("event_id").alias("ticket_id"), "ts", pred.alias("predicted_category"),
+                     k.alias("confidence"), F.col("value").alias("processing_time_ms"))
+
+
+def _classify(s, sf):
+    base = _fresh(s, "classify")
+    q = P.run_classification_stream(s, _events_stream(s, sf), _fixture_scorer, out_path=base,
+                                    checkpoint=os.path.join(base, "_checkpoint"), order=["ts", "ticket_id"])
+    q.awaitTermination()
+    return s.read.parquet(os.path.join(base, "results")).select(
+        "ticket_id", "predicted_category", "confidence", "escalation_required")
+
+
+reg("st_classify", _classify,
+    "SELECT id AS ticket_id, predicted_class AS predicted_category, confidence, confidence < 0.5 AS escalation_required "
+    "FROM v_predictions", ["v_predictions"], ["confidence"])
+
+
+def _callbacks(s, sf):
+    base = _fresh(s, "callbacks")
+    seen = []
+    q = P.run_classification_stream(s, _events_stream(s, sf), _fixture_scorer, out_path=base,
+                                    checkpoint=os.path.join(base, "_checkpoint"),
+                                    callbacks=[lambda df, bid: seen.append(bid)])
+    q.awaitTermination()
+    mon = s.read.parquet(os.path.join(base, "monitor"))
+    return mon.agg(F.sum("n").alias("processed"), F.countDistinct("batch_id").alias("batches"))
+
+
+reg("st_callbacks", _callbacks)
+
+
+def _twin(s, sf):
+    """Batch twin of the micro-batcher: global event order, 10 rows per batch."""
+    e = _fixture_scorer(s.read.parquet(f"{sf}/events.parquet"))
+    e = e.withColumn("_k", F.lit(0)).withColumn("_o", F.struct("ts", "ticket_id"))
+    r = running_totals(e.withColumn("_one", F.lit(1.0)), key="_k", order="_o", cols=["_one"])
+    return r.withColumn("batch", F.floor((F.col("rank") - 1) / 10)).drop("_k", "_o", "_one", "cum__one")
+
+
+TWIN_SQL = """tw AS (SELECT id AS ticket_id, ts, confidence, latency_ms AS processing_time_ms,
+                         floor((row_number() OVER (ORDER BY ts, id) - 1) / 10) AS batch FROM v_predictions),
+mon AS (SELECT batch, count(*) AS n, avg(confidence) AS avg_confidence, avg(processing_time_ms) AS avg_processing_time_ms,
+               avg(CAST(confidence < 0.7 AS INTEGER)) AS low_confidence_rate FROM tw GROUP BY batch)"""
+
+
+def _microbatch(s, sf):
+    return P.batch_monitor(_twin(s, sf), batch_col="batch")
+
+
+reg("st_microbatch", _microbatch,
+    f"WITH {TWIN_SQL} SELECT *, n >= 5 AND low_confidence_rate > 0.3 AS drift_detected FROM mon",
+    ["v_predictions"], ["avg_confidence", "avg_processing_time_ms", "low_confidence_rate"])
+reg("st_batch_monitor", lambda s, sf: _microbatch(s, sf).agg(F.count("*").alias("batches"),
+                                                             F.avg("avg_confidence").alias("mean_batch_confidence")),
+    f"WITH {TWIN_SQL} SELECT count(*) AS batches, avg(avg_confidence) AS mean_batch_confidence FROM mon",
+    ["v_predictions"], ["mean_batch_confidence"])
+
+
+def _batch_drift(s, sf):
+    t = _twin(s, sf)
+    f = P.flag_drift(t, P.batch_monitor(t, batch_col="batch"), batch_col="batch", order=["ts", "ticket_id"])
+    return f.where("drift_detected").select("batch", "ticket_id")
+
+
+reg("st_batch_drift", _batch_drift,
+    f"""WITH {TWIN_SQL},
+    r AS (SELECT batch, ticket_id, row_number() OVER (PARTITION BY batch ORDER BY ts DESC, ticket_id DESC) AS r FROM tw)
+    SELECT r.batch, r.ticket_id FROM r JOIN mon USING (batch)
+    WHERE n >= 5 AND low_confidence_rate > 0.3 AND r.r <= 5""", ["v_predictions"])
+
+
+def _cooldown_stream(s, sf):
+    from ticketscope.plans.q_monitor import q_checks
+    base = _fresh(s, "cooldown")
+    alerts = q_checks(s, sf)
+    alerts.write.parquet(os.path.join(base, "alerts"))
+    src = s.readStream.schema(s.read.parquet(os.path.join(base, "alerts")).schema).parquet(os.path.join(base, "alerts"))
+    out = P.st_alert_cooldown(src, cooldown_minutes=60)
+    q = (out.writeStream.format("parquet").option("path", os.path.join(base, "kept"))
+         .option("checkpointLocation", os.path.join(base, "_checkpoint")).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return s.read.parquet(os.path.join(base, "kept")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _cooldown_sql():
+    from ticketscope.plans.q_monitor import COOLDOWN_SQL
+    return COOLDOWN_SQL
+
+
+reg("st_alert_cooldown", _cooldown_stream, _cooldown_sql(), ["v_predictions"], ("current_value", "threshold"))
+
+
+def _feedback_nb(s, sf):
+    base = _fresh(s, "nb")
+    fb = spark_view(s, sf, "v_feedback")
+    fb.write.parquet(os.path.join(base, "feedback"))
+    src = s.readStream.schema(s.read.parquet(os.path.join(base, "feedback")).schema).option(
+        "maxFilesPerTrigger", 2).parquet(os.path.join(base, "feedback"))
+    q = P.st_feedback_updates(s, src, state_path=os.path.join(base, "state"),
+                              checkpoint=os.path.join(base, "_checkpoint"))
+    q.awaitTermination()
+    return P.nb_model(s, os.path.join(base, "state"))
+
+
+NB_SQL = """SELECT class, term, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT true_category AS class, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term, 1 AS n FROM v_feedback
+  UNION ALL SELECT true_category, '', 1 FROM v_feedback) GROUP BY 1, 2"""
+reg("st_feedback_updates", _feedback_nb, NB_SQL, ["v_feedback"])
+
+
+def _nb_scores(s, sf):
+    counts = P.nb_counts(spark_view(s, sf, "v_feedback"))
+    docs = spark_view(s, sf, "v_predictions").select("id", F.col("input_text").alias("text"))
+    return P.ol_incremental_model(counts, docs, id_col="id", text_col="text").groupBy("predicted_category").count()
+
+
+reg("ol_incremental_model", _nb_scores)
+
+
+def _stats(s, sf):
+    from ticketscope.operators.windows import win_ema
+    p = spark_view(s, sf, "v_predictions").select("id", "ts", "model_name", "latency_ms", "predicted_class")
+    e = win_ema(p, value="latency_ms", group="model_name", order=["ts", "id"], alpha=0.1)
+    last = e.groupBy("model_name").agg(F.max_by("ema", F.struct("ts", "id")).alias("avg_processing_time_ms"),
+                                       F.count("*").alias("total_processed"),
+                                       F.count_if(F.col("predicted_class") == "Error").alias("total_errors"),
+                                       ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp")))
+                                        / F.lit(1e6)).alias("uptime_seconds"))
+    return last.withColumn("throughput_per_second", F.col("total_processed") / F.col("uptime_seconds"))
+
+
+reg("st_stats", _stats,
+    """WITH RECURSIVE o AS (
+         SELECT id, ts, model_name, latency_ms, predicted_class,
+                row_number() OVER (PARTITION BY model_name ORDER BY ts, id) AS rn FROM v_predictions),
+       e AS (SELECT model_name, rn, latency_ms AS ema FROM o WHERE rn = 1
+             UNION ALL
+             SELECT o.model_name, o.rn, 0.9 * e.ema + 0.1 * o.latency_ms
+             FROM e JOIN o ON o.model_name = e.model_name AND o.rn = e.rn + 1),
+       g AS (SELECT model_name, count(*) AS total_processed, count(*) FILTER (WHERE predicted_class = 'Error') AS total_errors,
+                    (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS uptime_seconds, max(rn) AS last_rn FROM o GROUP BY 1)
+    SELECT g.model_name, e.ema AS avg_processing_time_ms, total_processed, total_errors, uptime_seconds,
+           total_processed / uptime_seconds AS throughput_per_second
+    FROM g JOIN e ON e.model_name = g.model_name AND e.rn = g.last_rn""", ["v_predictions"],
+    ["avg_processing_time_ms", "uptime_seconds", "throughput_per_second"])
+
+
+def _messages(df):
+    """Message text per event: every 11th invalid JSON, every 7th without the
+    required field, even ids carry a ticket id, every 3rd a priority."""
+    eid = F.col("event_id").cast("string")
+    tid = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"ticket_id": "t'), eid, F.lit('", '))).otherwise(F.lit(""))
+    pri = F.when(F.col("event_id") % 3 == 0, F.lit(', "priority": "high"')).otherwise(F.lit(""))
+    good = F.concat(F.lit("{"), tid, F.lit('"customer_message": "'), F.col("event_type"), F.lit('"'), pri, F.lit("}"))
+    nomsg = F.concat(F.lit('{"ticket_id": "t'), eid, F.lit('"}'))
+    msg = (F.when(F.col("event_id") % 11 == 0, F.lit('{"customer_message": '))
+           .when(F.col("event_id") % 7 == 0, nomsg).otherwise(good))
+    return df.select(F.col("event_id").alias("msg_offset"), msg.alias("value"))
+
+
+def _decode(s, sf):
+    m = _messages(s.read.parquet(f"{sf}/events.parquet"))
+    d = P.decode_messages(m, value_col="value", offset_col="msg_offset", channel="websocket", id_prefix="ws_")
+    return d.select("msg_offset", "ticket_id", "customer_message", "priority", "channel", "error")
+
+
+DECODE_SQL = """WITH m AS (SELECT event_id AS msg_offset,
+    CASE WHEN event_id % 11 = 0 THEN '{"customer_message": '
+         WHEN event_id % 7 = 0 THEN '{"ticket_id": "t' || CAST(event_id AS VARCHAR) || '"}'
+         ELSE '{' || CASE WHEN event_id % 2 = 0 THEN '"ticket_id": "t' || CAST(event_id AS VARCHAR) || '", ' ELSE '' END
+              || '"customer_message": "' || event_type || '"'
+              || CASE WHEN event_id % 3 = 0 THEN ', "priority": "high"' ELSE '' END || '}' END AS value
+  FROM events),
+v AS (SELECT msg_offset, value, json_valid(value) AS ok FROM m)
+SELECT msg_offset,
+  coalesce(CASE WHEN ok THEN json_extract_string(value, '$.ticket_id') END, 'ws_' || CAST(msg_offset AS VARCHAR)) AS ticket_id,
+  CASE WHEN ok THEN json_extract_string(value, '$.customer_message') END AS customer_message,
+  coalesce(CASE WHEN ok THEN json_extract_string(value, '$.priority') END, 'medium') AS priority,
+  'websocket' AS channel,
+  CASE WHEN NOT ok THEN 'Invalid JSON format'
+       WHEN json_extract_string(value, '$.customer_message') IS NULL THEN 'Missing required field: ''customer_message''' END AS error
+FROM v"""
+reg("src_ws_messages", _decode, DECODE_SQL)
+
+
+def _kafka_roundtrip(s, sf):
+    m = _messages(s.read.parquet(f"{sf}/events.parquet"))
+    d = P.decode_messages(m, value_col="value", offset_col="msg_offset")
+    ok = d.where(F.col("error").isNull()).select("ticket_id", "customer_message", "priority", "channel")
+    enc = P.encode_results(ok)
+    back = enc.select(F.from_json("value", "ticket_id string, customer_message string, priority string, channel string").alias("r"))
+    return back.select("r.*")
+
+
+reg("src_kafka", _kafka_roundtrip)
+reg("snk_kafka", lambda s, sf: P.encode_results(_fixture_scorer(s.read.parquet(f"{sf}/events.parquet"))).select(
+    "key", F.length("value").alias("value_length")))
+
+
+def _dedupe(s, sf):
+    base = _fresh(s, "dedupe")
+    src = _events_stream(s, sf).select("event_id", "ts", "user_id", "event_type")
+    out = P.st_dedupe_late(src, key=["user_id", "event_type"], watermark="1 hour")
+    q = (out.writeStream.format("parquet").option("path", os.path.join(base, "out"))
+         .option("checkpointLocation", os.path.join(base, "_checkpoint")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return s.read.parquet(os.path.join(base, "out"))
+
+
+reg("st_dedupe_late", _dedupe)
+
+
+def _windowed_stream(s, sf):
+    base = _fresh(s, "windowed")
+    p = spark_view(s, sf, "v_predictions")
+    p.write.parquet(os.path.join(base, "preds"))
+    src = s.readStream.schema(s.read.parquet(os.path.join(base, "preds")).schema).parquet(os.path.join(base, "preds"))
+    out = P.st_windowed_metrics(src, window="1 hour", slide="10 minutes", watermark="1 hour")
+    q = (out.writeStream.format("parquet").option("path", os.path.join(base, "out")).outputMode("append")
+         .option("checkpointLocation", os.path.join(base, "_checkpoint")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return s.read.parquet(os.path.join(base, "out")).select(F.col("w.start").alias("window_start"), "model_name", "n")
+
+
+reg("st_windowed_metrics_stream", _windowed_stream)
+
+
+def _score_hook(s, sf):
+    import pandas as pd
+
+    def external(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"predicted_category": ["General Inquiry"] * len(texts),
+                             "confidence": texts.str.len().clip(upper=100) / 100.0})
+
+    hook = P.udf_score_hook(external)
+    t = spark_view(s, sf, "v_tickets")
+    return t.select("ticket_id", hook(F.col("customer_message")).alias("r")).select("ticket_id", "r.*")
+
+
+reg("udf_score_hook", _score_hook,
+    "SELECT ticket_id, 'General Inquiry' AS predicted_category, least(length(customer_message), 100) / 100.0 AS confidence "
+    "FROM v_tickets", ["v_tickets"], ["confidence"])
+
+QUERIES = Q
