@@ -105,8 +105,9 @@ def src_text_attachments(spark: SparkSession, path_glob: str, *, ticket_of: Colu
     text = F.when(utf8, F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
     conf = F.when(utf8, F.lit(1.0)).otherwise(F.lit(0.8))
     tid = ticket_of if ticket_of is not None else F.element_at(F.split("path", "/"), -2)
+    stripped = F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
     docs = raw.select(tid.alias("ticket_id"), "path",
-                      F.substring(F.trim(text), 1, max_chars).alias("text"), conf.alias("confidence"))
+                      F.substring(stripped, 1, max_chars).alias("text"), conf.alias("confidence"))
     docs = docs.where(F.length("text") > 0)
     docs = docs.withColumn("_r", F.row_number().over(Window.partitionBy("ticket_id").orderBy("path")))
     docs = docs.where(F.col("_r") <= max_docs)
