@@ -265,3 +265,18 @@ def aud_gdpr_create(spark, request_type: str, user_id=None, email=None, *, enabl
     ts = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
     return df.select(F.expr("uuid()").alias("request_id"), "request_type", "user_id", "email",
                      ts.alias("ts"), F.lit("pending").alias("status"))
+
+
+def aud_gdpr_delete(events: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(remaining events, deleted count per deletion request)."""
+    dele = requests.where(F.col("request_type") == "deletion")
+    counts = aud_gdpr_counts(events, dele).select("request_id", F.col("total_events").alias("deleted_records"))
+    return join_gdpr_erase(events, requests), counts
+
+
+def aud_gdpr_create_batch(requests: DataFrame, *, enabled: bool = True) -> DataFrame:
+    """Many pending requests at once (fresh uuid ids)."""
+    if not enabled:
+        raise ValueError("GDPR features not enabled")
+    return requests.select(F.expr("uuid()").alias("request_id"), "request_type", "user_id", "email",
+                           F.current_timestamp().alias("ts"), F.lit("pending").alias("status"))

@@ -293,3 +293,32 @@ def ft_pca(vec: DataFrame, *, k: int = 100, features_col: str = "features", out:
     size = len(centred.select("_centred").first()[0])
     model = PCA(k=min(k, size), inputCol="_centred", outputCol=out).fit(centred)
     return model.transform(centred).drop("_centred")
+
+
+def strip_accents(c: Column) -> Column:
+    """Map accented Latin letters to their base letter (NFKD, combining marks
+    dropped), built by rule from ``unicodedata`` for U+00C0..U+024F."""
+    import unicodedata
+    src, dst = [], []
+    for cp in range(0xC0, 0x250):
+        ch = chr(cp)
+        base = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
+        if len(base) == 1 and base != ch:
+            src.append(ch)
+            dst.append(base)
+    return F.translate(c, "".join(src), "".join(dst))
+
+
+def txt_tfidf_pruned(df: DataFrame, *, id_col: str, text_col: str, max_features: int = 10000,
+                     ngram_range=(1, 3), min_df=2, max_df=0.95) -> DataFrame:
+    """Light-cleaned, accent-stripped TF-IDF with document-frequency pruning
+    (min_df 1 when there are <= 5 documents); if pruning leaves no term, the
+    fallback vocabulary is <= 1000 uni/bigrams, unpruned, stop words kept."""
+    t = df.select(F.col(id_col), strip_accents(txt_clean_light(F.col(text_col))).alias("_t"))
+    n = df.count()
+    lo = 1 if n <= 5 else min_df
+    out = txt_tfidf(t, id_col=id_col, text_col="_t", max_features=max_features, ngram_range=ngram_range,
+                    min_df=lo, max_df=max_df)
+    if out.limit(1).count() == 0:
+        out = txt_tfidf(t, id_col=id_col, text_col="_t", max_features=1000, ngram_range=(1, 2), stopwords=False)
+    return out

@@ -222,3 +222,11 @@ def ver_model_info(spark, path: str) -> DataFrame:
                     F.coalesce(F.format_number("test_accuracy", 4), na).alias("test_accuracy"),
                     F.coalesce(F.col("num_classes").cast("string"), na).alias("num_classes"),
                     F.coalesce(F.col("training_samples").cast("string"), na).alias("training_samples"))
+
+
+def join_ab_interval(logs: DataFrame, test: dict, *, as_of=None) -> DataFrame:
+    """Log rows of model A or B inside the test's [start, end or as_of] (arm column)."""
+    end = F.lit(test["end_date"]).cast("timestamp_ntz") if test.get("end_date") else as_of_col(logs, as_of)
+    d = logs.where(F.col("version_id").isin(test["model_a"], test["model_b"])
+                   & F.col("ts").between(F.lit(test["start_date"]).cast("timestamp_ntz"), end))
+    return d.withColumn("arm", F.when(F.col("version_id") == test["model_a"], F.lit("A")).otherwise(F.lit("B")))

@@ -58,10 +58,10 @@ def round_doubles(df: DataFrame) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     from ticketscope.plans import (q_dashboard, q_monitor, q_audit, q_learning, q_text,
                                    q_drift, q_ensemble, q_versions, q_responses, q_ml,
-                                   q_streaming, q_io)
+                                   q_streaming, q_io, q_extra)
     out: dict[str, Query] = {}
     for mod in (q_monitor, q_dashboard, q_audit, q_learning, q_text, q_drift, q_ensemble,
-                q_versions, q_responses, q_ml, q_streaming, q_io):
+                q_versions, q_responses, q_ml, q_streaming, q_io, q_extra):
         for q in mod.QUERIES:
             if q.name in out:
                 raise ValueError(f"duplicate query {q.name}")
