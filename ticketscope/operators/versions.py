@@ -212,11 +212,12 @@ def join_registry_logs(registry: DataFrame, logs: DataFrame, *, as_of=None, days
     return registry.join(recent, "version_id")
 
 
-def ver_model_info(spark, path: str) -> DataFrame:
-    """Model info records (JSON) as a table; missing fields -> 'N/A'."""
+def ver_model_info(spark, path: str, *, multi_line: bool = False) -> DataFrame:
+    """Model info records (JSON lines, or one document per file with
+    ``multi_line``) as a table; missing fields -> 'N/A'."""
     schema = ("model_name string, model_type string, test_accuracy double, num_classes long, "
               "training_samples long, classes array<string>")
-    d = spark.read.schema(schema).option("multiLine", True).json(path)
+    d = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     na = F.lit("N/A")
     return d.select(F.coalesce("model_name", na).alias("model_name"), F.coalesce("model_type", na).alias("model_type"),
                     F.coalesce(F.format_number("test_accuracy", 4), na).alias("test_accuracy"),
