@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,10 +47,10 @@ def win_ema(df: DataFrame, *, value: str, group, order: list[str], alpha: float
     numbered per group and cut into blocks of ``block`` rows. Inside a
     block the weighted prefix sum uses exponents relative to the block
     start (bounded by (1-a)^-block), and the carry from earlier blocks is
-    the block-end value of the previous three blocks, each damped by
-    (1-a)^block (~1e-12 at the defaults, so three terms reach double
-    precision). Work is linear; the only shuffles are the sort by group
-    and a join with the per-block table (rows / block in size).
+    the sum of previous block-end values damped by powers of (1-a)^block,
+    with as many blocks as needed for the dropped tail to fall below 1e-18
+    (two at the defaults). Work is linear; the only shuffles are the sort by
+    group and a join with the per-block table (rows / block in size).
     """
     group = [group] if isinstance(group, str) else list(group)
     d = 1.0 - alpha
@@ -62,10 +64,12 @@ def win_ema(df: DataFrame, *, value: str, group, order: list[str], alpha: float
     x = x.withColumn("_local", alpha * F.pow(F.lit(d), F.col("_j")) * F.sum("_y").over(w_blk))
     ends = x.groupBy(*group, "_b").agg(F.max_by("_local", "_j").alias("_end"))
     q = d ** block
+    # carried blocks: enough that the dropped tail q^K is below 1e-18
+    n_lags = max(1, math.ceil(41.5 / (block * -math.log(d))))
     wb = Window.partitionBy(*group).orderBy("_b")
-    carry = (F.coalesce(F.lag("_end", 1).over(wb), F.lit(0.0))
-             + q * F.coalesce(F.lag("_end", 2).over(wb), F.lit(0.0))
-             + q * q * F.coalesce(F.lag("_end", 3).over(wb), F.lit(0.0)))
+    carry = F.lit(0.0)
+    for m in range(1, n_lags + 1):
+        carry = carry + (q ** (m - 1)) * F.coalesce(F.lag("_end", m).over(wb), F.lit(0.0))
     ends = ends.select(*group, "_b", carry.alias("_carry"))
     x = x.join(ends, [*group, "_b"])
     res = F.col("_local") + F.pow(F.lit(d), F.col("_j") + 1) * F.col("_carry")
