@@ -58,3 +58,17 @@ def explode_fired(df: DataFrame, keep: list, cands: list[Column], name: str = "a
     candidates may reference scalar subqueries (``as_of``).
     """
     return df.select(*keep, F.explode(F.array(*cands)).alias(name)).where(F.col(name).isNotNull())
+
+
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def epoch_micros(c: Column) -> Column:
+    """Microseconds since 1970-01-01 of a wall-clock (NTZ) timestamp, with no
+    session-time-zone conversion (``unix_micros`` needs an LTZ cast)."""
+    return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+
+
+def from_epoch_seconds(c: Column) -> Column:
+    """Inverse of ``epoch_micros`` at second resolution, as TIMESTAMP_NTZ."""
+    return F.timestamp_add("SECOND", c, F.lit(_EPOCH_NTZ).cast("timestamp_ntz"))

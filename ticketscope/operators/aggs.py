@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketscope.constants import CONFIDENCE_HIGH, CONFIDENCE_MEDIUM, PRIORITY_LEVELS
-from ticketscope.operators._util import safe_div
+from ticketscope.operators._util import epoch_micros, safe_div
 
 
 # ----------------------------------------------------------------- filters
@@ -147,8 +147,7 @@ def agg_grouping_sets(df: DataFrame, dims=("category", "priority", "channel")) -
 
 def agg_overall_stats(df: DataFrame, *, category_col="category", high_value="High") -> DataFrame:
     """Total, distinct categories / channels, high-priority count, date span (days)."""
-    span = F.floor((F.unix_micros(F.max("ts").cast("timestamp")) -
-                    F.unix_micros(F.min("ts").cast("timestamp"))) / F.lit(86_400_000_000))
+    span = F.floor((epoch_micros(F.max("ts")) - epoch_micros(F.min("ts"))) / F.lit(86_400_000_000))
     return df.agg(
         F.count("*").alias("total_tickets"),
         F.countDistinct(category_col).alias("unique_categories"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketscope.operators._util import as_of_col, explode_fired
+from ticketscope.operators._util import as_of_col, epoch_micros, explode_fired
 from ticketscope.operators.windows import win_top_users
 
 MAX_RULES = 10_000  # rules are config; refuse to plan a "rule table" that is data
@@ -86,7 +86,7 @@ def prj_event_build(df: DataFrame, *, kind: str, gdpr: bool = True, as_of=None)
         lineage = F.lit(None).cast("struct<source_type:string,ts:timestamp,transformations:array<string>,data_hash:string>")
     else:
         raise ValueError(f"unknown event kind {kind!r}")
-    micros = F.unix_micros(ts.cast("timestamp")).cast("string")
+    micros = epoch_micros(ts).cast("string")
     eid = F.sha2(F.concat_ws("|", F.lit(kind), F.col("model_id"), uid, micros, h), 256)
     return df.select(eid.alias("event_id"), ts.alias("ts"), F.lit(kind).alias("event_type"),
                      uid.alias("user_id"), F.col("model_id"), h.alias("input_data_hash"),
@@ -103,8 +103,7 @@ def aud_rule_eval(events: DataFrame, rules=None, *, as_of=None) -> DataFrame:
     the floor (detected when logged); access: never a violation.
     """
     t = as_of_col(events, as_of)
-    age_days = F.floor((F.unix_micros(t.cast("timestamp")) -
-                        F.unix_micros(F.col("ts").cast("timestamp"))) / F.lit(86_400_000_000))
+    age_days = F.floor((epoch_micros(t) - epoch_micros(F.col("ts"))) / F.lit(86_400_000_000))
     conf = F.coalesce(F.col("confidence"), F.lit(1.0)) if "confidence" in events.columns else F.lit(1.0)
     cands = []
     for r in _rules_list(rules):

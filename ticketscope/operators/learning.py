@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketscope.operators._util import as_of_col
+from ticketscope.operators._util import as_of_col, epoch_micros
 from ticketscope.operators.windows import top_n_per_group, win_top_users
 
 UPDATE_EVERY = 50
@@ -38,7 +38,7 @@ def al_error_patterns(fb: DataFrame, *, as_of=None, recent_days: int = 7, sample
     recent count, overconfident flag (mean confidence > 0.8)."""
     t = as_of_col(fb, as_of)
     err = fb.where(~_correct()).withColumn("pattern", F.concat_ws(" -> ", "predicted_category", "true_category"))
-    recent = F.floor((F.unix_micros(t.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")))
+    recent = F.floor((epoch_micros(t) - epoch_micros(F.col("ts")))
                      / F.lit(86_400_000_000)) <= recent_days
     g = err.groupBy("pattern", "predicted_category", "true_category").agg(
         F.count("*").alias("count"), F.avg("confidence").alias("avg_confidence"),

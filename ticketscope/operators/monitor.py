@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from ticketscope.constants import ALERT_COOLDOWN_MINUTES, MONITOR_THRESHOLDS
-from ticketscope.operators._util import as_of_col, explode_fired, hours, minutes, safe_div
+from ticketscope.operators._util import (as_of_col, epoch_micros, explode_fired, from_epoch_seconds, hours,
+                                        minutes, safe_div)
 
 
 def _pct(col: Column, q, exact: bool) -> Column:
@@ -158,7 +159,7 @@ def mon_degradation_checks(preds: DataFrame, *, check_minutes: int = 10,
     """
     from pyspark.sql import Window
     step = check_minutes * 60
-    epoch = F.unix_micros(F.col("ts").cast("timestamp")) if isinstance(
+    epoch = epoch_micros(F.col("ts")) if isinstance(
         preds.schema["ts"].dataType, TimestampNTZType) else F.unix_micros("ts")
     # bucket b covers (b*step - step, b*step]  ->  b = ceil(sec / step)
     b = F.ceil(epoch / F.lit(step * 1_000_000.0)).cast("long")
@@ -183,7 +184,7 @@ def mon_degradation_checks(preds: DataFrame, *, check_minutes: int = 10,
                 safe_div(F.sum("n_err").over(win), n).alias(f"{p}_err")]
 
     pair = agg.select("model_name", "b", *block(cur_w, "cur"), *block(base_w, "base"))
-    pair = pair.withColumn("check_ts", F.timestamp_seconds(F.col("b") * step).cast("timestamp_ntz"))
+    pair = pair.withColumn("check_ts", from_epoch_seconds(F.col("b") * step))
     return degradation_alerts(pair.drop("b"), thresholds).withColumnRenamed("check_ts", "ts")
 
 

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ticketscope.operators import monitor as M
+from ticketscope.operators._util import epoch_micros
 from ticketscope.operators.drift import running_totals
 from ticketscope.plans.fixtures import spark_view
 from ticketscope.plans.registry import Query
@@ -167,7 +168,7 @@ def _stats(s, sf):
     last = e.groupBy("model_name").agg(F.max_by("ema", F.struct("ts", "id")).alias("avg_processing_time_ms"),
                                        F.count("*").alias("total_processed"),
                                        F.count_if(F.col("predicted_class") == "Error").alias("total_errors"),
-                                       ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp")))
+                                       ((epoch_micros(F.max("ts")) - epoch_micros(F.min("ts")))
                                         / F.lit(1e6)).alias("uptime_seconds"))
     return last.withColumn("throughput_per_second", F.col("total_processed") / F.col("uptime_seconds"))
 
