@@ -207,3 +207,19 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_running_totals_across_arrow_batches(spark):
+    from ticketscope.operators.drift import running_totals
+    rows = [(k, float(i), float(i % 4)) for k in ("a", "b", "c") for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, x double, c double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        out = running_totals(df, key="key", order="x", cols=["c"], num_partitions=3).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for k, g in out.groupby("key"):
+        g = g.sort_values("x")
+        assert list(g["cum_c"]) == list(g["c"].cumsum())
+        assert list(g["rank"]) == list(range(1, len(g) + 1))

@@ -23,6 +23,11 @@ PHONE_RE = r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"
 WS_CLASS = r" \t\n\x0B\f\r"
 WS_RE = f"[{WS_CLASS}]+"
 NON_LETTER_RE = f"[^a-zA-Z{WS_CLASS}]"
+# same deletions, one replacement per run instead of per character
+NON_LETTER_RUN_RE = f"[^a-zA-Z{WS_CLASS}]+"
+# whitespace runs that squeezing changes: any run holding a non-space
+# whitespace char, or two or more chars (a lone space is left alone)
+WS_CHANGE_RE = r"[\t\n\x0B\f\r][ \t\n\x0B\f\r]*| [ \t\n\x0B\f\r]+"
 LIGHT_URL_RE = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 # Word runs spelled out: Java's \b is Unicode-aware while its \w is not
 # (and RE2's \b is ASCII), so explicit classes keep both engines and
@@ -38,7 +43,7 @@ def _col(c) -> Column:
 
 def squeeze(c) -> Column:
     """Collapse whitespace runs to one space and strip (``' '.join(s.split())``)."""
-    return F.trim(F.regexp_replace(_col(c), WS_RE, " "), F.lit(" "))
+    return F.trim(F.regexp_replace(_col(c), WS_CHANGE_RE, " "), F.lit(" "))
 
 
 def words(c) -> Column:
@@ -50,21 +55,32 @@ def fn_lower_strip(c) -> Column:
     return squeeze(F.lower(_col(c)))
 
 
+def _guarded(c: Column, needles: list[str], pattern: str) -> Column:
+    """``regexp_replace`` only where a literal the pattern needs occurs: the
+    replace is the identity elsewhere, and a substring test is far cheaper
+    than a backtracking scan over long non-space runs."""
+    cond = F.lit(False)
+    for n in needles:
+        cond = cond | F.contains(c, F.lit(n))
+    return F.when(cond, F.regexp_replace(c, pattern, "")).otherwise(c)
+
+
 def fn_strip_urls(c) -> Column:
-    return F.regexp_replace(_col(c), URL_RE, "")
+    return _guarded(_col(c), ["http", "www"], URL_RE)
 
 
 def fn_strip_emails(c) -> Column:
-    return F.regexp_replace(_col(c), EMAIL_RE, "")
+    return _guarded(_col(c), ["@"], EMAIL_RE)
 
 
 def fn_strip_phones(c) -> Column:
-    return F.regexp_replace(_col(c), PHONE_RE, "")
+    col = _col(c)
+    return F.when(col.rlike("[0-9]"), F.regexp_replace(col, PHONE_RE, "")).otherwise(col)
 
 
 def fn_letters_only(c) -> Column:
     """Delete (not blank) every char outside ASCII letters and whitespace."""
-    return F.regexp_replace(_col(c), NON_LETTER_RE, "")
+    return F.regexp_replace(_col(c), NON_LETTER_RUN_RE, "")
 
 
 def txt_clean(c) -> Column:
@@ -77,7 +93,7 @@ def txt_clean(c) -> Column:
 def txt_clean_light(c) -> Column:
     """Squeeze whitespace, drop URLs and e-mails, keep case."""
     t = squeeze(_col(c).cast("string"))
-    return F.regexp_replace(F.regexp_replace(t, LIGHT_URL_RE, ""), EMAIL_RE, "")
+    return _guarded(_guarded(t, ["http"], LIGHT_URL_RE), ["@"], EMAIL_RE)
 
 
 def fn_regex_count(c, pattern: str) -> Column:

@@ -53,24 +53,24 @@ def running_totals(df: DataFrame, *, key: str, order: str, cols: list[str],
                             + [StructField(f"_l_{c}", DoubleType()) for c in cols])
 
     def local(batches):
+        # vectorised per batch: grouped cumulative sums plus the running
+        # carry of each key from earlier batches of this partition
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
-        acc: dict = {}
+        carry: dict = {}
         for pdf in batches:
             if pdf.empty:
                 continue
-            keys = pdf[key].tolist()
-            out = {c: [] for c in cols}
-            ranks = []
-            for i, k in enumerate(keys):
-                st = acc.setdefault(k, [0] + [0.0] * len(cols))
-                st[0] += 1
-                ranks.append(st[0])
-                for j, c in enumerate(cols):
-                    v = pdf[c].iat[i]
-                    st[j + 1] += 0.0 if pd.isna(v) else float(v)
-                    out[c].append(st[j + 1])
-            pdf = pdf.assign(_pid=pid, _lrank=ranks, **{f"_l_{c}": out[c] for c in cols})
+            g = pdf.groupby(key, sort=False)
+            ranks = g.cumcount() + 1
+            sums = {c: pdf[c].fillna(0.0).astype("float64").groupby(pdf[key], sort=False).cumsum() for c in cols}
+            base = pdf[key].map(lambda k: carry.get(k, (0, [0.0] * len(cols))))
+            ranks = ranks + base.map(lambda b: b[0])
+            out = {f"_l_{c}": sums[c] + base.map(lambda b, j=j: b[1][j]) for j, c in enumerate(cols)}
+            pdf = pdf.assign(_pid=pid, _lrank=ranks.astype("int64"), **out)
+            last = pdf.groupby(key, sort=False).tail(1)
+            for _, row in last.iterrows():   # one row per key in this batch
+                carry[row[key]] = (int(row["_lrank"]), [float(row[f"_l_{c}"]) for c in cols])
             yield pdf
 
     # materialised once: both the offsets and the rows below must see the

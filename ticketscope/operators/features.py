@@ -3,8 +3,8 @@
 Vocabularies are built with a distributed ``groupBy`` over exploded terms
 and cut to ``max_features`` (a proven size bound), so the term -> index
 table may be broadcast. Documents are scored in long form
-``(doc, term, weight)``; ``to_sparse`` assembles ``SparseVector`` columns
-for ``pyspark.ml`` without ever densifying.
+``(doc, term, weight)``; model inputs get sparse vectors from Spark ML's
+``CountVectorizer`` (JVM side, never densified).
 """
 
 from __future__ import annotations
@@ -51,24 +51,32 @@ def tokens_expr(text: Column, *, stopwords=None, token_re=TOKEN2_RE) -> Column:
 
 def ngrams_expr(toks: Column, ngram_range=(1, 2)) -> Column:
     """n-grams of an ALREADY MATERIALISED token column (a column reference,
-    so the lambda below does not re-run the tokenizer per element)."""
+    so the lambdas do not re-run the tokenizer per element). Built with
+    ``zip_with`` over shifted slices: one pass per n, no per-gram slice copy."""
     parts = []
     lo, hi = ngram_range
+    size = F.size(toks)
     for n in range(lo, hi + 1):
         if n == 1:
             parts.append(toks)
             continue
-        idx = F.sequence(F.lit(1), F.greatest(F.size(toks) - (n - 1), F.lit(1)))
-        grams = F.transform(idx, lambda i: F.array_join(F.slice(toks, i, n), " "))
-        parts.append(F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>")))
+        length = F.greatest(size - (n - 1), F.lit(0))
+        grams = F.slice(toks, 1, length)
+        for k in range(1, n):
+            shifted = F.slice(toks, 1 + k, length)
+            grams = F.zip_with(grams, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+        parts.append(F.when(size >= n, grams).otherwise(F.array().cast("array<string>")))
     return F.flatten(F.array(*parts)) if len(parts) > 1 else parts[0]
 
 
 def term_counts(df: DataFrame, *, id_col: str, text_col: str, ngram_range=(1, 2), stopwords=None,
                 token_re=TOKEN2_RE) -> DataFrame:
     """(doc, term, tf) with a map-side partial aggregate."""
-    t = df.select(F.col(id_col).alias("doc_id"),
-                  tokens_expr(F.col(text_col), stopwords=stopwords, token_re=token_re).alias("_toks"))
+    # Documents are hash-partitioned by id BEFORE exploding: the (doc, term)
+    # aggregate and the later per-document window reuse this partitioning,
+    # so the raw text is shuffled once instead of the exploded term rows twice.
+    t = df.repartition(F.col(id_col)).select(
+        F.col(id_col).alias("doc_id"), tokens_expr(F.col(text_col), stopwords=stopwords, token_re=token_re).alias("_toks"))
     t = t.select("doc_id", F.explode(ngrams_expr(F.col("_toks"), ngram_range)).alias("term"))
     return t.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
@@ -95,7 +103,7 @@ def txt_tfidf(df: DataFrame, *, id_col: str, text_col: str, max_features: int =
 
     idf = ln((1 + n) / (1 + df)) + 1 (smooth), raw counts, L2 rows.
     """
-    tf = term_counts(df, id_col=id_col, text_col=text_col, ngram_range=ngram_range, stopwords=stopwords).cache()
+    tf = term_counts(df, id_col=id_col, text_col=text_col, ngram_range=ngram_range, stopwords=stopwords)
     n = df.select(F.count("*")).scalar()
     vocab = fit_vocabulary(tf, max_features=max_features, min_df=min_df, max_df=max_df, n_docs=n)
     vocab = vocab.select("term", "index", (F.ln((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -117,20 +125,6 @@ def txt_counts(df: DataFrame, *, id_col: str, text_col: str, max_features: int =
         "doc_id", "term", "index", F.col("tf").alias("count"))
 
 
-def to_sparse(long: DataFrame, *, size: int, value_col: str, id_col: str = "doc_id",
-              out: str = "features") -> DataFrame:
-    """Long (doc, index, value) -> one SparseVector per doc (no densifying)."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    @F.udf(VectorUDT())
-    def _vec(idx, vals):
-        pairs = sorted(zip(idx, vals))
-        return SparseVector(size, [p[0] for p in pairs], [float(p[1]) for p in pairs])
-
-    g = long.groupBy(id_col).agg(F.collect_list("index").alias("_i"), F.collect_list(value_col).alias("_v"))
-    return g.select(id_col, _vec("_i", "_v").alias(out))
-
-
 def txt_token_sequence(df: DataFrame, *, id_col: str, text_col: str, num_words: int = 10000,
                        max_len: int = 100) -> DataFrame:
     """Keras-style integer sequences: index by frequency (ties by word),
@@ -141,7 +135,7 @@ def txt_token_sequence(df: DataFrame, *, id_col: str, text_col: str, num_words:
     """
     filt = "[" + "".join("\\" + c if c in "[]\\^-" else c for c in KERAS_FILTERS) + "]"
     toks = F.filter(F.split(F.regexp_replace(F.lower(F.col(text_col)), filt, " "), " "), lambda x: x != "")
-    pos = df.select(F.col(id_col).alias("doc_id"), F.posexplode(toks).alias("pos", "word"))
+    pos = df.repartition(F.col(id_col)).select(F.col(id_col).alias("doc_id"), F.posexplode(toks).alias("pos", "word"))
     counts = pos.groupBy("word").agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(num_words - 2)
     vocab = top.select("word", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) + 1).alias("idx"))

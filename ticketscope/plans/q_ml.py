@@ -131,12 +131,14 @@ reg("drift_covariate_shift", _covariate)
 
 
 def _topics(s, sf):
+    from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
     from ticketscope.functions.text import txt_clean
-    from ticketscope.operators.features import ft_topics, to_sparse, txt_counts
-    t = _tickets(s, sf).select("ticket_id", txt_clean("customer_message").alias("clean"))
-    c = txt_counts(t, id_col="ticket_id", text_col="clean", max_features=1000, ngram_range=(1, 1))
-    r = ft_topics(to_sparse(c, size=1000, value_col="count"), k=20, max_iter=20)
+    from ticketscope.operators.features import ft_topics, tokens_expr
+    t = _tickets(s, sf).select(F.col("ticket_id").alias("doc_id"),
+                               tokens_expr(txt_clean("customer_message")).alias("toks"))
+    vec = CountVectorizer(inputCol="toks", outputCol="features", vocabSize=1000, minDF=2.0, maxDF=0.95).fit(t).transform(t)
+    r = ft_topics(vec, k=20, max_iter=20)
     arr = vector_to_array("topic_distribution")
     return r.select("doc_id", (F.array_position(arr, F.array_max(arr)) - 1).alias("dominant_topic"),
                     F.array_max(arr).alias("weight"))
