@@ -33,9 +33,10 @@ def make_classifier(model_type: str, *, n_train: int | None = None, C: float = 1
     if model_type == "logistic_regression":
         # sklearn: sum(loss) + ||w||^2 / (2C)  ==  Spark: mean(loss) + regParam ||w||^2 / 2
         reg = 1.0 / (C * n_train) if n_train else 0.0
+        # tol 1e-4 = scikit-learn's default stopping tolerance (Spark's is 1e-6)
         return LogisticRegression(maxIter=params.get("maxIter", 1000), regParam=reg, elasticNetParam=0.0,
-                                  standardization=False, family="multinomial", labelCol="label",
-                                  featuresCol="features")
+                                  tol=params.get("tol", 1e-4), standardization=False, family="multinomial",
+                                  labelCol="label", featuresCol="features")
     if model_type == "linear_svm":
         return OneVsRest(classifier=LinearSVC(regParam=params.get("regParam", 0.0), maxIter=params.get("maxIter", 100)),
                          labelCol="label", featuresCol="features")
