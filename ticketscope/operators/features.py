@@ -166,9 +166,13 @@ def txt_stratified_split(df: DataFrame, *, id_col: str, label_col: str, test: fl
                          val: float = 0.1, seed: int = 42) -> DataFrame:
     """Exact per-class proportions, reproducible: rank rows inside each class by
     md5(id:seed); the first round(test*n) are test, the next round(val*n) validation."""
-    key = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
-    w = Window.partitionBy(label_col)
-    x = df.withColumn("_rn", F.row_number().over(w.orderBy(key))).withColumn("_n", F.count("*").over(w))
+    from ticketscope.operators.drift import running_totals
+    key = F.struct(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), F.col(id_col))
+    n = df.groupBy(label_col).agg(F.count("*").alias("_n"))
+    # exact rank inside each class without a per-class ordered window
+    x = running_totals(df.withColumn("_ok", key).withColumn("_one", F.lit(1.0)), key=label_col, order="_ok",
+                       cols=["_one"]).withColumnRenamed("rank", "_rn").drop("_ok", "_one", "cum__one")
+    x = x.join(n, label_col)  # one row per class
     n_test = F.floor(F.col("_n") * test + 0.5)
     n_val = F.floor(F.col("_n") * val + 0.5)
     split = (F.when(F.col("_rn") <= n_test, F.lit("test"))

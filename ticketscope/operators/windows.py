@@ -43,37 +43,46 @@ def win_ema(df: DataFrame, *, value: str, group, order: list[str], alpha: float
             block: int = 256, out: str = "ema") -> DataFrame:
     """Exponential moving average ``e_1 = x_1, e_n = (1-a) e_{n-1} + a x_n``.
 
-    Closed form without a sequential loop and without overflow: rows are
-    numbered per group and cut into blocks of ``block`` rows. Inside a
-    block the weighted prefix sum uses exponents relative to the block
-    start (bounded by (1-a)^-block), and the carry from earlier blocks is
-    the sum of previous block-end values damped by powers of (1-a)^block,
-    with as many blocks as needed for the dropped tail to fall below 1e-18
-    (two at the defaults). Work is linear; the only shuffles are the sort by
-    group and a join with the per-block table (rows / block in size).
+    Closed form without a sequential loop and without overflow:
+
+    * rows get their exact position per group from ``running_totals``
+      (range partitioning on (group, order)), so a hot group is spread over
+      many tasks instead of one ordered window;
+    * positions are cut into blocks of ``block`` rows; inside a block the
+      weighted prefix sum uses exponents relative to the block start
+      (bounded by (1-a)^-block) - a window over (group, block), i.e. at
+      most ``block`` rows per window partition;
+    * the carry from earlier blocks is the sum of previous block-end values
+      damped by powers of (1-a)^block, taken through equi-joins on
+      (group, block - k) with as many k as needed for the dropped tail to
+      fall below 1e-18 (two at the defaults).
     """
+    from ticketscope.operators.drift import running_totals
     group = [group] if isinstance(group, str) else list(group)
     d = 1.0 - alpha
-    w_all = Window.partitionBy(*group).orderBy(*[F.col(c) for c in order])
-    x = df.withColumn("_rn", F.row_number().over(w_all))
-    x = x.withColumn("_b", F.floor((F.col("_rn") - 1) / block)).withColumn(
-        "_j", (F.col("_rn") - 1 - F.col("_b") * block).cast("int"))
-    y = F.when(F.col("_rn") == 1, F.col(value) / alpha).otherwise(F.col(value))
+    # a hashable key for the per-partition fold: the column itself, or the
+    # JSON text of the group columns when there are several
+    gkey = F.to_json(F.struct(*[F.col(g) for g in group])) if len(group) > 1 else F.col(group[0])
+    okey = F.struct(*[F.col(c) for c in order])
+    x = df.withColumn("_gk", gkey).withColumn("_ok", okey).withColumn("_one", F.lit(1.0))
+    x = running_totals(x, key="_gk", order="_ok", cols=["_one"]).drop("_one", "cum__one")
+    x = x.withColumn("_b", F.floor((F.col("rank") - 1) / block)).withColumn(
+        "_j", (F.col("rank") - 1 - F.col("_b") * block).cast("int"))
+    y = F.when(F.col("rank") == 1, F.col(value) / alpha).otherwise(F.col(value))
     x = x.withColumn("_y", y * F.pow(F.lit(d), -F.col("_j")))
-    w_blk = Window.partitionBy(*group, "_b").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
+    w_blk = Window.partitionBy("_gk", "_b").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("_local", alpha * F.pow(F.lit(d), F.col("_j")) * F.sum("_y").over(w_blk))
-    ends = x.groupBy(*group, "_b").agg(F.max_by("_local", "_j").alias("_end"))
+    ends = x.groupBy("_gk", "_b").agg(F.max_by("_local", "_j").alias("_end"))
     q = d ** block
-    # carried blocks: enough that the dropped tail q^K is below 1e-18
     n_lags = max(1, math.ceil(41.5 / (block * -math.log(d))))
-    wb = Window.partitionBy(*group).orderBy("_b")
-    carry = F.lit(0.0)
+    carry = ends.select("_gk", "_b").withColumn("_carry", F.lit(0.0))
     for m in range(1, n_lags + 1):
-        carry = carry + (q ** (m - 1)) * F.coalesce(F.lag("_end", m).over(wb), F.lit(0.0))
-    ends = ends.select(*group, "_b", carry.alias("_carry"))
-    x = x.join(ends, [*group, "_b"])
+        prev = ends.select("_gk", (F.col("_b") + m).alias("_b"), (F.col("_end") * (q ** (m - 1))).alias(f"_e{m}"))
+        carry = carry.join(prev, ["_gk", "_b"], "left").withColumn(
+            "_carry", F.col("_carry") + F.coalesce(F.col(f"_e{m}"), F.lit(0.0))).drop(f"_e{m}")
+    x = x.join(carry, ["_gk", "_b"])
     res = F.col("_local") + F.pow(F.lit(d), F.col("_j") + 1) * F.col("_carry")
-    return x.withColumn(out, res).drop("_rn", "_b", "_j", "_y", "_local", "_carry")
+    return x.withColumn(out, res).drop("_gk", "_ok", "rank", "_b", "_j", "_y", "_local", "_carry")
 
 
 def srt_probabilities(df: DataFrame, *, id_col: str, map_col: str = "probabilities") -> DataFrame:
