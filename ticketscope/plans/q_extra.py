@@ -286,7 +286,8 @@ def _top_class(s, sf):
     return ex_global_features(t, id_col="ticket_id", text_col="clean", label_col="category").select("label", "term", "rank")
 
 
-reg("win_top_features_per_class", _top_class)
+reg("win_top_features_per_class", _top_class,
+    f"SELECT label, term, rank FROM ({q_text.GLOBAL_SQL})", ["v_tickets"])
 
 
 def _importance(s, sf):

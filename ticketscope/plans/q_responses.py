@@ -219,8 +219,16 @@ def _global(s, sf):
         "label", "term", "mean_score", "max_score", "frequency", "std_score", "rank")
 
 
-reg("ex_global_features", _global)
-reg("ex_specificity", lambda s, sf: EX.ex_specificity(_global(s, sf)))
+def _global_sql():
+    from ticketscope.plans.q_text import GLOBAL_SQL
+    return GLOBAL_SQL
+
+
+reg("ex_global_features", _global, _global_sql(), ["v_tickets"], ["mean_score", "max_score", "std_score"])
+reg("ex_specificity", lambda s, sf: EX.ex_specificity(_global(s, sf)),
+    f"""WITH gf AS ({_global_sql()})
+    SELECT term, max(mean_score) / (sum(mean_score) + 1e-10) AS specificity FROM gf GROUP BY term""",
+    ["v_tickets"], ["specificity"])
 
 
 def _cands(s, sf):

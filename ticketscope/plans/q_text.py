@@ -272,3 +272,30 @@ reg("ft_category_keywords",
     SELECT * FROM r WHERE rank <= 20 AND length(word) > 2 AND NOT list_contains({STOP_SQL}, word)""", ["v_tickets"])
 
 QUERIES = Q
+
+
+def pruned_tfidf_sql(max_features: int, min_df: int, max_df: float) -> str:
+    """CTEs ending in ``n2(doc_id, term, tfidf)``: uni+bigram TF-IDF over the
+    cleaned text with document-frequency pruning (min_df docs, max_df share)."""
+    toks = f"list_filter(regexp_extract_all(lower(clean), {lit(T.TOKEN2_RE)}), lambda t: NOT list_contains({STOP_SQL}, t))"
+    grams = ("list_concat(toks, CASE WHEN len(toks) >= 2 THEN list_transform(range(1, len(toks)), "
+             "lambda i: toks[i] || ' ' || toks[i + 1]) ELSE [] END)")
+    return f"""{CLEAN_SQL},
+    tk AS (SELECT ticket_id, {toks} AS toks FROM clean),
+    terms AS (SELECT ticket_id AS doc_id, unnest({grams}) AS term FROM tk),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2),
+    nd AS (SELECT count(*) AS n FROM v_tickets),
+    vocab AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1
+              HAVING count(*) >= {min_df} AND count(*) <= floor((SELECT n FROM nd) * {max_df})
+              ORDER BY total DESC, term LIMIT {max_features}),
+    w AS (SELECT tf.doc_id, tf.term, tf.tf * (ln((1 + n) / (1 + vocab.df)) + 1) AS w FROM tf JOIN vocab USING (term), nd),
+    n2 AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS tfidf FROM w)"""
+
+
+GLOBAL_SQL = f"""WITH {pruned_tfidf_sql(1000, 2, 0.95)},
+    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tfidf DESC, term DESC) AS r
+                           FROM n2 WHERE tfidf > 0) WHERE r <= 20),
+    g AS (SELECT c.category AS label, term, avg(tfidf) AS mean_score, max(tfidf) AS max_score, count(*) AS frequency,
+                 stddev_pop(tfidf) AS std_score FROM top JOIN clean c ON c.ticket_id = top.doc_id GROUP BY 1, 2),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY mean_score * frequency DESC, term) AS rank FROM g)
+    SELECT * FROM ranked WHERE rank <= 15"""
