@@ -362,7 +362,21 @@ def _pruned(s, sf):
                                ngram_range=(1, 1)).select("doc_id", "term", "tfidf")
 
 
-reg("txt_tfidf_pruned", _pruned)
+def _pruned_sql():
+    toks = (f"list_filter(regexp_extract_all(lower(t), {lit(T.TOKEN2_RE)}), "
+            f"lambda x: NOT list_contains({q_text.STOP_SQL}, x))")
+    return f"""WITH l AS (SELECT ticket_id, strip_accents({q_text.sq_light('customer_message')}) AS t FROM v_tickets),
+    tk AS (SELECT ticket_id, {toks} AS toks FROM l),
+    tf AS (SELECT ticket_id AS doc_id, term, count(*) AS tf FROM (SELECT ticket_id, unnest(toks) AS term FROM tk) GROUP BY 1, 2),
+    nd AS (SELECT count(*) AS n FROM v_tickets),
+    vocab AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1
+              HAVING count(*) >= 2 AND count(*) <= floor((SELECT n FROM nd) * 0.95)
+              ORDER BY total DESC, term LIMIT 3000),
+    w AS (SELECT tf.doc_id, tf.term, tf.tf * (ln((1 + n) / (1 + vocab.df)) + 1) AS w FROM tf JOIN vocab USING (term), nd)
+    SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS tfidf FROM w"""
+
+
+reg("txt_tfidf_pruned", _pruned, _pruned_sql(), ["v_tickets"], ["tfidf"])
 
 
 def _fit_reference(s, sf):
