@@ -239,6 +239,25 @@ def _cands(s, sf):
     return c.groupBy("ticket_id", "change_type").agg(F.count("*").alias("n"), F.max(F.length("candidate")).alias("max_len"))
 
 
-reg("join_counterfactual_cand", _cands)
+def _cands_sql():
+    from ticketscope.plans.q_text import CLEAN_SQL
+    lex_rows = []
+    for c, (kws, phs) in EX.CLASS_LEXICON.items():
+        lex_rows += [f"({lit(c)}, 'keyword', {i + 1}, {lit(t)})" for i, t in enumerate(kws)]
+        lex_rows += [f"({lit(c)}, 'phrase', {i + 1}, {lit(t)})" for i, t in enumerate(phs)]
+    cats = "[" + ", ".join(lit(c) for c in CATEGORIES) + "]"
+    return f"""WITH {CLEAN_SQL},
+    lex AS (SELECT * FROM (VALUES {', '.join(lex_rows)}) v(class, kind, rank, term)),
+    t AS (SELECT ticket_id, clean, {cats}[ticket_id % 7 + 1] AS target, string_split(clean, ' ') AS words FROM clean),
+    w AS (SELECT ticket_id, clean, target, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS pos FROM t),
+    rep AS (SELECT ticket_id, 'word_replacement' AS change_type, length(clean) - length(w) + length(lex.term) AS len
+            FROM w JOIN lex ON lex.class = w.target AND lex.kind = 'keyword' AND lex.rank <= 5 WHERE pos < 3),
+    ph AS (SELECT ticket_id, 'phrase_addition' AS change_type, length(clean) + 1 + length(lex.term) AS len
+           FROM t JOIN lex ON lex.class = t.target AND lex.kind = 'phrase')
+    SELECT ticket_id, change_type, count(*) AS n, max(len) AS max_len FROM (SELECT * FROM rep UNION ALL SELECT * FROM ph)
+    GROUP BY 1, 2"""
+
+
+reg("join_counterfactual_cand", _cands, _cands_sql(), ["v_tickets"])
 
 QUERIES = Q

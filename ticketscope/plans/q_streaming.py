@@ -158,7 +158,26 @@ def _nb_scores(s, sf):
     return P.ol_incremental_model(counts, docs, id_col="id", text_col="text").groupBy("predicted_category").count()
 
 
-reg("ol_incremental_model", _nb_scores)
+NB_SCORE_SQL = """WITH counts AS (""" + NB_SQL + """),
+priors AS (SELECT class, n AS docs FROM counts WHERE term = ''),
+terms AS (SELECT * FROM counts WHERE term <> ''),
+tot AS (SELECT class, sum(n) AS total FROM terms GROUP BY 1),
+vs AS (SELECT count(DISTINCT term) AS v FROM terms),
+nd AS (SELECT sum(docs) AS nd FROM priors),
+cls AS (SELECT p.class, ln(CAST(docs AS DOUBLE) / nd) AS log_prior, total + 1.0 * v AS denom
+        FROM priors p JOIN tot USING (class), vs, nd),
+toks AS (SELECT id AS doc_id, unnest(regexp_extract_all(lower(input_text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM v_predictions),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY 1, 2),
+seen AS (SELECT doc_id, t.class, sum(tf * (ln(t.n + 1.0) - ln(1.0))) AS s
+         FROM tf JOIN terms t USING (term) GROUP BY 1, 2),
+dl AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY 1),
+sc AS (SELECT dl.doc_id, cls.class, log_prior + len * (ln(1.0) - ln(denom)) + coalesce(seen.s, 0.0) AS score
+       FROM dl CROSS JOIN cls LEFT JOIN seen ON seen.doc_id = dl.doc_id AND seen.class = cls.class),
+best AS (SELECT doc_id, class FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, class) AS r FROM sc)
+         WHERE r = 1)
+SELECT class AS predicted_category, count(*) AS count FROM best GROUP BY 1"""
+
+reg("ol_incremental_model", _nb_scores, NB_SCORE_SQL, ["v_feedback", "v_predictions"])
 
 
 def _stats(s, sf):
@@ -236,7 +255,9 @@ def _kafka_roundtrip(s, sf):
     return back.select("r.*")
 
 
-reg("src_kafka", _kafka_roundtrip)
+reg("src_kafka", _kafka_roundtrip,
+    "SELECT replace(ticket_id, 'ws_', 'kafka_') AS ticket_id, customer_message, priority, 'kafka' AS channel FROM ("
+    + DECODE_SQL + ") WHERE error IS NULL")
 reg("snk_kafka", lambda s, sf: P.encode_results(_fixture_scorer(s.read.parquet(f"{sf}/events.parquet"))).select(
     "key", F.length("value").alias("value_length")))
 
