@@ -167,7 +167,20 @@ def _scale(s, sf):
     return out.select("ticket_id", *[F.col(f"z_{c}") for c in STAT_FEATURES])
 
 
-reg("ft_assemble_scale", _scale)
+def _scale_sql():
+    from ticketscope.operators.features import STAT_FEATURES
+    from ticketscope.plans.q_text import STAT_SQL
+    z = ", ".join(f"({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1.0 "
+                  f"ELSE stddev_pop({c}) OVER () END AS z_{c}" for c in STAT_FEATURES)
+    return f"SELECT ticket_id, {z} FROM ({STAT_SQL}) f"
+
+
+def _scale_dbl():
+    from ticketscope.operators.features import STAT_FEATURES
+    return [f"z_{c}" for c in STAT_FEATURES]
+
+
+reg("ft_assemble_scale", _scale, _scale_sql(), ["v_tickets"], _scale_dbl())
 
 
 def _diverse(s, sf):
