@@ -50,11 +50,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     and registered, so lineage cuts never land on a machine-local path on a
     cluster that names its own shared folder.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="ticketscope-ckpt-")
+        current = sc.getCheckpointDir()  # set on the context by the cluster's job code
+        if current:
+            return current
+        d = tempfile.mkdtemp(prefix="ticketscope-ckpt-")  # unset: local runs and tests only
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
