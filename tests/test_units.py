@@ -223,3 +223,58 @@ def test_running_totals_across_arrow_batches(spark):
         g = g.sort_values("x")
         assert list(g["cum_c"]) == list(g["c"].cumsum())
         assert list(g["rank"]) == list(range(1, len(g) + 1))
+
+
+def test_validate_schema_and_missing_columns(spark, tmp_path):
+    from ticketscope.sources.files import SchemaError, src_csv_tickets, src_validate_schema
+    ok = spark.createDataFrame([("hi", None)], "customer_message string, category string")
+    r = src_validate_schema(ok).collect()[0]
+    assert (r.is_valid, r.message) == (False, "Column 'category' is completely empty")
+    bad = spark.createDataFrame([("hi",)], "customer_message string")
+    assert src_validate_schema(bad).collect()[0].message == "Missing required columns: category"
+    p = str(tmp_path / "t.csv")
+    with open(p, "w") as f:
+        f.write("ticket_id,customer_message\n1,hello\n")
+    with pytest.raises(SchemaError):
+        src_csv_tickets(spark, p)
+
+
+def test_clean_generated_and_quality(spark):
+    from ticketscope.operators.responses import fn_clean_generated, rsp_quality
+    df = spark.createDataFrame([("hello [x] world (y) <b>now</b>", "General"),
+                                ("we are sorry, thank you", "complaint")], "t string, c string")
+    r = df.select(fn_clean_generated(F.col("t")).alias("x"), rsp_quality(F.col("t"), F.col("c")).alias("q")).collect()
+    assert r[0].x == "Hello world now."
+    assert r[1].q == pytest.approx(0.5 + 0.05 + 0.1)
+
+
+def test_confidence_boost_and_primary_modality(spark):
+    from ticketscope.operators.modal import mm_classify
+    df = spark.createDataFrame([(1, "text", 1.0, 0.9, 0.5, None, "Billing", 0.7), (2, None, None, 0.2, None, None, None, None)],
+                               "id long, text string, t double, i double, a double, d double, pred string, conf double")
+    r = {x.id: x for x in mm_classify(df, {"text": "t", "images": "i", "audio": "a", "documents": "d"},
+                                      prediction_col="pred", confidence_col="conf").collect()}
+    assert r[1].confidence == pytest.approx(0.9) and r[1].primary_modality == "text"
+    assert r[2].predicted_category == "General Inquiry" and r[2].confidence == pytest.approx(0.1)
+    assert r[2].primary_modality == "images"
+
+
+def test_next_version_ignores_bad_versions(spark):
+    from ticketscope.operators.versions import win_next_version
+    reg = spark.createDataFrame([("a", "1.2.3"), ("a", "1.10.0"), ("a", "x.y"), ("b", "beta")],
+                                "model_name string, version string")
+    r = {x.model_name: x.next_version for x in win_next_version(reg).collect()}
+    assert r == {"a": "1.10.1", "b": "1.0.0"}
+
+
+def test_ab_results_t_test(spark):
+    from ticketscope.operators.versions import ab_results
+    rows = [("A", dt.datetime(2024, 1, 2), {"m": float(v)}) for v in [1, 2, 3, 4, 5]]
+    rows += [("B", dt.datetime(2024, 1, 2), {"m": float(v)}) for v in [3, 4, 5, 6, 7]]
+    logs = spark.createDataFrame(rows, "version_id string, ts timestamp_ntz, metrics map<string,double>")
+    test = {"model_a": "A", "model_b": "B", "start_date": "2024-01-01", "end_date": "2024-01-03",
+            "success_metrics": ["m"], "significance_level": 0.05}
+    r = ab_results(logs, test).collect()[0]
+    assert r.t_statistic == pytest.approx(-2.0)
+    assert r.p_value == pytest.approx(0.0805, abs=1e-3)
+    assert r.improvement == pytest.approx(66.6667, abs=1e-3)

@@ -77,7 +77,8 @@ def win_next_version(registry: DataFrame, model_names: DataFrame | None = None)
     j = names.join(mx, "model_name", "left")
     nxt = F.concat_ws(".", F.col("mx")[0].cast("string"), F.col("mx")[1].cast("string"),
                       (F.col("mx")[2] + 1).cast("string"))
-    return j.select("model_name", F.coalesce(nxt, F.lit("1.0.0")).alias("next_version"))
+    # concat_ws skips nulls, so the "no valid version" case is tested explicitly
+    return j.select("model_name", F.when(F.col("mx").isNull(), F.lit("1.0.0")).otherwise(nxt).alias("next_version"))
 
 
 # ------------------------------------------------------------------ A/B tests
