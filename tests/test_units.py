@@ -278,3 +278,28 @@ def test_ab_results_t_test(spark):
     assert r.t_statistic == pytest.approx(-2.0)
     assert r.p_value == pytest.approx(0.0805, abs=1e-3)
     assert r.improvement == pytest.approx(66.6667, abs=1e-3)
+
+
+def test_constant_feature_psi_and_histogram(spark):
+    from ticketscope.operators.aggs import agg_conf_histogram
+    from ticketscope.operators.drift import drift_js, drift_psi, melt
+    a = spark.createDataFrame([(5.0,)] * 20, "value double")
+    b = spark.createDataFrame([(5.0,)] * 7, "value double")
+    long = melt(a, b, ["value"])
+    assert drift_psi(long).collect()[0].psi == pytest.approx(0.0, abs=1e-12)
+    assert drift_js(long).collect()[0].js_divergence == pytest.approx(0.0, abs=1e-12)
+    h = agg_conf_histogram(a.withColumnRenamed("value", "confidence"), 20).collect()
+    assert len(h) == 20 and sum(r["count"] for r in h) == 20
+
+
+def test_retention_rule_day_boundary(spark):
+    from ticketscope.operators.audit import aud_rule_eval
+    t0 = dt.datetime(2024, 1, 31)
+    ev = spark.createDataFrame([(1, t0 - dt.timedelta(days=15, hours=23), "access", None),
+                                (2, t0 - dt.timedelta(days=16), "access", None),
+                                (3, t0, "prediction", 0.2)],
+                               "event_id long, ts timestamp_ntz, event_type string, confidence double")
+    rules = [{"rule_id": "r", "rule_type": "retention", "severity": "high", "retention_days": 15},
+             {"rule_id": "b", "rule_type": "bias", "severity": "high", "confidence_floor": 0.5}]
+    v = {(r.rule_id, r.event_id) for r in aud_rule_eval(ev, rules, as_of=t0).collect()}
+    assert v == {("r", 2), ("b", 3)}
