@@ -132,7 +132,10 @@ def run_classification_stream(spark: SparkSession, source: DataFrame, scorer, *,
             cb(flagged, batch_id)
         res.unpersist()
 
-    w = source.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    # per-micro-batch stream statistics in StreamingQueryProgress.observedMetrics
+    # (st_stats: rows, mean confidence / processing time), computed by Spark
+    observed = source.observe("stream_input", F.count(F.lit(1)).alias("rows"))
+    w = observed.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
     return w.start()
 
