@@ -119,7 +119,7 @@ def test_vote_ties_alphabetical_and_scores_sum_to_one(spark):
 
 
 def test_decode_messages_errors(spark):
-    from ticketscope.streaming.pipeline import decode_messages
+    from ticketscope.streaming.jobs import decode_messages
     msgs = [(1, '{"customer_message": "hi", "unknown": 3}'), (2, '{"ticket_id": "t2"}'), (3, "{not json"),
             (4, '{"ticket_id": "x", "customer_message": "m", "priority": "high"}')]
     df = spark.createDataFrame(msgs, "offset long, value string")
@@ -179,7 +179,7 @@ def test_gdpr_or_join_uses_email_identity(spark):
 
 
 def test_nb_incremental_scores(spark):
-    from ticketscope.streaming.pipeline import nb_counts, ol_incremental_model
+    from ticketscope.streaming.jobs import nb_counts, ol_incremental_model
     fb = spark.createDataFrame([("refund my payment", "Billing"), ("payment charge wrong", "Billing"),
                                 ("app crash error", "Tech"), ("error on login crash", "Tech")],
                                "text string, true_category string")
@@ -189,7 +189,7 @@ def test_nb_incremental_scores(spark):
 
 
 def test_streaming_cooldown_state(spark, tmp_path):
-    from ticketscope.streaming.pipeline import st_alert_cooldown
+    from ticketscope.streaming.jobs import st_alert_cooldown
     t0 = dt.datetime(2024, 1, 1)
     rows = [("acc", "m0", t0 + dt.timedelta(minutes=m), 0.1) for m in [0, 30, 59, 61, 100, 125]]
     df = spark.createDataFrame(rows, "alert_type string, model_name string, ts timestamp, current_value double")

@@ -22,7 +22,7 @@ from ticketscope.plans import q_monitor, q_text, q_ensemble, q_drift, q_audit
 from ticketscope.plans.fixtures import VOTE_CLASSES, spark_view
 from ticketscope.plans.registry import Query
 from ticketscope.sources import sinks as SK
-from ticketscope.streaming.pipeline import scratch
+from ticketscope.streaming.jobs import scratch
 
 Q = []
 

@@ -14,7 +14,7 @@ from ticketscope.plans.fixtures import spark_view
 from ticketscope.plans.registry import Query
 from ticketscope.sources import files as SF
 from ticketscope.sources import sinks as SK
-from ticketscope.streaming.pipeline import scratch
+from ticketscope.streaming.jobs import scratch
 
 Q = []
 

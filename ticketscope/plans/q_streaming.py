@@ -14,7 +14,7 @@ from ticketscope.operators._util import epoch_micros
 from ticketscope.operators.drift import running_totals
 from ticketscope.plans.fixtures import spark_view
 from ticketscope.plans.registry import Query
-from ticketscope.streaming import pipeline as P
+from ticketscope.streaming import jobs as P
 
 Q = []
 
