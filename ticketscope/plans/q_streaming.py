@@ -258,8 +258,15 @@ def _kafka_roundtrip(s, sf):
 reg("src_kafka", _kafka_roundtrip,
     "SELECT replace(ticket_id, 'ws_', 'kafka_') AS ticket_id, customer_message, priority, 'kafka' AS channel FROM ("
     + DECODE_SQL + ") WHERE error IS NULL")
-reg("snk_kafka", lambda s, sf: P.encode_results(_fixture_scorer(s.read.parquet(f"{sf}/events.parquet"))).select(
-    "key", F.length("value").alias("value_length")))
+def _kafka_sink_roundtrip(s, sf):
+    enc = P.encode_results(_fixture_scorer(s.read.parquet(f"{sf}/events.parquet")))
+    back = F.from_json("value", "ticket_id long, predicted_category string, confidence double")
+    return enc.select("key", back.alias("r")).select("key", "r.*")
+
+
+reg("snk_kafka", _kafka_sink_roundtrip,
+    "SELECT CAST(id AS VARCHAR) AS key, id AS ticket_id, predicted_class AS predicted_category, confidence "
+    "FROM v_predictions", ["v_predictions"], ["confidence"])
 
 
 def _dedupe(s, sf):
