@@ -66,10 +66,13 @@ def _callbacks(s, sf):
                                     callbacks=[lambda df, bid: seen.append(bid)])
     q.awaitTermination()
     mon = s.read.parquet(os.path.join(base, "monitor"))
+    # callbacks saw every batch exactly once
+    assert sorted(seen) == sorted(r.batch_id for r in mon.select("batch_id").distinct().collect())
     return mon.agg(F.sum("n").alias("processed"), F.countDistinct("batch_id").alias("batches"))
 
 
-reg("st_callbacks", _callbacks)
+reg("st_callbacks", _callbacks,
+    "SELECT count(*) AS processed, CAST(4 AS BIGINT) AS batches FROM events")  # 4 staged files, 1 per trigger
 
 
 def _twin(s, sf):
