@@ -303,3 +303,34 @@ def test_retention_rule_day_boundary(spark):
              {"rule_id": "b", "rule_type": "bias", "severity": "high", "confidence_floor": 0.5}]
     v = {(r.rule_id, r.event_id) for r in aud_rule_eval(ev, rules, as_of=t0).collect()}
     assert v == {("r", 2), ("b", 3)}
+
+
+def test_event_build_all_kinds(spark):
+    from ticketscope.operators.audit import prj_event_build
+    t = dt.datetime(2024, 1, 1)
+    tr = spark.createDataFrame([(t, "m1", "u1", {"rows": "10"}, {"C": "1.0"}, {"acc": "0.9"})],
+                               "ts timestamp_ntz, model_id string, user_id string, dataset_info map<string,string>, "
+                               "params map<string,string>, results map<string,string>")
+    r = prj_event_build(tr, kind="training").collect()[0]
+    assert r.event_type == "training" and r.compliance_tags == ["training", "model_creation"]
+    assert r.data_lineage.source_type == "training_data" and r.output_data["results"] == '{"acc":"0.9"}'
+    up = spark.createDataFrame([(t, "m1", None, "retrain", {"v": "2"})],
+                               "ts timestamp_ntz, model_id string, user_id string, update_type string, changes map<string,string>")
+    r = prj_event_build(up, kind="model_update").collect()[0]
+    assert r.compliance_tags == ["model_modification"] and r.data_lineage is None and r.user_id is None
+    ac = spark.createDataFrame([(t, "m1", "u2", "read")], "ts timestamp_ntz, model_id string, user_id string, access_type string")
+    r = prj_event_build(ac, kind="access").collect()[0]
+    assert r.input_data_hash == "" and r.output_data == {"access_type": "read"}
+
+
+def test_text_attachments_encodings(spark, tmp_path):
+    from ticketscope.sources.files import src_text_attachments
+    d = tmp_path / "t1"
+    d.mkdir()
+    (d / "a.txt").write_bytes("  héllo utf8  \n".encode("utf-8"))
+    (d / "b.log").write_bytes("caf\xe9 latin".encode("latin-1"))
+    (d / "c.pdf").write_bytes(b"%PDF-1.4")
+    r = src_text_attachments(spark, str(tmp_path) + "/*/*").collect()[0]
+    assert r.ticket_id == "t1" and r.processed_count == 2
+    assert r.extracted_text == "héllo utf8\n\ncafé latin"
+    assert r.confidence == pytest.approx(0.9)
