@@ -334,3 +334,25 @@ def test_text_attachments_encodings(spark, tmp_path):
     assert r.ticket_id == "t1" and r.processed_count == 2
     assert r.extracted_text == "héllo utf8\n\ncafé latin"
     assert r.confidence == pytest.approx(0.9)
+
+
+def test_response_fallback_row(spark):
+    from ticketscope.operators.responses import rsp_generate, templates_df
+    t = spark.createDataFrame([(1, None, "low", 0.9, "Ann", "msg"), (2, "complaint", "medium", 0.9, "Bo", "x" * 150)],
+                              "id long, category string, urgency string, confidence double, customer_name string, text string")
+    r = {x.id: x for x in rsp_generate(t, templates_df(spark)).collect()}
+    assert r[1].template_used == "fallback" and r[1].escalation_recommended
+    assert r[1].response_text.startswith("Thank you for contacting us, Ann. We have received your general inquiry")
+    assert r[2].template_used == "complaint_medium" and r[2].escalation_recommended
+    assert r[2].original_ticket == "x" * 100 + "..."
+
+
+def test_retrain_strategy_needs_50(spark):
+    from ticketscope.operators.learning import al_retrain_strategy
+    few = spark.createDataFrame([("a", "b")] * 10, "predicted_category string, true_category string")
+    r = al_retrain_strategy(few).collect()[0]
+    assert not r.should_retrain and r.strategies == ""
+    many = spark.createDataFrame([("a", "b")] * 40 + [("a", "a")] * 20, "predicted_category string, true_category string")
+    r = al_retrain_strategy(many).collect()[0]
+    assert r.should_retrain and "focused_retraining: Focus on distinguishing a from b" in r.strategies
+    assert "general_retraining" in r.strategies
