@@ -356,3 +356,25 @@ def test_retrain_strategy_needs_50(spark):
     r = al_retrain_strategy(many).collect()[0]
     assert r.should_retrain and "focused_retraining: Focus on distinguishing a from b" in r.strategies
     assert "general_retraining" in r.strategies
+
+
+def test_bias_substring_semantics(spark):
+    from ticketscope.operators.explain import ex_bias_parity
+    df = spark.createDataFrame([("the bill", "Billing"), ("login error", "Tech"), ("other text", "Tech")],
+                               "text string, label string")
+    b = {(r.attribute, r.label): r for r in ex_bias_parity(df, text_col="text", label_col="label",
+                                                          attributes={"gender": ["he"]}).collect()}
+    # "he" is a substring of "the" and "other": two texts carry the attribute
+    assert b[("gender", "Billing")].n_with == 1 and b[("gender", "Tech")].n_with == 1
+    assert b[("gender", "Tech")].n_without == 1
+
+
+def test_rollback_none_when_deployed_is_oldest(spark):
+    from ticketscope.operators.versions import win_rollback_target
+    reg = spark.createDataFrame([("m", "1.0.0", dt.datetime(2024, 1, 1)), ("m", "1.0.1", dt.datetime(2024, 1, 2)),
+                                 ("m", "1.0.2", dt.datetime(2024, 1, 3))],
+                                "model_name string, version string, creation_date timestamp_ntz")
+    dep = spark.createDataFrame([("m", "1.0.0")], "model_name string, version string")
+    assert win_rollback_target(reg, dep).count() == 0
+    dep2 = spark.createDataFrame([("m", "1.0.1")], "model_name string, version string")
+    assert win_rollback_target(reg, dep2).collect()[0].version == "1.0.0"
