@@ -378,3 +378,17 @@ def test_rollback_none_when_deployed_is_oldest(spark):
     assert win_rollback_target(reg, dep).count() == 0
     dep2 = spark.createDataFrame([("m", "1.0.1")], "model_name string, version string")
     assert win_rollback_target(reg, dep2).collect()[0].version == "1.0.0"
+
+
+def test_stream_dedupe_within_watermark(spark, tmp_path):
+    from ticketscope.streaming.jobs import st_dedupe_late
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("t1", t0), ("t1", t0 + dt.timedelta(minutes=10)), ("t2", t0 + dt.timedelta(minutes=5))]
+    df = spark.createDataFrame(rows, "ticket_id string, ts timestamp")
+    df.write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = (st_dedupe_late(src, key=["ticket_id"]).writeStream.format("memory").queryName("dedupe_test")
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = sorted(r.ticket_id for r in spark.sql("select ticket_id from dedupe_test").collect())
+    assert got == ["t1", "t2"]
