@@ -392,3 +392,39 @@ def test_stream_dedupe_within_watermark(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted(r.ticket_id for r in spark.sql("select ticket_id from dedupe_test").collect())
     assert got == ["t1", "t2"]
+
+
+def test_periodic_checks_match_direct_windows(spark):
+    """Bucket range frames == filtering the raw log at every check time."""
+    from ticketscope.operators.monitor import mon_degradation_checks
+    rnd = random.Random(5)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(1500):
+        ts = t0 + dt.timedelta(seconds=rnd.randint(0, 3 * 86400))
+        late = ts > t0 + dt.timedelta(days=2)
+        conf = rnd.uniform(0.1, 0.5) if late else rnd.uniform(0.5, 1.0)
+        pred = "Error" if (late and rnd.random() < 0.3) else "a"
+        rows.append((i, ts, "m", pred, conf, rnd.uniform(10, 20), None if i % 3 else pred == "a"))
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, model_name string, predicted_class string, "
+                                     "confidence double, latency_ms double, is_correct boolean")
+    got = {(r.ts, r.alert_type): r.current_value for r in mon_degradation_checks(df).collect()}
+    pdf = pd.DataFrame(rows, columns=["id", "ts", "model_name", "pred", "conf", "lat", "ok"])
+    step = dt.timedelta(minutes=10)
+    want = {}
+    check = t0 + step
+    while check <= t0 + dt.timedelta(days=3, hours=1):
+        cur = pdf[(pdf.ts > check - dt.timedelta(hours=1)) & (pdf.ts <= check)]
+        base = pdf[(pdf.ts > check - dt.timedelta(hours=25)) & (pdf.ts <= check - dt.timedelta(hours=1))]
+        if len(cur) and len(base):
+            snap = lambda v: round(v * 2 ** 20) / 2 ** 20  # noqa: E731  (operator snaps before thresholds)
+            drop = snap(base.conf.mean()) - snap(cur.conf.mean())
+            if drop > 0.1:
+                want[(check, "confidence_degradation")] = cur.conf.mean()
+            err = snap((cur.pred == "Error").mean()) - snap((base.pred == "Error").mean())
+            if err > 0.02:
+                want[(check, "error_rate_increase")] = (cur.pred == "Error").mean()
+        check += step
+    got_sub = {k: v for k, v in got.items() if k[1] in ("confidence_degradation", "error_rate_increase")}
+    assert set(got_sub) == set(want)
+    assert all(abs(got_sub[k] - want[k]) < 1e-6 for k in want)

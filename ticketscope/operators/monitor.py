@@ -100,6 +100,11 @@ def _windowed_pair(preds: DataFrame, t: Column, cur_h: float, base_start_h: floa
 def degradation_alerts(pair: DataFrame, th: dict | None = None) -> DataFrame:
     """Turn (cur_*, base_*) metric columns into alert rows (``explode``)."""
     th = {**MONITOR_THRESHOLDS, **(th or {})}
+    # window averages are snapped to a 2^-20 grid before the threshold tests,
+    # so a drop that is exactly a threshold in decimal (0.49 - 0.39) does not
+    # flip with the summation order of the engine
+    for c in ("cur_acc", "cur_conf", "cur_lat", "cur_err", "base_acc", "base_conf", "base_lat", "base_err"):
+        pair = pair.withColumn(c, F.round(F.col(c) * 1048576.0) / 1048576.0)
     acc_drop = F.col("base_acc") - F.col("cur_acc")
     conf_drop = F.col("base_conf") - F.col("cur_conf")
     lat_ratio = safe_div(F.col("cur_lat"), F.col("base_lat"))
@@ -171,6 +176,12 @@ def mon_degradation_checks(preds: DataFrame, *, check_minutes: int = 10,
         F.sum("latency_ms").alias("s_lat"),
         F.count_if(F.col("predicted_class") == "Error").alias("n_err"))
     per_h = 3600 // step
+    # every check time whose current window holds data: each data bucket is
+    # in the current window of the next current_hours*per_h checks (bounded
+    # spine, at most that factor times the data buckets)
+    spine = agg.select("model_name", F.explode(F.sequence(F.col("b"), F.col("b") + (current_hours * per_h - 1)))
+                       .alias("b")).distinct()
+    agg = spine.join(agg, ["model_name", "b"], "left")
     w = Window.partitionBy("model_name").orderBy("b")
     cur_w = w.rangeBetween(-(current_hours * per_h) + 1, 0)
     base_w = w.rangeBetween(-(baseline_hours[0] * per_h) + 1, -(baseline_hours[1] * per_h))

@@ -17,8 +17,14 @@ def _preds(spark, sf):
 
 # ------------------------------------------------------------------ shared SQL
 
+SNAPPED = ", ".join(f"round({c} * 1048576.0) / 1048576.0 AS {c}" for c in
+                    ("cur_acc", "cur_conf", "cur_lat", "cur_err", "base_acc", "base_conf", "base_lat", "base_err"))
+
+
 def _alerts_sql(pair: str, keep: str) -> str:
-    """Four alert branches over a CTE ``pair`` with cur_*/base_* columns."""
+    """Four alert branches over a CTE ``pair`` with cur_*/base_* columns
+    (averages snapped to the 2^-20 grid first, as in the Spark operator)."""
+    pair = f"(SELECT * REPLACE ({SNAPPED}) FROM {pair})"
     def br(cond, typ, sev, metric, cur, thr, msg):
         return (f"SELECT {keep}, '{typ}' AS alert_type, {sev} AS severity, '{metric}' AS metric_name, "
                 f"CAST({cur} AS DOUBLE) AS current_value, CAST({thr} AS DOUBLE) AS threshold, "
@@ -69,6 +75,8 @@ WITH bk AS (
          sum(confidence) AS s_conf, sum(latency_ms) AS s_lat,
          count(*) FILTER (WHERE predicted_class = 'Error') AS n_err
   FROM v_predictions GROUP BY ALL),
+spine AS (SELECT DISTINCT model_name, unnest(range(b, b + 6)) AS b FROM bk),
+bk2 AS (SELECT * FROM spine LEFT JOIN bk USING (model_name, b)),
 pair AS (
   SELECT model_name, make_timestamp(b * 600 * 1000000) AS ts,
     sum(n) OVER cw AS cur_n,
@@ -81,7 +89,7 @@ pair AS (
     sum(s_conf) OVER bw / NULLIF(sum(n) OVER bw, 0) AS base_conf,
     sum(s_lat) OVER bw / NULLIF(sum(n) OVER bw, 0) AS base_lat,
     CAST(sum(n_err) OVER bw AS DOUBLE) / NULLIF(sum(n) OVER bw, 0) AS base_err
-  FROM bk
+  FROM bk2
   WINDOW cw AS (PARTITION BY model_name ORDER BY b RANGE BETWEEN 5 PRECEDING AND CURRENT ROW),
          bw AS (PARTITION BY model_name ORDER BY b RANGE BETWEEN 149 PRECEDING AND 6 PRECEDING)),
 checks AS (""" + _alerts_sql("pair", "model_name, ts") + ")"
