@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -46,21 +48,22 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a scratch folder is made
-    and registered, so lineage cuts never land on a machine-local path on a
-    cluster that names its own shared folder.
+    Only a local session without that setting (tests, bench) gets a scratch
+    folder of its own; on a cluster its absence is an error, since executors
+    do not see each other's folders.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        current = sc.getCheckpointDir()  # set on the context by the cluster's job code
-        if current:
-            return current
-        d = tempfile.mkdtemp(prefix="ticketscope-ckpt-")  # unset: local runs and tests only
-        spark.conf.set("spark.checkpoint.dir", d)
-    if sc.getCheckpointDir() is None:
+    current = sc.getCheckpointDir()
+    if current is None:
+        if not d:
+            if not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            d = tempfile.mkdtemp(prefix="ticketscope-ckpt-")
+            atexit.register(shutil.rmtree, d, ignore_errors=True)
         sc.setCheckpointDir(d)
-    return d
+        current = sc.getCheckpointDir()
+    return d or current
 
 
 def materialize(df):
