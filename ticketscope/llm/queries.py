@@ -13,16 +13,31 @@ from ticketscope.llm.common import table
 from ticketscope.llm.html_tree import extract
 from ticketscope.llm.lengths import token_report
 from ticketscope.llm.licenses import scan_licenses
+from ticketscope.llm.pu import quality
+from ticketscope.llm.simhash import digest, near_duplicates
+from ticketscope.llm.tiling import contaminated
 from ticketscope.llm.training_order import materialise
 
 #: Key of the registered training order.
 ORDER_KEY = "corpus-order-1"
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2))
+
+
 def op4_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(table(spark, sf_dir, "documents"))
 
 
+def op5_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -36,6 +51,8 @@ def op10_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_length_histogram, op7_license_scan, op9_training_order, op10_html_tree)
+    f.__name__: f for f in (
+        op3_simhash_near_dedup, op4_length_histogram, op5_string_tiling, op6_pu_quality, op7_license_scan,
+        op9_training_order, op10_html_tree)
 }
 ORACLES: dict[str, str] = {}
