@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ticketscope.llm.common import bitmap, in_bitmap, map_arrow, mix64, shared_table, texts
+from ticketscope.llm.common import bitmap, in_bitmap, map_arrow, mix64, shared_table
 from ticketscope.llm.licenses import WORD_BYTES
 
 #: Base of the rolling hash of word hashes (modulo 2**64).
@@ -28,9 +28,9 @@ BITMAP_BITS = 26
 CHUNK = 1 << 18
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """Hash of every word: runs of letters and digits (and non-ASCII bytes), A-Z lowered."""
-    words = text.translate(WORD_BYTES).split()
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hash of every word of the lower-cased text: runs of ASCII letters, digits and non-ASCII characters."""
+    words = (text or "").lower().encode().translate(WORD_BYTES).split()
     return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
@@ -107,7 +107,7 @@ FOUND = ("doc_id long, item_id long, n_item_words int, n_matched int, coverage d
 def item_words(benchmark: DataFrame) -> DataFrame:
     """``item_key, words``: word hashes of every test item."""
     def run(batch: pa.RecordBatch):
-        yield {"item_key": batch.column("item_key"), "words": [word_hashes(t).view(np.int64) for t in texts(batch)]}
+        yield {"item_key": batch.column("item_key"), "words": [word_hashes(t).view(np.int64) for t in batch.column("text").to_pylist()]}
 
     return map_arrow(benchmark.selectExpr(
         "struct(cast(item_id as long) item_id, xxhash64(cast(text as string)) text_hash) item_key",
@@ -134,7 +134,8 @@ def seeded(docs: DataFrame, words: np.ndarray, min_match: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch):
         keys, seeds, starts, runs = [], [], [], []
-        for d, th, t in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), texts(batch)):
+        for d, th, t in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(),
+                            batch.column("text").to_pylist()):
             h = word_hashes(t)
             spots, found = [], []
             for at in range(0, max(1, len(h) - min_match + 1), CHUNK):
