@@ -13,6 +13,8 @@ from ticketscope.llm.common import table
 from ticketscope.llm.html_tree import extract
 from ticketscope.llm.lengths import token_report
 from ticketscope.llm.licenses import scan_licenses
+from ticketscope.llm.mixing import mixing_rates
+from ticketscope.llm.outliers import quality_rules
 from ticketscope.llm.pu import quality
 from ticketscope.llm.simhash import digest, near_duplicates
 from ticketscope.llm.tiling import contaminated
@@ -22,6 +24,14 @@ from ticketscope.llm.training_order import materialise
 ORDER_KEY = "corpus-order-1"
 
 
+def op1_mcd_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2))
 
@@ -52,7 +62,7 @@ def op10_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_simhash_near_dedup, op4_length_histogram, op5_string_tiling, op6_pu_quality, op7_license_scan,
+        op1_mcd_quality_rules, op2_soft_mixing, op3_simhash_near_dedup, op4_length_histogram, op5_string_tiling, op6_pu_quality, op7_license_scan,
         op9_training_order, op10_html_tree)
 }
 ORACLES: dict[str, str] = {}
