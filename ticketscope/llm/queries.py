@@ -16,6 +16,7 @@ from ticketscope.llm.licenses import scan_licenses
 from ticketscope.llm.mixing import mixing_rates
 from ticketscope.llm.outliers import quality_rules
 from ticketscope.llm.pu import quality
+from ticketscope.llm.repeats import find_repeats
 from ticketscope.llm.simhash import digest, near_duplicates
 from ticketscope.llm.tiling import contaminated
 from ticketscope.llm.training_order import materialise
@@ -52,6 +53,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_repeats(table(spark, sf_dir, "documents"), length=100).drop("spans")
+
+
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(table(spark, sf_dir, "documents"), ORDER_KEY)
 
@@ -63,6 +68,6 @@ def op10_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mcd_quality_rules, op2_soft_mixing, op3_simhash_near_dedup, op4_length_histogram, op5_string_tiling, op6_pu_quality, op7_license_scan,
-        op9_training_order, op10_html_tree)
+        op8_bucket_pointer_dedup, op9_training_order, op10_html_tree)
 }
 ORACLES: dict[str, str] = {}
