@@ -65,7 +65,9 @@ EXCEPTION = 0.1
 
 TAG_WORDS = "spdx license identifier"
 TAG = re.compile(rb"spdx-license-identifier\s*:[ \t]*([^\r\n]*)")
-EXPRESSION = re.compile(rb"[()]|[a-z0-9][a-z0-9.+:-]*")
+EXPRESSION = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
+#: The first sign that no expression holds ends it (such as the end of a comment).
+FOREIGN = re.compile(r"[^a-z0-9.+:()\s-]")
 RANK = {"or": 1, "and": 2, "with": 3}
 
 #: Lower case for A-Z; every other ASCII byte that is no digit or letter becomes a blank.
@@ -121,7 +123,8 @@ def evaluate(expression: str) -> tuple[set[str], float] | None:
     the worse side of ``and``; ``with`` names an exception, no licence. A text
     that is no expression counts up to its longest valid beginning; None if
     there is none."""
-    tokens = [t.decode() for t in EXPRESSION.findall(expression.lower().encode())]
+    own = FOREIGN.split(expression.lower(), maxsplit=1)[0]
+    tokens = EXPRESSION.findall(own)
     for end in range(min(len(tokens), 64), 0, -1):
         post = to_postfix(tokens[:end])
         if post is not None:

@@ -8,6 +8,8 @@ base rules. DataFrame operations only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,9 +151,10 @@ def _starts(rows: DataFrame) -> DataFrame:
     classical mean and scatter of all its documents."""
     medians = cut(rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(X)]))
     flat = medians.select("*", F.lit(0).alias("start"), *[
-        F.lit(4 * FLOOR[i] if i == j else 0.0).alias(f"s{i}{j}") for i, j in CELLS])
+        F.lit((4 * FLOOR[i]) ** 0.5 if i == j else 0.0).alias(_cell(i, j)) for i, j in CELLS],
+        F.lit(sum(math.log(4 * v) for v in FLOOR)).alias("log_det"))
     classical = _estimates(_attach(rows, medians.withColumn("start", F.lit(1))), 1.0)
-    return cut(_factor(flat).unionByName(classical))
+    return cut(flat.unionByName(classical))
 
 
 def _concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
