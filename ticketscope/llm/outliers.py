@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketscope.llm.common import BROADCAST_ROWS, cut
@@ -42,6 +42,13 @@ CUTOFF = 43.0
 SALTS = 32
 
 
+def _once(rows: DataFrame, *keep: str, **made: Column) -> DataFrame:
+    """``rows`` with the columns ``made`` as a generator's output: unlike a
+    projection, neither a filter nor a later expression inlines it, so the
+    arrays below are built once per row and not once per element."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+
+
 def base_stats(docs: DataFrame) -> DataFrame:
     """Counts over the words of every whole text and the base verdict.
 
@@ -50,30 +57,31 @@ def base_stats(docs: DataFrame) -> DataFrame:
     with an equal pair are sorted, so a text of n words costs n log n at most.
     """
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    ids = ["doc_id", *GROUP]
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                        F.col("source").cast("string").alias("source"), t.alias("t"))
-    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = rows.select(
-        "doc_id", *GROUP, lines.alias("lines"),
-        F.length(F.regexp_replace("t", SPACE, "")).cast("long").alias("word_chars"),
-        F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.transform(F.array_remove(F.split("t", SPACE), ""), lambda w: F.xxhash64(w)).alias("h"))
-    rows = rows.select(
-        "doc_id", *GROUP, F.size("h").cast("long").alias("n_words"), "word_chars", "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        # h stands here more than once, so it stays a column of its own and is not evaluated anew per window
-        F.when(F.size("h") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("h") - (WINDOW - 1)),
-                                                  lambda i: F.xxhash64(F.slice("h", i, WINDOW)))).alias("win"))
-    pairs = F.when(F.size(F.array_distinct("win")) < F.size("win"),
-                   F.sort_array(F.transform("win", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
-    rows = rows.select("*", pairs.alias("s")).drop("win")
+    rows = _once(
+        rows, *ids,
+        lines=F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+        word_chars=F.length(F.regexp_replace("t", SPACE, "")).cast("long"),
+        n_symbols=F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long"),
+        h=F.transform(F.array_remove(F.split("t", SPACE), ""), lambda w: F.xxhash64(w)))
+    rows = _once(
+        rows, *ids, "word_chars", "n_symbols", n_words=F.size("h").cast("long"),
+        n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        win=F.when(F.size("h") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("h") - (WINDOW - 1)),
+                                                      lambda i: F.xxhash64(F.slice("h", i, WINDOW)))))
+    rows = _once(rows, *ids, *counts, s=F.when(
+        F.size(F.array_distinct("win")) < F.size("win"),
+        F.sort_array(F.transform("win", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     same = F.filter("s", lambda e, k: F.coalesce(F.get("s", k - 1)["h"] == e["h"], F.lit(False))
                     | F.coalesce(F.get("s", k + 1)["h"] == e["h"], F.lit(False)))
-    rows = rows.select("*", F.sort_array(F.transform(same, lambda e: e["i"])).alias("p")).drop("s")
+    rows = _once(rows, *ids, *counts, p=F.sort_array(F.transform(same, lambda e: e["i"])))
     covered = F.aggregate(
         F.transform("p", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get("p", k + 1) - x, F.lit(WINDOW)))),
         F.lit(0).cast("long"), lambda a, b: a + b)
-    rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("p")
+    rows = _once(rows, *ids, *counts, n_repeat_words=F.coalesce(covered, F.lit(0).cast("long")))
     return rows.withColumn("base_failed", (F.col("n_words") < 20)
                            | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
