@@ -38,6 +38,14 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def arrow_schema(schema: str) -> tuple[StructType, pa.Schema]:
     kind = _parse_datatype_string(schema)
     return kind, to_arrow_schema(kind)

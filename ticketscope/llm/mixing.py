@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketscope.llm.common import cut
+from ticketscope.llm.common import cut, fresh
 
 DOMAINS = ("good", "toxic", "poor")
 #: Target share of all expected tokens of each domain.
@@ -38,10 +38,10 @@ def domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 1.0).when(quality == 1, 0.0).when((quality == 0) & (toxic == 0), 2.0)
 
 
-def tokenised(docs: DataFrame) -> DataFrame:
+def tokenised(docs: DataFrame, *keep: str) -> DataFrame:
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), t.alias("text")).select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.array_remove(F.split("text", SPLIT), "").alias("tokens"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), t.alias("text"), *keep).select(
+        "doc_id", *keep, F.xxhash64("text").alias("text_hash"), F.array_remove(F.split("text", SPLIT), "").alias("tokens"))
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> PipelineModel | None:
@@ -55,9 +55,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
         return None
     part = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, max_labelled / n)))
     # the sample's size is bounded by max_labelled, whatever the number of documents
-    rows = cut(tokenised(docs.join(F.broadcast(part.select(F.col("doc_id").alias("_id"))),
-                                   F.col("doc_id").cast("long") == F.col("_id"), "left_semi")).join(
-        F.broadcast(part), "doc_id").select("tokens", "label"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(part), "doc_id")
+    rows = cut(tokenised(own, "label").select("tokens", "label"))
     if rows.select("label").distinct().count() < 2:
         return None
     return Pipeline(stages=[
@@ -169,11 +168,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """``docs`` with each row as often as its rate says: the whole part of the
     rate, and once more for the share of ids (by hash) that its fraction is."""
     u = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "text_hash"), F.lit(1 << 20)) / float(1 << 20)
-    copies = (mixing_rates(docs, labels, targets, budget).withColumn("_copies", F.floor(F.col("rate") + u).cast("int"))
-              .where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_copies")
-              .distinct())
-    names = docs.columns
-    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return (docs.withColumn("_own", own)
-            .join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
-            .withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names))
+    of_id, of_text, own, n = (fresh(docs, x) for x in ("rate_id", "rate_text", "own_text", "n_copies"))
+    copies = (mixing_rates(docs, labels, targets, budget)
+              .select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_text),
+                      F.floor(F.col("rate") + u).cast("int").alias(n)).where(F.col(n) > 0).distinct())
+    rows = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return (rows.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & (F.col(own) == F.col(of_text)))
+            .select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(own)).select(*docs.columns))

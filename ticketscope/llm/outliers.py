@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketscope.llm.common import BROADCAST_ROWS, cut
+from ticketscope.llm.common import BROADCAST_ROWS, cut, fresh
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
@@ -215,6 +215,6 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS) -
 
 def keep_regular(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """``docs`` without the documents that the rules reject."""
-    good = quality_rules(docs, cutoff).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return (docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
-            .select(*docs.columns))
+    kept_id = fresh(docs, "kept_id")
+    good = quality_rules(docs, cutoff).where("kept").select(F.col("doc_id").alias(kept_id)).distinct()
+    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)), "left_semi")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ticketscope.llm.common import cut, map_arrow, texts
+from ticketscope.llm.common import cut, fresh, map_arrow, texts
 from ticketscope.llm.graph import components
 
 SEED = 42
@@ -147,6 +147,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     doc_id. Rows that repeat a doc_id and text stay once; rows without a doc_id
     stay (each text once) if no document of their component has one."""
     found = near_duplicates(docs, shingle, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = cut(found.groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_n")))
-    one = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi").select(*docs.columns)
-    return one if kept.where("_n > 1").isEmpty() else one.dropDuplicates(["doc_id", "text"])
+    kept_id = fresh(docs, "kept_id")
+    kept = cut(found.groupBy(F.col("doc_id").alias(kept_id)).agg(F.count("*").alias(fresh(docs, "n_rows"))))
+    one = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)), "left_semi")
+    return one if kept.where(F.col(kept.columns[1]) > 1).isEmpty() else one.dropDuplicates(["doc_id", "text"])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ticketscope.llm.common import bitmap, in_bitmap, map_arrow, mix64, shared_table
+from ticketscope.llm.common import bitmap, fresh, in_bitmap, map_arrow, mix64, shared_table
 from ticketscope.llm.licenses import WORD_BYTES
 
 #: Base of the rolling hash of word hashes (modulo 2**64).
@@ -204,6 +204,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, min_
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5,
                       min_coverage: float = 0.8) -> DataFrame:
     """``docs`` without the documents that hold a test item."""
-    bad = contaminated(docs, benchmark, min_match, min_coverage).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return (docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")), "left_anti")
-            .select(*docs.columns))
+    bad_id = fresh(docs, "bad_id")
+    bad = contaminated(docs, benchmark, min_match, min_coverage).select(F.col("doc_id").alias(bad_id)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)), "left_anti")
