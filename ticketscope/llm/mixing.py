@@ -62,7 +62,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     return Pipeline(stages=[
         HashingTF(inputCol="tokens", outputCol="counts", numFeatures=FEATURES),
         Normalizer(inputCol="counts", outputCol="features"),
-        LogisticRegression(maxIter=30, regParam=1e-5, family="multinomial", probabilityCol="p",
+        LogisticRegression(maxIter=20, regParam=1e-5, family="multinomial", probabilityCol="p",
                            rawPredictionCol="raw", predictionCol="domain"),
     ]).fit(rows)
 
@@ -111,39 +111,41 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
     return [r[-1] / r[i] for i, r in enumerate(m)]
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, max_steps: int = 25) -> Fit:
+def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, max_steps: int = 12) -> Fit:
     """Projected-gradient least squares over ``rows`` (n_tokens, p0..).
 
     Domain k's target is ``targets[k] * budget`` times all tokens. Each step is
-    one aggregate of a sum per domain over all documents; the gradient is scaled
-    by the domains' joint token matrix, halved when the misfit grows, and ended
-    at ``TOLERANCE``. Only those sums and the steps (a number per domain each)
-    are on the driver. Targets that no rates reach end at the nearest totals.
+    one aggregate over all documents: the domains' expected totals and the joint
+    token matrix of the documents at a positive rate, by which the gradient is
+    scaled. A step that does not lessen the misfit is halved; the fit ends at
+    ``TOLERANCE``. Only those sums and the steps (a number per domain each) are
+    on the driver. Targets that no rates reach end at the nearest totals found.
     """
     K = range(len(DOMAINS))
-    t = F.col("n_tokens").cast("double")
-    first = rows.agg(F.coalesce(F.sum(t), F.lit(0.0)), *[
-        F.coalesce(F.sum(t * F.col(f"p{i}") * F.col(f"p{j}")), F.lit(0.0)) for i in K for j in K]).first()
-    whole = first[0]
-    goal = [targets[d] * budget * whole for d in DOMAINS]
-    if not whole:
-        return Fit([], goal, [0.0 for _ in K])
-    joint = [[first[1 + i * len(K) + j] / whole + 1e-4 * (i == j) for j in K] for i in K]
+    t, p = F.col("n_tokens").cast("double"), [F.col(f"p{k}") for k in K]
 
-    def totals(steps):
-        return list(rows.agg(*[F.sum(rate(steps) * t * F.col(f"p{k}")) for k in K]).first())
+    def sums(steps):
+        at = rows.select("n_tokens", *p, rate(steps).alias("r"))
+        row = at.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in (
+            t, *[F.col("r") * t * p[k] for k in K],
+            *[F.when(F.col("r") > 0, t * p[i] * p[j]) for i in K for j in K])]).first()
+        joint = row[1 + len(K):]
+        return row[0], list(row[1:1 + len(K)]), [[joint[i * len(K) + j] for j in K] for i in K]
 
-    steps, reached, step = [], totals([]), 1.0
-    for _ in range(max_steps):
+    whole, reached, joint = sums([])
+    goal = [targets[d] * budget * whole for d in DOMAINS]
+    steps, step = [], 1.0
+    for _ in range(max_steps if whole else 0):
         miss = [(s - g) / whole for s, g in zip(reached, goal)]
-        if max(map(abs, miss)) < TOLERANCE or step < 1e-3:
+        if max(map(abs, miss)) < TOLERANCE:
             break
-        trial = [*steps, [step * x for x in _solve(joint, miss)]]
-        then = totals(trial)
+        scale = [[joint[i][j] / whole + 1e-6 * (i == j) for j in K] for i in K]
+        trial = [*steps, [step * x for x in _solve(scale, miss)]]
+        _, then, matrix = sums(trial)
         if sum(((s - g) / whole) ** 2 for s, g in zip(then, goal)) < sum(x * x for x in miss):
-            steps, reached = trial, then
+            steps, reached, joint, step = trial, then, matrix, 1.0
         else:
-            step /= 2
+            step /= 4
     return Fit(steps, goal, reached)
 
 
