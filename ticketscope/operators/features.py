@@ -168,6 +168,7 @@ def txt_stratified_split(df: DataFrame, *, id_col: str, label_col: str, test: fl
     md5(id:seed); the first round(test*n) are test, the next round(val*n) validation."""
     from ticketscope.operators.drift import running_totals
     key = F.struct(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), F.col(id_col))
+    df = df.where(F.col(label_col).isNotNull())  # a row without a class is in no part of the split
     n = df.groupBy(label_col).agg(F.count("*").alias("_n"))
     # exact rank inside each class without a per-class ordered window
     x = running_totals(df.withColumn("_ok", key).withColumn("_one", F.lit(1.0)), key=label_col, order="_ok",

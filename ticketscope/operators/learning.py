@@ -100,8 +100,8 @@ def al_diverse(candidates: DataFrame, *, max_samples: int = 20, seed: int = 42)
     feats = ["f_len", "uncertainty_score", "confidence", "f_words", "f_q", "f_e"]
     vec = VectorAssembler(inputCols=feats, outputCol="features").transform(f)
     n = vec.count()
-    if n <= max_samples:
-        return candidates
+    if n <= max_samples:  # every candidate is a cluster of its own; same columns as below
+        return candidates.withColumn("cluster", F.lit(None).cast("int"))
     model = KMeans(k=max_samples, seed=seed, featuresCol="features", predictionCol="cluster").fit(vec)
     clustered = model.transform(vec)
     best = top_n_per_group(clustered, "cluster", [F.desc("uncertainty_score"), F.col("text_id")], 1, "_r")

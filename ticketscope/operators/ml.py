@@ -100,8 +100,15 @@ def ml_predict_batch(model: PipelineModel, df: DataFrame, *, text_col: str = "cu
     labels = model_labels(model)
     d = txt_preprocess(df, text_col=text_col)
     cols_needed = set(d.columns)
-    out = model.transform(d.withColumn("_has", F.length("processed_text") > 0))
-    probs = vector_to_array("probability") if "probability" in out.columns else F.array()
+    # scoring needs no label: a category that training did not see, or none, must not fail the job
+    scorer = PipelineModel(stages=[st for st in model.stages if st.__class__.__name__ != "StringIndexerModel"])
+    out = scorer.transform(d.withColumn("_has", F.length("processed_text") > 0))
+    if "probability" in out.columns:
+        probs = vector_to_array("probability")
+    else:  # one-vs-rest margins: softmax, so that they rank and sum like probabilities
+        raw = vector_to_array("rawPrediction")
+        odds = F.transform(raw, lambda x: F.exp(x - F.array_max(raw)))
+        probs = F.transform(odds, lambda x: x / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b))
     pm = F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), probs)
     out = out.withColumn("probabilities", pm).withColumn("confidence", F.array_max(probs))
     out = (out.withColumn("predicted_category", F.when(F.col("_has"), F.col("predicted_category"))
@@ -188,6 +195,8 @@ def spark_params(model_type: str, p: dict) -> dict:
     if model_type == "logistic_regression":
         return {"C": p.get("C", 1.0), "maxIter": p.get("max_iter", 1000)}
     if model_type == "svm":
+        if p.get("kernel", "linear") != "linear":
+            raise ValueError(f"no such SVM kernel here: {p['kernel']!r}")
         return {"regParam": 1.0 / max(p.get("C", 1.0), 1e-9)}
     return {}
 
@@ -210,6 +219,9 @@ def tune_cross_validate(prepared: DataFrame, model_type: str, grid: list[dict],
                 pm[est.regParam] = 1.0 / (v * n)
             elif est.hasParam(k):
                 pm[est.getParam(k)] = v
+            elif model_type == "svm":  # the parameter of the two-class machine inside one-vs-rest
+                inner = est.getClassifier().copy()
+                pm[est.classifier] = inner.copy({inner.getParam(k): v})
         maps.append(pm)
     del builder
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, numFolds=folds, parallelism=parallelism, seed=seed,

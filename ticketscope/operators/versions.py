@@ -123,20 +123,25 @@ def ab_route(requests: DataFrame, tests, *, ts_col: str = "ts", id_col: str = "r
 
 
 def agg_routing_stats(routed: DataFrame, tests) -> DataFrame:
-    """Per test: totals, A/B counts and shares, expected vs actual split."""
-    cfg = {t["test_id"]: t for t in _tests_list(tests)}
-    out = None
-    for tid, t in cfg.items():
-        d = routed.where(F.col("test_id") == tid)
-        n = F.count("*")
-        a = F.count_if(F.col("model_chosen") == t["model_a"])
-        b = F.count_if(F.col("model_chosen") == t["model_b"])
-        g = d.agg(F.lit(tid).alias("test_id"), n.alias("total_requests"), a.alias("model_a_count"),
-                  b.alias("model_b_count"),
-                  F.coalesce(F.try_divide(a * 100.0, n), F.lit(0.0)).alias("model_a_percentage"),
-                  F.coalesce(F.try_divide(b * 100.0, n), F.lit(0.0)).alias("model_b_percentage"),
-                  F.lit(float(t["traffic_split"]) * 100).alias("expected_split"))
-        out = g if out is None else out.unionByName(g)
+    """Per test: totals, A/B counts and shares, expected vs actual split.
+
+    One aggregate over the routed requests, joined to the tests (a list or a
+    table of any size)."""
+    cfg = tests if isinstance(tests, DataFrame) else routed.sparkSession.createDataFrame(
+        [(t["test_id"], t["model_a"], t["model_b"], float(t["traffic_split"])) for t in tests],
+        "test_id string, model_a string, model_b string, traffic_split double")
+    counts = routed.where(F.col("test_id").isNotNull()).groupBy("test_id", "model_chosen").agg(F.count("*").alias("n"))
+    n, a, b = F.col("total_requests"), F.col("model_a_count"), F.col("model_b_count")
+
+    def of(model: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("model_chosen") == F.col(model), F.col("n"))), F.lit(0))
+
+    out = (cfg.join(counts, "test_id", "left").groupBy("test_id").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_requests"), of("model_a").alias("model_a_count"),
+        of("model_b").alias("model_b_count"), (F.first("traffic_split") * 100).alias("expected_split"))
+        .select("test_id", "total_requests", "model_a_count", "model_b_count",
+                F.coalesce(F.try_divide(a * 100.0, n), F.lit(0.0)).alias("model_a_percentage"),
+                F.coalesce(F.try_divide(b * 100.0, n), F.lit(0.0)).alias("model_b_percentage"), "expected_split"))
     return out.withColumn("actual_split", F.col("model_b_percentage"))
 
 

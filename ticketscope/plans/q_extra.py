@@ -240,7 +240,7 @@ reg("join_ab_interval", _ab_interval,
 
 def _vocab_lookup(s, sf):
     c = q_text._clean(s, sf)
-    r = FE.txt_token_sequence(c, id_col="ticket_id", text_col="clean", num_words=1000, max_len=100)
+    r = FE.txt_token_sequence(c, id_col="ticket_id", text_col="clean", num_words=10000, max_len=100)
     return r.select("doc_id", F.size(F.filter("sequence", lambda x: x == 1)).alias("oov_tokens"))
 
 
@@ -267,13 +267,13 @@ reg("join_pre_post_window", _pre_post,
 
 
 def _top_terms(s, sf):
-    t = FE.txt_tfidf(q_text._clean(s, sf), id_col="ticket_id", text_col="clean", max_features=2000)
+    t = FE.txt_tfidf(q_text._clean(s, sf), id_col="ticket_id", text_col="clean", max_features=10000)
     return top_n_per_group(t.where(F.col("tfidf") > 0), "doc_id", [F.desc("tfidf"), F.desc("term")], 20).select(
         "doc_id", "term", "rank")
 
 
 reg("win_top_terms_per_doc", _top_terms,
-    f"""WITH {q_text.tfidf_sql(2000)},
+    f"""WITH {q_text.tfidf_sql(10000)},
     n AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS tfidf FROM w)
     SELECT doc_id, term, rank FROM (SELECT doc_id, term,
            row_number() OVER (PARTITION BY doc_id ORDER BY tfidf DESC, term DESC) AS rank FROM n WHERE tfidf > 0)
@@ -293,7 +293,7 @@ reg("win_top_features_per_class", _top_class,
 def _importance(s, sf):
     from ticketscope.operators import ml as ML
     from ticketscope.operators.windows import srt_feature_importance
-    m = ML.ml_train_pipeline(spark_view(s, sf, "v_tickets"), model_type="random_forest", max_features=2000)
+    m = ML.ml_train_pipeline(spark_view(s, sf, "v_tickets"), model_type="random_forest", max_features=10000)
     cv = next(st for st in m.stages if st.__class__.__name__ == "CountVectorizerModel")
     rf = next(st for st in m.stages if st.__class__.__name__ == "RandomForestClassificationModel")
     imp = rf.featureImportances.toArray()
@@ -358,7 +358,7 @@ reg("fn_base64", _b64, "SELECT event_id, props FROM events")
 
 def _pruned(s, sf):
     t = spark_view(s, sf, "v_tickets")
-    return FE.txt_tfidf_pruned(t, id_col="ticket_id", text_col="customer_message", max_features=3000,
+    return FE.txt_tfidf_pruned(t, id_col="ticket_id", text_col="customer_message", max_features=10000,
                                ngram_range=(1, 1)).select("doc_id", "term", "tfidf")
 
 
@@ -371,7 +371,7 @@ def _pruned_sql():
     nd AS (SELECT count(*) AS n FROM v_tickets),
     vocab AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1
               HAVING count(*) >= 2 AND count(*) <= floor((SELECT n FROM nd) * 0.95)
-              ORDER BY total DESC, term LIMIT 3000),
+              ORDER BY total DESC, term LIMIT 10000),
     w AS (SELECT tf.doc_id, tf.term, tf.tf * (ln((1 + n) / (1 + vocab.df)) + 1) AS w FROM tf JOIN vocab USING (term), nd)
     SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS tfidf FROM w"""
 

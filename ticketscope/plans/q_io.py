@@ -109,7 +109,7 @@ def _attachments(s, sf):
 
 
 reg("src_text_attachments", _attachments,
-    r"""SELECT doc_id, length(substring(regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g'), 1, 5000)) AS n_chars,
+    r"""SELECT doc_id, length(regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')) AS n_chars,
               1 AS processed_count, 1.0 AS confidence
        FROM documents WHERE length(regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')) > 0""",
     [], ["confidence"])
@@ -158,7 +158,7 @@ def _state_model(s, sf):
     from ticketscope.operators import ml as ML
     base = _fresh(s, "model")
     t = spark_view(s, sf, "v_tickets")
-    m = ML.ml_train_pipeline(t, model_type="logistic_regression", max_features=2000)
+    m = ML.ml_train_pipeline(t, model_type="logistic_regression", max_features=10000)
     m.write().overwrite().save(base)
     back = PipelineModel.load(base)
     return ML.ml_predict_batch(back, t, with_prob_columns=False).select("ticket_id", "predicted_category")

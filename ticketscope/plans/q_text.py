@@ -127,7 +127,7 @@ reg("fn_contains_any",
 
 def _tfidf(s, sf):
     c = _clean(s, sf)
-    return FE.txt_tfidf(c, id_col="ticket_id", text_col="clean", max_features=2000).select("doc_id", "term", "tfidf")
+    return FE.txt_tfidf(c, id_col="ticket_id", text_col="clean", max_features=10000).select("doc_id", "term", "tfidf")
 
 
 def tfidf_sql(max_features: int, ngrams: int = 2) -> str:
@@ -145,7 +145,7 @@ def tfidf_sql(max_features: int, ngrams: int = 2) -> str:
 
 
 reg("txt_tfidf", _tfidf,
-    f"WITH {tfidf_sql(2000)} SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS tfidf FROM w",
+    f"WITH {tfidf_sql(10000)} SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS tfidf FROM w",
     ["v_tickets"], ["tfidf"])
 
 
@@ -169,7 +169,7 @@ reg("txt_counts", _counts,
 
 def _seq(s, sf):
     c = _clean(s, sf)
-    r = FE.txt_token_sequence(c, id_col="ticket_id", text_col="clean", num_words=1000, max_len=100)
+    r = FE.txt_token_sequence(c, id_col="ticket_id", text_col="clean", num_words=10000, max_len=100)
     return r.select("doc_id", F.array_join("sequence", ",").alias("sequence"))
 
 
@@ -178,7 +178,7 @@ reg("txt_token_sequence", _seq,
     tk AS (SELECT ticket_id, list_filter(string_split(lower(clean), ' '), lambda x: x <> '') AS toks FROM clean),
     pos AS (SELECT ticket_id, unnest(toks) AS word, generate_subscripts(toks, 1) - 1 AS pos FROM tk),
     vocab AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) + 1 AS idx FROM
-              (SELECT word, count(*) AS n FROM pos GROUP BY 1 ORDER BY n DESC, word LIMIT 998)),
+              (SELECT word, count(*) AS n FROM pos GROUP BY 1 ORDER BY n DESC, word LIMIT 9998)),
     enc AS (SELECT ticket_id, pos, coalesce(idx, 1) AS idx FROM pos LEFT JOIN vocab USING (word) WHERE pos < 100),
     seq AS (SELECT ticket_id, list(idx ORDER BY pos) AS s FROM enc GROUP BY 1)
     SELECT c.ticket_id AS doc_id,

@@ -89,12 +89,12 @@ TEXT_EXTENSIONS = [".txt", ".log", ".csv", ".json", ".xml", ".html"]
 
 
 def src_text_attachments(spark: SparkSession, path_glob: str, *, ticket_of: Column | None = None,
-                         max_chars: int = 5000, max_docs: int = 10) -> DataFrame:
+                         max_chars: int | None = None, max_docs: int | None = None) -> DataFrame:
     """Read plain-text attachments with ``binaryFile``; one row per ticket.
 
-    UTF-8 when valid (confidence 1.0) else ISO-8859-1 (0.8); stripped and
-    cut to ``max_chars``; the first ``max_docs`` files (by path) per ticket;
-    texts joined by a blank line, mean confidence.
+    UTF-8 when valid (confidence 1.0) else ISO-8859-1 (0.8), stripped. A report
+    may cut texts to ``max_chars`` and take the first ``max_docs`` files (by
+    path) per ticket; by default nothing is cut. Texts joined by a blank line, mean confidence.
     ``ticket_of`` maps the file path to a ticket id (default: parent folder).
     """
     raw = spark.read.format("binaryFile").load(path_glob)
@@ -107,12 +107,14 @@ def src_text_attachments(spark: SparkSession, path_glob: str, *, ticket_of: Colu
     tid = ticket_of if ticket_of is not None else F.element_at(F.split("path", "/"), -2)
     stripped = F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
     docs = raw.select(tid.alias("ticket_id"), "path",
-                      F.substring(stripped, 1, max_chars).alias("text"), conf.alias("confidence"))
+                      (stripped if max_chars is None else F.substring(stripped, 1, max_chars)).alias("text"),
+                      conf.alias("confidence"))
     docs = docs.where(F.length("text") > 0)
-    docs = docs.withColumn("_r", F.row_number().over(Window.partitionBy("ticket_id").orderBy("path")))
-    docs = docs.where(F.col("_r") <= max_docs)
+    if max_docs is not None:
+        docs = docs.withColumn("_r", F.row_number().over(Window.partitionBy("ticket_id").orderBy("path")))
+        docs = docs.where(F.col("_r") <= max_docs)
     g = docs.groupBy("ticket_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "text"))), lambda s: s["text"]),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda s: s["text"]),
                      "\n\n").alias("extracted_text"),
         F.count("*").alias("processed_count"), F.avg("confidence").alias("confidence"))
     return g

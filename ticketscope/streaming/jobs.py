@@ -46,10 +46,10 @@ def decode_messages(df: DataFrame, *, value_col: str = "value", offset_col: str
     schema = StructType(list(STREAM_MESSAGE.fields) + [StructField("_corrupt_record", StringType())])
     parsed = F.from_json(raw, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     d = df.withColumn("_m", parsed).withColumn("_raw", raw)
-    bad_json = F.col("_m").isNull() | F.col("_m._corrupt_record").isNotNull() | ~F.col("_raw").startswith("{")
+    bad_json = F.col("_m").isNull() | F.col("_m._corrupt_record").isNotNull() | ~F.ltrim(F.col("_raw")).startswith("{")
     missing = F.col("_m.customer_message").isNull()
     default_id = (F.concat(F.lit(id_prefix), F.col(offset_col).cast("string")) if offset_col
-                  else F.concat(F.lit(id_prefix), F.unix_millis(F.current_timestamp()).cast("string")))
+                  else F.concat(F.lit(id_prefix), F.expr("uuid()")))  # unique within a batch, too
     err = (F.when(bad_json, F.lit("Invalid JSON format"))
            .when(missing, F.lit("Missing required field: 'customer_message'")))
     keep = [c for c in df.columns if c not in (value_col,)]
@@ -177,8 +177,10 @@ def st_alert_cooldown(alerts: DataFrame, *, cooldown_minutes: int = 60, state_tt
         if last is not None:
             last = pd.Timestamp(last)
         kept = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values("ts", kind="stable")
+        # a key's alerts of one micro-batch may come in several Arrow chunks, in
+        # any order: they are put in time order together before the fold
+        chunks = [x for x in pdfs if len(x)]
+        for pdf in [pd.concat(chunks).sort_values("ts", kind="stable")] if chunks else []:
             mask = []
             for ts in pdf["ts"]:
                 t = pd.Timestamp(ts)
