@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +26,8 @@ DOMAINS = ("good", "toxic", "poor")
 TARGETS = {"good": 0.97, "toxic": 0.025, "poor": 0.005}
 #: At most about this many labelled documents train the classifier, chosen by a hash of their ids.
 MAX_LABELLED = 20_000
-FEATURES = 1 << 14
+#: Terms of the classifier: the commonest of those that stand in at least this share of the sample's documents.
+MAX_TERMS, MIN_SHARE = 1 << 14, 0.005
 #: Words, and the runs of other signs that follow a letter, as tokens of their own.
 SPLIT = r"\s+|(?<=\p{L})(?=[^\p{L}\s])"
 #: Largest share of all tokens that a domain's total may miss its target by at the end of the fit.
@@ -45,8 +46,8 @@ def tokenised(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> PipelineModel | None:
-    """Logistic regression over hashed tokens, from a bounded hash sample of the
-    labelled documents; None if fewer than two domains have a label."""
+    """Logistic regression over the terms a text has, from a bounded hash sample of
+    the labelled documents; None if fewer than two domains have a label."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain(F.col("quality"), F.col("toxic")).alias("label"))
              .where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label")))
     known = cut(known)
@@ -60,11 +61,15 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     if rows.select("label").distinct().count() < 2:
         return None
     return Pipeline(stages=[
-        HashingTF(inputCol="tokens", outputCol="counts", numFeatures=FEATURES),
-        Normalizer(inputCol="counts", outputCol="features"),
-        LogisticRegression(maxIter=20, regParam=1e-5, family="multinomial", probabilityCol="p",
-                           rawPredictionCol="raw", predictionCol="domain"),
-    ]).fit(rows)
+        CountVectorizer(inputCol="terms", outputCol="features", vocabSize=MAX_TERMS, minDF=MIN_SHARE, binary=True),
+        LogisticRegression(maxIter=20, regParam=1e-3, standardization=False, family="multinomial",
+                           probabilityCol="p", rawPredictionCol="raw", predictionCol="domain"),
+    ]).fit(with_terms(rows))
+
+
+def with_terms(rows: DataFrame) -> DataFrame:
+    """The tokens and the empty term, which every document has, so that there is a vocabulary."""
+    return rows.withColumn("terms", F.concat(F.array(F.lit("")), "tokens"))
 
 
 def posteriors(docs: DataFrame, model: PipelineModel | None) -> DataFrame:
@@ -75,7 +80,7 @@ def posteriors(docs: DataFrame, model: PipelineModel | None) -> DataFrame:
     if model is None:
         return rows.select("doc_id", "text_hash", n, *[F.lit(float(k == 0)).alias(f"p{k}") for k in range(len(DOMAINS))])
     seen = int(model.stages[-1].numClasses)  # labels above the largest one seen have no posterior
-    p = model.transform(rows).select("doc_id", "text_hash", n, vector_to_array("p").alias("p"))
+    p = model.transform(with_terms(rows)).select("doc_id", "text_hash", n, vector_to_array("p").alias("p"))
     return p.select("doc_id", "text_hash", "n_tokens", *[
         (F.get("p", F.lit(k)) if k < seen else F.lit(0.0)).alias(f"p{k}") for k in range(len(DOMAINS))])
 
