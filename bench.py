@@ -35,6 +35,8 @@ HEADLINE = [
     "ev_class_report", "join_pareto_dominance", "win_ema",
     # streaming
     "st_classify", "st_alert_cooldown",
+    # splits, bias, online learning
+    "txt_stratified_split", "ex_bias_pivot", "ol_incremental_model",
 ]
 
 

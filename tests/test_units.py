@@ -188,17 +188,22 @@ def test_nb_incremental_scores(spark):
     assert r == {1: "Billing", 2: "Tech"}
 
 
-def test_streaming_cooldown_state(spark, tmp_path):
+@pytest.mark.parametrize("chunk", ["10000", "2"])
+def test_streaming_cooldown_state(spark, tmp_path, chunk):
+    """Also with a key's alerts spread over several unordered Arrow chunks."""
     from ticketscope.streaming.jobs import st_alert_cooldown
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", chunk)
     t0 = dt.datetime(2024, 1, 1)
-    rows = [("acc", "m0", t0 + dt.timedelta(minutes=m), 0.1) for m in [0, 30, 59, 61, 100, 125]]
-    df = spark.createDataFrame(rows, "alert_type string, model_name string, ts timestamp, current_value double")
+    rows = [("acc", "m0", t0 + dt.timedelta(minutes=m), 0.1) for m in [100, 0, 61, 30, 125, 59]]
+    df = spark.createDataFrame(rows, "alert_type string, model_name string, ts timestamp, current_value double").coalesce(1)
     df.write.parquet(str(tmp_path / "alerts"))
     src = spark.readStream.schema(df.schema).parquet(str(tmp_path / "alerts"))
-    q = (st_alert_cooldown(src).writeStream.format("memory").queryName("kept_test").outputMode("append")
+    q = (st_alert_cooldown(src).writeStream.format("memory").queryName(f"kept_test_{chunk}").outputMode("append")
          .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
     q.awaitTermination(120)
-    mins = sorted(int((r.ts - t0).total_seconds() // 60) for r in spark.sql("select ts from kept_test").collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    mins = sorted(int((r.ts - t0).total_seconds() // 60) for r in spark.sql(f"select ts from kept_test_{chunk}").collect())
     assert mins == [0, 61, 125]
 
 
