@@ -433,3 +433,20 @@ def test_periodic_checks_match_direct_windows(spark):
     got_sub = {k: v for k, v in got.items() if k[1] in ("confidence_degradation", "error_rate_increase")}
     assert set(got_sub) == set(want)
     assert all(abs(got_sub[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_svm_scores_and_unseen_categories(spark):
+    """Margins become probabilities; scoring needs no known category; the grid reaches the inner machine."""
+    from ticketscope.operators import ml
+    words = {"Billing": "invoice refund payment", "Technical": "error crash broken"}
+    rows = [(i, f"{words[c]} number{i % 3}", c) for i, c in enumerate(["Billing", "Technical"] * 10)]
+    df = spark.createDataFrame(rows, "ticket_id long, customer_message string, category string")
+    model = ml.ml_train_pipeline(df, model_type="linear_svm", maxIter=5)
+    new = spark.createDataFrame([(1, "refund the invoice", "Never seen"), (2, "crash error", None), (3, "", None)],
+                                "ticket_id long, customer_message string, category string")
+    got = {r.ticket_id: r for r in ml.ml_predict_batch(model, new).collect()}
+    assert got[1].predicted_category == "Billing" and got[2].predicted_category == "Technical"
+    assert all(abs(sum(got[i].probabilities.values()) - 1) < 1e-9 and got[i].confidence > 0.5 for i in (1, 2))
+    assert got[3].predicted_category == "General Inquiry" and got[3].confidence == 0.0
+    with pytest.raises(ValueError):
+        ml.spark_params("svm", {"kernel": "rbf"})
