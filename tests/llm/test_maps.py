@@ -213,6 +213,24 @@ def test_main_text_without_semantic_tags():
     assert main_text(page) == "\n".join(prose(i, 60) for i in range(5))
 
 
+@pytest.mark.parametrize("tag", ["article", "main", 'div role="main"', "div", "body"])
+def test_main_text_of_a_sectioned_article(tag):
+    """A long section outscores its article; all other blocks stay."""
+    long = [f"Part {i}, " + "and, so, on, " * 2 + "x" * 400 for i in range(12)]
+    page = (f'<nav><a href=a>Menu</a></nav><{tag}><h1>Title</h1><p>Lead.</p><h2>One</h2><section><h3>Inner</h3>'
+            + "".join(f"<p>{x}</p>" for x in long) + "</section><h2>Two</h2><section><p>A short one, at the end.</p></section>"
+            "<ul><li>first</li><li>second</li></ul><table><tr><td>cell</td></tr></table><pre>code</pre>"
+            f"<blockquote>Quoted.</blockquote><aside>Related</aside></{tag.split()[0]}><footer>&copy; us</footer>")
+    assert main_text(page) == "\n".join(["Title", "Lead.", "One", "Inner", *long, "Two", "A short one, at the end.", "first",
+                                         "second", "cell", "code", "Quoted."])
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_main_text_of_unequal_divs(tag):
+    long = "A, b, c, " * 30 + "and so on"
+    assert main_text(f"<body><{tag}><div>{long}</div><div>Short.</div></{tag}></body>") == f"{long}\nShort."
+
+
 def test_main_text_awkward():
     assert main_text(None) == main_text("") == main_text("<nav><a>x</a></nav>") == ""
     assert main_text("plain text, no markup") == "plain text, no markup"

@@ -1,8 +1,9 @@
 """Main text of web pages by scoring the element tree.
 
 Paragraphs pass points for their length and commas to their ancestors; each
-ancestor's points are discounted by its link density. The best container is
-kept, with those siblings that score near it or are prose themselves.
+ancestor's points are discounted by its link density. The article around the
+best container is kept whole, with those siblings that score near it or are
+prose themselves.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
                   "p pre search section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd div section article main body".split())
 CONTAINER = frozenset("article main section div body td blockquote center html".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks of text that stand beside a container which no article or main encloses.
+BESIDE = HEADINGS | frozenset("ul ol dl table pre blockquote figure".split())
+PAGE = frozenset("#root html body".split())
 CLOSES_P = BLOCK - {"html", "body"}
 SELF_CLOSING = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"),
                 "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
@@ -48,11 +53,13 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "bonus", "dropped", "score", "chars", "links", "commas", "blocks")
+    __slots__ = ("tag", "parent", "children", "bonus", "dropped", "score", "chars", "links", "commas", "blocks",
+                 "points", "whole")
 
-    def __init__(self, tag, parent, bonus=0.0, dropped=False):
+    def __init__(self, tag, parent, bonus=0.0, dropped=False, whole=""):
         self.tag, self.parent, self.children = tag, parent, []
         self.bonus, self.dropped, self.score = bonus, dropped, None
+        self.points, self.whole = 0.0, whole
         self.chars = self.links = self.commas = 0
         self.blocks = False
 
@@ -60,6 +67,7 @@ class Node:
 def _open(tag: str, attrs: str, parent: Node) -> Node:
     dropped = parent.dropped or tag in DROP
     bonus = {"article": 25.0, "main": 15.0}.get(tag, 0.0)
+    whole = tag if tag in ("article", "main") else ""
     if not dropped and attrs.strip() and tag not in ("html", "body"):
         for m in ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
@@ -70,7 +78,9 @@ def _open(tag: str, attrs: str, parent: Node) -> Node:
                     bonus += 15.0
             elif name == "role":
                 dropped = dropped or value in ROLES
-                bonus += 15.0 * (value in ("main", "article"))
+                if value in ("main", "article"):
+                    bonus += 15.0
+                    whole = whole or value
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and \
                     re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 dropped = dropped or name != "aria-hidden"
@@ -79,7 +89,7 @@ def _open(tag: str, attrs: str, parent: Node) -> Node:
         while up is not None and up.tag not in ("article", "main"):
             up = up.parent
         dropped = up is None
-    return Node(tag, parent, bonus, dropped)
+    return Node(tag, parent, bonus, dropped, whole)
 
 
 def parse(html: str) -> Node:
@@ -168,14 +178,40 @@ def _density(node: Node) -> float:
     return node.links / node.chars if node.chars else 0.0
 
 
-def keep(root: Node, sibling_share: float = 0.2) -> list[Node]:
-    """The best container and those of its siblings that are kept, in page order."""
+def _enclosing(best: Node, root: Node) -> Node:
+    """The whole that ``best`` is a part of: its outermost article, else its
+    outermost main. Without these, the ancestor up to which a lone paragraph, a
+    section or a quotation continues, headings stand beside, or most of the
+    page's points are not yet held."""
+    found: dict[str, Node] = {}
+    up = best
+    while up is not None:
+        found[up.whole] = up
+        up = up.parent
+    if "article" in found or "main" in found:
+        return found.get("article") or found["main"]
+    for node in reversed(list(_elements(root))):  # children before their parents
+        if node.parent is not None:
+            node.parent.points += node.points
+    while best.tag not in PAGE:
+        up = best.parent
+        part = best.tag in ("section", "blockquote") or not best.blocks
+        titled = up.tag not in PAGE and any(
+            isinstance(c, Node) and not c.dropped and c.tag in HEADINGS for c in up.children)
+        if not (part and up.points > best.points or titled or 2 * best.points <= root.points):
+            break
+        best = up
+    return best
+
+
+def keep(root: Node, sibling_share: float = 0.2) -> list[Node | str]:
+    """The whole around the best container and those of its siblings that are kept, in page order."""
     _measure(root)
     scored: list[Node] = []
     for node in _elements(root):
         if node.tag not in PARAGRAPH or node.blocks or not node.chars:
             continue
-        points = (1.0 + node.commas + min(node.chars / 100.0, 3.0)) * (1.0 - _density(node))
+        points = node.points = (1.0 + node.commas + min(node.chars / 100.0, 3.0)) * (1.0 - _density(node))
         up, share = (node if node.tag in CONTAINER else node.parent), 1.0
         for level in range(3):
             if up is None or up.tag == "#root":
@@ -188,17 +224,20 @@ def keep(root: Node, sibling_share: float = 0.2) -> list[Node]:
     if not scored:
         return [root]
     best = max(scored, key=lambda x: x.score * (1.0 - _density(x)))  # ties: the first in page order
-    if best.parent is None:
-        return [best]
     least = max(10.0, sibling_share * best.score * (1.0 - _density(best)))
+    top = _enclosing(best, root)
+    if top is not best and top.tag in PAGE:  # the whole page, without its lists of links
+        return [x for x in top.children if isinstance(x, str) or not x.dropped and _density(x) <= 0.5]
+    if top.parent is None:
+        return [top]
     kept = []
-    for node in best.parent.children:
-        if node is best:
+    for node in top.parent.children:
+        if node is top:
             kept.append(node)
         elif isinstance(node, Node) and not node.dropped:
             own = (node.score or 0.0) * (1.0 - _density(node))
-            prose = node.tag == "p" and _density(node) < 0.25 and node.chars > 80
-            if node.score is not None and own >= least and node.tag == best.tag or prose or node.tag == "h1":
+            prose = (node.tag == "p" and node.chars > 80 or node.tag in BESIDE and not top.whole) and _density(node) < 0.25
+            if node.score is not None and own >= least and node.tag == top.tag or prose or node.tag == "h1":
                 kept.append(node)
     return kept
 
