@@ -50,6 +50,27 @@ def test_estimates_are_the_least_determinant_subset(spark):
     assert all(kept[i] for i in range(40)) and not any(kept[100 + i] for i in range(8))
 
 
+def test_an_outlier_in_any_one_statistic_is_rejected(spark):
+    def lines(i):
+        return "\n".join(prose(i * 100 + k, 12) for k in range(10))
+
+    whole = prose(900, 40_000).split()
+    odd = {
+        "x1": "\n".join(" ".join(whole[k:k + 12]) for k in range(0, len(whole), 12)),
+        "x2": " ".join(w + "ka" * 4 for w in lines(70).split()),
+        "x3": lines(71).replace(" ", "# ", 20),
+        "x4": lines(72) + "\n" + " ".join(lines(72).split()[:15]),
+        "x5": "\n".join(f"{x}\nYes." for x in lines(73).split("\n")),
+    }
+    rows = [(i, lines(i), "en", "a") for i in range(60)] + [(100 + k, t, "en", "a") for k, t in enumerate(odd.values())]
+    z = transformed(base_stats(documents(spark, rows))).toPandas().set_index("doc_id")
+    assert not z.base_failed.any()
+    got = {r.doc_id: r.kept for r in quality_rules(documents(spark, rows)).collect()}
+    assert all(got[i] for i in range(60))
+    assert [x for k, x in enumerate(odd) if got[100 + k]] == []
+    assert z.x4[103] > 0.1 and z.x4.drop(103).max() == 0 and z.x5.drop(104).max() == 0 and z.x3.drop(102).max() == 0
+
+
 def test_distance_matches_numpy(spark):
     rows = [(i, prose(i, 40 + 7 * i), "en", "a") for i in range(30)]
     docs = documents(spark, rows)

@@ -21,9 +21,11 @@ WINDOW = 8
 X = ["x1", "x2", "x3", "x4", "x5"]
 CELLS = [(i, j) for i in range(len(X)) for j in range(i + 1)]
 GROUP = ["lang", "source"]
-#: Variance added to each transformed statistic: a spread that is never held
-#: against a document, also where over half of a group does not vary at all.
-FLOOR = (1.0, 0.04, 0.04, 0.04, 0.25)
+#: Variance added to each transformed statistic, on the scale of its own range:
+#: a spread that is never held against a document, also where over half of a
+#: group does not vary at all. Each alone can pass ``CUTOFF``: x4 reaches 0.3,
+#: so its floor is that of a spread of 3 % repeated words.
+FLOOR = (0.25, 0.04, 0.04, 0.001, 0.1)
 #: Words of the usual kind (5 characters, no symbol, no repeat) that each rate is
 #: smoothed with, so that few words give no extreme rate.
 SMOOTH = 50
@@ -35,9 +37,9 @@ CONSISTENCY = 1.42
 STEPS = 3
 #: Distances are ranked in bins of this width of their logarithm; a subset ends with a whole bin.
 BIN = 1 / 64
-#: Squared distance above which a document is rejected: about the 1 - 1e-7
-#: quantile of chi-square with 5 degrees of freedom.
-CUTOFF = 43.0
+#: Squared distance above which a document is rejected: the 0.999 quantile of
+#: chi-square with 5 degrees of freedom.
+CUTOFF = 20.515
 #: Parts that a hot group is dealt into where the estimates are too many to broadcast.
 SALTS = 32
 
