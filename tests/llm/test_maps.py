@@ -12,7 +12,7 @@ from tests.llm.fixtures import ROWS, documents, labels, prose
 from ticketscope.llm import pu
 from ticketscope.llm.html_tree import extract, main_text
 from ticketscope.llm.lengths import at_limits, encoded_lengths, histogram, quantiles, sums, token_report
-from ticketscope.llm.licenses import BASE, automaton, evaluate, scan, scan_licenses, to_postfix
+from ticketscope.llm.licenses import BASE, automaton, evaluate, longest_postfix, scan, scan_licenses, to_postfix
 from ticketscope.llm.tokens import VOCABULARY, encoder, n_ids
 from ticketscope.llm.training_order import materialise, permute, read_slots, round_keys
 
@@ -154,6 +154,43 @@ def test_shunting_yard_precedence():
     assert evaluate("()") is None
 
 
+def test_expressions_of_any_length():
+    names = [f"lic-{i}" for i in range(500)]
+    want = {*names, "agpl"}
+    assert evaluate(" AND ".join([*names, "AGPL-3.0-only"])) == (want, 0.3)
+    assert evaluate("(" * 300 + " OR ".join([*names, "AGPL-3.0-only"]) + ")" * 300 + " some more") == (want, 0.5)
+    assert evaluate(" OR ".join(names) + " AND (AGPL-3.0-only OR")[0] == set(names)
+    assert evaluate("MIT " * 100_000) == ({"mit"}, 0.9)
+
+
+def test_longest_valid_beginning():
+    """Against the shunting-yard tried on every beginning, longest first."""
+    def value(tokens):  # a full parse by descent; None if the tokens are no expression
+        def level(i, ops):
+            if not ops:
+                if i < len(tokens) and tokens[i] == "(":
+                    x, i = level(i + 1, ["or", "and", "with"])
+                    return (x, i + 1) if i < len(tokens) and tokens[i] == ")" else (None, len(tokens) + 1)
+                return (tokens[i], i + 1) if i < len(tokens) and tokens[i] not in ("(", ")", "or", "and", "with") else (
+                    None, len(tokens) + 1)
+            x, i = level(i, ops[1:])
+            while i < len(tokens) and tokens[i] == ops[0]:
+                y, i = level(i + 1, ops[1:])
+                x = (x, y, ops[0])
+            return x, i
+        x, i = level(0, ["or", "and", "with"])
+        return x if i == len(tokens) else None
+
+    def flat(x):
+        return [x] if isinstance(x, str) else [*flat(x[0]), *flat(x[1]), x[2]]
+
+    r = random.Random(4)
+    for _ in range(3000):
+        tokens = [r.choice(["a", "b", "c", "a", "b", "or", "and", "or", "and", "with", "(", ")"]) for _ in range(r.randint(0, 14))]
+        n = next((k for k in range(len(tokens), 0, -1) if value(tokens[:k]) is not None), 0)
+        assert longest_postfix(tokens) == (flat(value(tokens[:n])) if n else [], n)
+
+
 # -- training order ----------------------------------------------------------
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 256, 1000, 4097])

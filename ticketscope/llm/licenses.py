@@ -82,40 +82,49 @@ def label_of(identifier: str) -> str:
     return re.sub(r"^(gpl-\d)\..*$", r"\1", x)
 
 
-def to_postfix(tokens: list[str]) -> list[str] | None:
-    """Shunting-yard: operators ``with`` over ``and`` over ``or``, left to
-    right, with parentheses. None if the tokens are no expression."""
+def longest_postfix(tokens: list[str]) -> tuple[list[str], int]:
+    """Shunting-yard over the longest beginning of ``tokens`` that is an
+    expression, and its number of tokens (0 if there is none): operators
+    ``with`` over ``and`` over ``or``, left to right, with parentheses."""
     out: list[str] = []
     stack: list[str] = []
+    opened = 0
     operand = True  # what must come next
-    for t in tokens:
+    done, rest, end = 0, [], 0  # output, operators left and tokens where it was last complete
+    for k, t in enumerate(tokens, 1):
         if t in RANK:
             if operand:
-                return None
+                break
             while stack and stack[-1] != "(" and RANK[stack[-1]] >= RANK[t]:
                 out.append(stack.pop())
             stack.append(t)
             operand = True
         elif t == "(":
             if not operand:
-                return None
+                break
             stack.append(t)
+            opened += 1
         elif t == ")":
-            if operand:
-                return None
-            while stack and stack[-1] != "(":
+            if operand or not opened:
+                break
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                return None
             stack.pop()
+            opened -= 1
         else:
             if not operand:
-                return None
+                break
             out.append(t)
             operand = False
-    if operand or "(" in stack:
-        return None
-    return out + stack[::-1]
+        if not operand and not opened:
+            done, rest, end = len(out), stack[::-1], k
+    return out[:done] + rest, end
+
+
+def to_postfix(tokens: list[str]) -> list[str] | None:
+    """Postfix form of a licence expression. None if the tokens are no expression."""
+    post, n = longest_postfix(tokens)
+    return post if n and n == len(tokens) else None
 
 
 def evaluate(expression: str) -> tuple[set[str], float] | None:
@@ -125,18 +134,19 @@ def evaluate(expression: str) -> tuple[set[str], float] | None:
     there is none."""
     own = FOREIGN.split(expression.lower(), maxsplit=1)[0]
     tokens = EXPRESSION.findall(own)
-    for end in range(min(len(tokens), 64), 0, -1):
-        post = to_postfix(tokens[:end])
-        if post is not None:
-            break
-    else:
+    post, n = longest_postfix(tokens)
+    if not n:
         return None
     stack: list[tuple[set[str], float]] = []
     for t in post:
         if t in RANK:
             (b, y), (a, x) = stack.pop(), stack.pop()
-            stack.append((a, min(1.0, x + EXCEPTION)) if t == "with"
-                         else (a | b, max(x, y) if t == "or" else min(x, y)))
+            if t == "with":
+                stack.append((a, min(1.0, x + EXCEPTION)))
+                continue
+            few, many = sorted((a, b), key=len)
+            many |= few
+            stack.append((many, max(x, y) if t == "or" else min(x, y)))
         else:
             label = label_of(t)
             stack.append(({label}, FREEDOM.get(label, UNKNOWN)))
