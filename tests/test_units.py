@@ -450,3 +450,25 @@ def test_svm_scores_and_unseen_categories(spark):
     assert got[3].predicted_category == "General Inquiry" and got[3].confidence == 0.0
     with pytest.raises(ValueError):
         ml.spark_params("svm", {"kernel": "rbf"})
+
+
+def test_counterfactuals_try_every_word(spark):
+    """The first three hits of a text, wherever its class flips."""
+    from ticketscope.operators.explain import ex_counterfactual, join_counterfactual_cand
+
+    class Model:  # flips where one of the words from position 4 on is replaced by "k1" or "k2"
+        def transform(self, df):
+            hit = F.expr("exists(slice(split(candidate, ' '), 5, 100), x -> x in ('k1', 'k2'))") | F.col("candidate").endswith("p1")
+            return df.withColumn("predicted_category", F.when(hit, F.lit("A"))).withColumn("confidence", F.lit(0.5))
+
+    lexicon = spark.createDataFrame([("A", "keyword", i, f"k{i}") for i in range(1, 8)] + [("A", "phrase", i, f"p{i}") for i in (1, 2, 3)],
+                                    "class string, kind string, rank int, term string")
+    df = spark.createDataFrame([(1, "a b c d e f g", "A"), (2, "a b c", "A"), (3, "a b c d e", "A"), (4, None, "A")],
+                               "id long, text string, target string")
+    cand = join_counterfactual_cand(df, lexicon, id_col="id", text_col="text", target_col="target")
+    assert cand.where("id = 1 and change_type = 'word_replacement'").count() == 7 * 5
+    got = ex_counterfactual(cand, Model(), id_col="id", target_col="target").collect()
+    assert sorted((r.id, r.candidate) for r in got if r.change_type == "word_replacement") == [
+        (1, "a b c d e k1 g"), (1, "a b c d k1 f g"), (1, "a b c d k2 f g"), (3, "a b c d k1"), (3, "a b c d k2")]
+    assert sorted((r.id, r.candidate) for r in got if r.change_type == "phrase_addition" and r.id < 4) == [
+        (1, "a b c d e f g p1"), (2, "a b c p1"), (3, "a b c d e p1")]

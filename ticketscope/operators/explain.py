@@ -89,28 +89,40 @@ def ex_class_lexicon(spark) -> DataFrame:
 
 
 def join_counterfactual_cand(df: DataFrame, lexicon: DataFrame, *, id_col: str, text_col: str,
-                             target_col: str, max_positions: int = 3, top_keywords: int = 5) -> DataFrame:
-    """Candidate rewrites: the first ``max_positions`` words replaced by each of
-    the target class's top keywords, plus each target phrase appended."""
+                             target_col: str, max_positions: int | None = None, top_keywords: int = 5) -> DataFrame:
+    """Candidate rewrites: every word (the first ``max_positions``, if given)
+    replaced by each of the target class's top keywords, plus each target phrase
+    appended. ``pos`` (null for phrases) and ``term_rank`` give their order."""
     words = df.select(id_col, text_col, target_col, F.posexplode(F.split(F.col(text_col), " ")).alias("pos", "w"))
-    words = words.where(F.col("pos") < max_positions)
+    if max_positions is not None:
+        words = words.where(F.col("pos") < max_positions)
     kw = F.broadcast(lexicon.where((F.col("kind") == "keyword") & (F.col("rank") <= top_keywords))
-                     .select(F.col("class").alias(target_col), F.col("term").alias("kw")))  # lexicon: config-sized
+                     .select(F.col("class").alias(target_col), F.col("term").alias("kw"),
+                             F.col("rank").alias("term_rank")))  # lexicon: config-sized
     rep = words.join(kw, target_col).select(
         id_col, target_col, F.lit("word_replacement").alias("change_type"),
         F.array_join(F.transform(F.split(F.col(text_col), " "),
-                                 lambda x, i: F.when(i == F.col("pos"), F.col("kw")).otherwise(x)), " ").alias("candidate"))
-    ph = F.broadcast(lexicon.where(F.col("kind") == "phrase").select(F.col("class").alias(target_col), F.col("term").alias("ph")))
+                                 lambda x, i: F.when(i == F.col("pos"), F.col("kw")).otherwise(x)), " ").alias("candidate"),
+        "pos", "term_rank")
+    ph = F.broadcast(lexicon.where(F.col("kind") == "phrase").select(
+        F.col("class").alias(target_col), F.col("term").alias("ph"), F.col("rank").alias("term_rank")))
     add = df.join(ph, target_col).select(id_col, target_col, F.lit("phrase_addition").alias("change_type"),
-                                          F.concat_ws(" ", F.col(text_col), F.col("ph")).alias("candidate"))
+                                          F.concat_ws(" ", F.col(text_col), F.col("ph")).alias("candidate"),
+                                          F.lit(None).cast("int").alias("pos"), "term_rank")
     return rep.unionByName(add)
 
 
-def ex_counterfactual(candidates: DataFrame, model, *, id_col: str, target_col: str, max_out: int = 5) -> DataFrame:
+def ex_counterfactual(candidates: DataFrame, model, *, id_col: str, target_col: str, max_out: int = 5,
+                      max_replacements: int = 3) -> DataFrame:
     """Score all candidates with one ``model.transform``; keep those predicted as
-    the target class, at most ``max_out`` per text (highest confidence first)."""
+    the target class: per text the first ``max_replacements`` word replacements
+    (by position, then keyword) and every phrase, at most ``max_out`` (highest
+    confidence first)."""
     scored = model.transform(candidates)
     hit = scored.where(F.col("predicted_category") == F.col(target_col))
+    first = Window.partitionBy(id_col, "change_type").orderBy("pos", "term_rank", "candidate")
+    hit = hit.withColumn("_r", F.row_number().over(first)).where(
+        (F.col("change_type") != "word_replacement") | (F.col("_r") <= max_replacements)).drop("_r")
     w = Window.partitionBy(id_col).orderBy(F.desc("confidence"), "candidate")
     return hit.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_out).drop("_r")
 

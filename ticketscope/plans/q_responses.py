@@ -235,7 +235,8 @@ def _cands(s, sf):
     t = spark_view(s, sf, "v_tickets").select(
         "ticket_id", txt_clean("customer_message").alias("clean"),
         F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (F.col("ticket_id") % 7 + 1).cast("int")).alias("target"))
-    c = EX.join_counterfactual_cand(t, EX.ex_class_lexicon(s), id_col="ticket_id", text_col="clean", target_col="target")
+    c = EX.join_counterfactual_cand(t, EX.ex_class_lexicon(s), id_col="ticket_id", text_col="clean", target_col="target",
+                                    max_positions=3)  # as in its oracle; ex_counterfactual tries every position
     return c.groupBy("ticket_id", "change_type").agg(F.count("*").alias("n"), F.max(F.length("candidate")).alias("max_len"))
 
 
