@@ -268,6 +268,28 @@ def test_main_text_of_unequal_divs(tag):
     assert main_text(f"<body><{tag}><div>{long}</div><div>Short.</div></{tag}></body>") == f"{long}\nShort."
 
 
+def test_attribute_values_of_any_length():
+    for quote in "\"'":
+        value = "a > b, <p>c</p> " * 20_000
+        assert main_text(f"<article><p data-x={quote}{value}{quote} id=x>One</p><p>Two</p></article>") == "One\nTwo"
+    assert main_text("<article><p title='a>One</p><p>Two, it is.</p></article>") == "One\nTwo, it is."  # never closed
+    assert main_text("<article><p don't>One</p><p>Two, isn't it.</p></article>") == "One\nTwo, isn't it."
+    main_text("<p title='a\">" * 50_000)             # quotes that pair across tags
+    main_text("<p title='>" + "<p title=\">" * 50_001)
+    main_text("<p a='>'" * 50_000)                   # every > inside a value
+
+
+def test_words_inside_attribute_values():
+    assert main_text("""<article><p data-x='<svg class="menu" hidden role=menu>' title="a hidden gem">One</p>
+        <p data-id=menu>Two</p><p class="menu">Not this</p><p hidden>Nor this</p></article>""") == "One\nTwo"
+
+
+def test_captions_and_formulas_stay():
+    page = ("<article><p>Text.</p><figure><img src=a><figcaption>A caption.</figcaption></figure>"
+            "<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p><svg><text>no</text></svg></article>")
+    assert main_text(page) == "Text.\nA caption.\nLet x=1 be."
+
+
 def test_main_text_awkward():
     assert main_text(None) == main_text("") == main_text("<nav><a>x</a></nav>") == ""
     assert main_text("plain text, no markup") == "plain text, no markup"

@@ -21,8 +21,7 @@ from ticketscope.llm.common import map_arrow
 RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROP = frozenset("head script style title textarea noscript iframe noembed noframes xmp template nav footer aside "
-                 "form button select option label fieldset input svg math canvas object audio video menu dialog "
-                 "figcaption".split())
+                 "form button select option label fieldset input svg canvas object audio video menu dialog".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset "
                   "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol "
                   "p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -46,9 +45,10 @@ PROSE = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z))"
-                 r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,20000}+\"|'[^']{0,20000}+')*+)>"
-                 r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
-ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+                 r"|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+#: What comes next inside a tag: its end or the start of a quoted value.
+NEXT = re.compile(r">|=\s*+([\"'])")
+ATTR = re.compile(r"([^\s\"'=/>]++)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 SPACE = re.compile(r"\s+")
 
 
@@ -92,21 +92,43 @@ def _open(tag: str, attrs: str, parent: Node) -> Node:
     return Node(tag, parent, bonus, dropped, whole)
 
 
+def _tag_end(html: str, at: int, dead: set[int]) -> int:
+    """Place of the ``>`` that ends a tag whose attributes start at ``at``:
+    quoted values of any length are passed over. If a quote never closes, the
+    first ``>``; the page's end without one. ``dead`` collects the places after
+    values from which no end is found, so that each is tried once a page."""
+    now, path = at, []
+    while now not in dead and (m := NEXT.search(html, now)):
+        if not m[1]:
+            return m.start()
+        close = html.find(m[1], m.end())
+        if close < 0:
+            break
+        now = close + 1
+        path.append(now)
+    dead.update(path)
+    first = html.find(">", at)
+    return first if first >= 0 else len(html)
+
+
 def parse(html: str) -> Node:
     """Element tree; text stands as strings among the children."""
     root = top = Node("#root", None)
     at, low = 0, None
+    dead: set[int] = set()
     for m in iter(lambda: TAG.search(html, at), None):
         if m.start() > at:
             top.children.append(html[at:m.start()])
-        at = m.end() if m.end() > m.start() else m.end() + 1
-        tag = m[2] or m[5]
+        at = m.end()
+        tag = m[2]
         if not tag:
             if m[0].startswith("<![CDATA["):
                 top.children.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
+        end = _tag_end(html, at, dead)
+        attrs, at = html[at:end], min(end + 1, len(html))
         tag = tag.lower()
-        if m[1] or m[4]:
+        if m[1]:
             up = top
             while up.parent is not None and up.tag != tag:
                 up = up.parent
@@ -126,7 +148,7 @@ def parse(html: str) -> Node:
                 up = up.parent
             if up.tag in same:
                 top = up.parent
-        node = _open(tag, m[3] or m[6] or "", top)
+        node = _open(tag, attrs, top)
         top.children.append(node)
         if tag in VOID:
             continue
