@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import json
 from functools import lru_cache
+from itertools import chain
 from typing import Iterable, Iterator
 
 import numpy as np
@@ -168,17 +169,23 @@ def align(a_ids: list[list[int]], b_ids: list[list[int]], a_size: np.ndarray, b_
     stretch between neighbouring ends lies in one A and one B token and is their
     link; an end of both closes a group.
     """
-    a = np.fromiter((i for x in a_ids for i in x), np.int64)
-    b = np.fromiter((i for x in b_ids for i in x), np.int64)
+    a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a_ids, b_ids))
     a_end, b_end = np.cumsum(a_size[a]), np.cumsum(b_size[b])
-    ends = np.union1d(a_end, b_end)
-    link_a, link_b = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
-    both = np.intersect1d(a_end, b_end, assume_unique=True)
-    n_a = np.cumsum([len(x) for x in a_ids])
-    last = np.concatenate(([0], a_end))[n_a]  # where each document's bytes end
-    return {"a": a, "b": b, "a_group": np.searchsorted(both, a_end), "b_group": np.searchsorted(both, b_end),
-            "keys": (b[link_b] << A_BITS) | a[link_a], "link_doc": np.searchsorted(last, ends),
-            "group_doc": np.searchsorted(last, both)}
+    line = np.zeros((2, int(a_end[-1]) + 1 if len(a) else 1), np.int32)
+    line[0, a_end] = line[1, b_end] = 1
+    ends, both = np.flatnonzero(line[0] | line[1]), np.flatnonzero(line[0] & line[1])
+    before_a, before_b = np.cumsum(line, 1, dtype=np.int32) - line  # tokens that end earlier
+    line[0] &= line[1]
+    groups = np.cumsum(line[0]) - line[0]
+    last = np.concatenate(([0], a_end))[np.cumsum([len(x) for x in a_ids])]  # where each document's bytes end
+    of = np.arange(len(a_ids))
+
+    def document(at: np.ndarray) -> np.ndarray:
+        return np.repeat(of, np.diff(np.searchsorted(at, last, "right"), prepend=0))
+
+    return {"a": a, "b": b, "a_group": groups[a_end], "b_group": groups[b_end],
+            "keys": (b[before_b[ends]] << A_BITS) | a[before_a[ends]], "link_doc": document(ends),
+            "group_doc": document(both)}
 
 
 class Spelling:
@@ -231,7 +238,7 @@ def encode_slice(doc_ids: list, texts: list[str | None], a_data: bytes, b_data:
            "groups_sha256": [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups],
            "groups": groups if with_groups else None}
     # pair-document records: pair, then document, with the links they stand for
-    order = np.lexsort((got["link_doc"], got["keys"]))
+    order = np.argsort(got["keys"], kind="stable")  # links stand in the order of the documents
     keys, docs = got["keys"][order], got["link_doc"][order]
     new_key = np.append(True, keys[1:] != keys[:-1])[:len(keys)]
     new = new_key | np.append(True, docs[1:] != docs[:-1])[:len(keys)]
