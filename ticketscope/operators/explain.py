@@ -88,34 +88,42 @@ def ex_class_lexicon(spark) -> DataFrame:
     return spark.createDataFrame(rows, "class string, kind string, rank int, term string")
 
 
-def join_counterfactual_cand(df: DataFrame, lexicon: DataFrame, *, id_col: str, text_col: str,
-                             target_col: str, max_positions: int | None = None, top_keywords: int = 5) -> DataFrame:
-    """Candidate rewrites: every word (the first ``max_positions``, if given)
-    replaced by each of the target class's top keywords, plus each target phrase
-    appended. ``pos`` (null for phrases) and ``term_rank`` give their order."""
-    words = df.select(id_col, text_col, target_col, F.posexplode(F.split(F.col(text_col), " ")).alias("pos", "w"))
-    if max_positions is not None:
-        words = words.where(F.col("pos") < max_positions)
-    kw = F.broadcast(lexicon.where((F.col("kind") == "keyword") & (F.col("rank") <= top_keywords))
-                     .select(F.col("class").alias(target_col), F.col("term").alias("kw"),
-                             F.col("rank").alias("term_rank")))  # lexicon: config-sized
-    rep = words.join(kw, target_col).select(
-        id_col, target_col, F.lit("word_replacement").alias("change_type"),
-        F.array_join(F.transform(F.split(F.col(text_col), " "),
-                                 lambda x, i: F.when(i == F.col("pos"), F.col("kw")).otherwise(x)), " ").alias("candidate"),
-        "pos", "term_rank")
-    ph = F.broadcast(lexicon.where(F.col("kind") == "phrase").select(
-        F.col("class").alias(target_col), F.col("term").alias("ph"), F.col("rank").alias("term_rank")))
-    add = df.join(ph, target_col).select(id_col, target_col, F.lit("phrase_addition").alias("change_type"),
-                                          F.concat_ws(" ", F.col(text_col), F.col("ph")).alias("candidate"),
-                                          F.lit(None).cast("int").alias("pos"), "term_rank")
-    return rep.unionByName(add)
+def join_counterfactual_cand(df: DataFrame, lexicon: DataFrame, *, id_col: str, text_col: str, target_col: str,
+                             top_keywords: int = 5, texts: bool = True) -> DataFrame:
+    """Candidate rewrites: every word replaced by each of the target class's top
+    keywords, plus each target phrase appended. ``pos`` (null for phrases) and
+    ``term_rank`` give their order, ``length`` the rewritten text's characters.
+
+    ``texts=True`` also builds each rewritten text (``candidate``), which grows
+    with the square of a text; without it a candidate is its word and term, and
+    ``counterfactual.changed_text`` builds the few texts that are wanted.
+    """
+    n = F.length(F.col(text_col))
+    carried = [id_col, target_col, n.alias("_n"), *([text_col] if texts else [])]
+    terms = F.broadcast(lexicon.select(F.col("class").alias(target_col), "kind", F.col("term"),
+                                       F.col("rank").alias("term_rank")))  # lexicon: config-sized
+    rep = (df.select(*carried, F.posexplode(F.split(F.col(text_col), " ")).alias("pos", "replaced"))
+           .join(terms.where((F.col("kind") == "keyword") & (F.col("term_rank") <= top_keywords)), target_col))
+    add = df.select(*carried).join(terms.where(F.col("kind") == "phrase"), target_col)
+    out = [F.col(id_col), F.col(target_col)]
+
+    def text(c):
+        return [c.alias("candidate")] if texts else []
+
+    swapped = F.array_join(F.transform(F.split(F.col(text_col), " "),
+                                       lambda x, i: F.when(i == F.col("pos"), F.col("term")).otherwise(x)), " ")
+    return rep.select(*out, F.lit("word_replacement").alias("change_type"), *text(swapped), "pos", "term_rank", "replaced",
+                      "term", (F.col("_n") - F.length("replaced") + F.length("term")).alias("length")).unionByName(
+        add.select(*out, F.lit("phrase_addition").alias("change_type"), *text(F.concat_ws(" ", F.col(text_col), F.col("term"))),
+                   F.lit(None).cast("int").alias("pos"), "term_rank", F.lit(None).cast("string").alias("replaced"), "term",
+                   (F.col("_n") + 1 + F.length("term")).alias("length")))
 
 
 def ex_counterfactual(candidates: DataFrame, model, *, id_col: str, target_col: str, max_out: int = 5,
                       max_replacements: int = 3) -> DataFrame:
-    """Score all candidates with one ``model.transform``; keep those predicted as
-    the target class: per text the first ``max_replacements`` word replacements
+    """Score all candidates with one ``model.transform`` (any model; for linear text
+    models ``counterfactual.ex_counterfactual_linear`` needs no rewritten texts);
+    keep those predicted as the target class: per text the first ``max_replacements`` word replacements
     (by position, then keyword) and every phrase, at most ``max_out`` (highest
     confidence first)."""
     scored = model.transform(candidates)

@@ -236,8 +236,8 @@ def _cands(s, sf):
         "ticket_id", txt_clean("customer_message").alias("clean"),
         F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (F.col("ticket_id") % 7 + 1).cast("int")).alias("target"))
     c = EX.join_counterfactual_cand(t, EX.ex_class_lexicon(s), id_col="ticket_id", text_col="clean", target_col="target",
-                                    max_positions=3)  # as in its oracle; ex_counterfactual tries every position
-    return c.groupBy("ticket_id", "change_type").agg(F.count("*").alias("n"), F.max(F.length("candidate")).alias("max_len"))
+                                    texts=False)
+    return c.groupBy("ticket_id", "change_type").agg(F.count("*").alias("n"), F.max("length").alias("max_len"))
 
 
 def _cands_sql():
@@ -252,7 +252,7 @@ def _cands_sql():
     t AS (SELECT ticket_id, clean, {cats}[ticket_id % 7 + 1] AS target, string_split(clean, ' ') AS words FROM clean),
     w AS (SELECT ticket_id, clean, target, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS pos FROM t),
     rep AS (SELECT ticket_id, 'word_replacement' AS change_type, length(clean) - length(w) + length(lex.term) AS len
-            FROM w JOIN lex ON lex.class = w.target AND lex.kind = 'keyword' AND lex.rank <= 5 WHERE pos < 3),
+            FROM w JOIN lex ON lex.class = w.target AND lex.kind = 'keyword' AND lex.rank <= 5),
     ph AS (SELECT ticket_id, 'phrase_addition' AS change_type, length(clean) + 1 + length(lex.term) AS len
            FROM t JOIN lex ON lex.class = t.target AND lex.kind = 'phrase')
     SELECT ticket_id, change_type, count(*) AS n, max(len) AS max_len FROM (SELECT * FROM rep UNION ALL SELECT * FROM ph)
