@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ticketscope.constants import CONFIDENCE_HIGH, CONFIDENCE_MEDIUM, PRIORITY_LEVELS
 from ticketscope.operators._util import epoch_micros, safe_div
+from ticketscope.operators.ranks import with_percentiles
 
 
 # ----------------------------------------------------------------- filters
@@ -230,10 +231,10 @@ def agg_conf_histogram(df: DataFrame, bins: int = 20, col: str = "confidence") -
 
 
 def agg_conf_box(df: DataFrame, *, category_col="predicted_category", col="confidence") -> DataFrame:
-    q = F.percentile(F.col(col), [0.0, 0.25, 0.5, 0.75, 1.0])
-    g = df.groupBy(category_col).agg(q.alias("q"))
-    return g.select(category_col, *[F.col("q")[i].alias(n) for i, n in
-                                    enumerate(["min", "q1", "median", "q3", "max"])])
+    """Box plot numbers per category; the quartiles by rank selection."""
+    g = df.groupBy(category_col).agg(F.min(F.col(col).cast("double")).alias("min"), F.max(F.col(col).cast("double")).alias("max"))
+    q = with_percentiles(g, df, [category_col], col, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return q.select(category_col, "min", "q1", "median", "q3", "max")
 
 
 def agg_data_quality(df: DataFrame) -> DataFrame:
@@ -278,8 +279,14 @@ def agg_feature_ref_stats(df: DataFrame, features, exact: bool = True) -> DataFr
                                                    F.col(f).cast("double").alias("value"))
                                           for f in features])).alias("s")).select("s.*")
     ps = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
-    q = F.percentile("value", ps) if exact else F.percentile_approx("value", ps, 10000)
+    return reference_stats(long, ps, exact)
+
+
+def reference_stats(long: DataFrame, shares=(0.25, 0.5, 0.75, 0.9, 0.95, 0.99), exact: bool = True) -> DataFrame:
+    """The statistics of ``agg_feature_ref_stats`` over rows (feature, value)."""
+    names = {f"p{int(p * 100)}": p for p in shares}
+    approx = [] if exact else [F.percentile_approx("value", p, 10000).alias(n) for n, p in names.items()]
     g = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
-                                    F.min("value").alias("min"), F.max("value").alias("max"), q.alias("q"))
-    return g.select("feature", "mean", "std", "min", "max",
-                    *[F.col("q")[i].alias(f"p{int(p * 100)}") for i, p in enumerate(ps)])
+                                    F.min("value").alias("min"), F.max("value").alias("max"), *approx)
+    g = with_percentiles(g, long, ["feature"], "value", names) if exact else g
+    return g.select("feature", "mean", "std", "min", "max", *names)

@@ -17,12 +17,11 @@ from pyspark.sql.types import TimestampNTZType
 from ticketscope.constants import ALERT_COOLDOWN_MINUTES, MONITOR_THRESHOLDS
 from ticketscope.operators._util import (as_of_col, epoch_micros, explode_fired, from_epoch_seconds, hours,
                                         minutes, safe_div)
+from ticketscope.operators.ranks import with_percentiles
 
 
-def _pct(col: Column, q, exact: bool) -> Column:
-    # exact = pandas' linear interpolation; approx keeps a bounded sketch per
-    # group, which is what a single hot model at 100 TB needs.
-    return F.percentile(col, q) if exact else F.percentile_approx(col, q, 10000)
+#: Latency percentiles of the metrics.
+LATENCY_SHARES = {"p95_latency_ms": 0.95, "p99_latency_ms": 0.99}
 
 
 def _metric_aggs(cond: Column, window_hours: float, exact: bool) -> list[Column]:
@@ -36,8 +35,7 @@ def _metric_aggs(cond: Column, window_hours: float, exact: bool) -> list[Column]
         F.max(w(F.col("confidence"))).alias("max_confidence"),
         F.stddev_samp(w(F.col("confidence"))).alias("confidence_std"),
         F.avg(w(F.col("latency_ms"))).alias("avg_latency_ms"),
-        _pct(w(F.col("latency_ms")), 0.95, exact).alias("p95_latency_ms"),
-        _pct(w(F.col("latency_ms")), 0.99, exact).alias("p99_latency_ms"),
+        *([] if exact else [F.percentile_approx(w(F.col("latency_ms")), q, 10000).alias(n) for n, q in LATENCY_SHARES.items()]),
         n.alias("total_predictions"),
         (n / F.lit(float(window_hours))).alias("predictions_per_hour"),
         safe_div(F.count_if(cond & (F.col("predicted_class") == "Error")), n).alias("error_rate"),
@@ -46,13 +44,18 @@ def _metric_aggs(cond: Column, window_hours: float, exact: bool) -> list[Column]
 
 def mon_metrics(preds: DataFrame, *, as_of=None, window_hours: float = 24,
                 model_name: str | None = None, exact_percentiles: bool = True) -> DataFrame:
-    """Per-model metrics over ``[as_of - window, as_of]`` (one row per model)."""
+    """Per-model metrics over ``[as_of - window, as_of]`` (one row per model).
+
+    Percentiles are exact (linear interpolation, found by rank selection: no
+    task holds a model's log); ``exact_percentiles=False`` takes the sketch's.
+    """
     t = as_of_col(preds, as_of)
     lo = t - hours(window_hours)
     df = preds.where((F.col("ts") >= lo) & (F.col("ts") <= t))
     if model_name is not None:
         df = df.where(F.col("model_name") == model_name)
-    return df.groupBy("model_name").agg(*_metric_aggs(F.lit(True), window_hours, exact_percentiles))
+    out = df.groupBy("model_name").agg(*_metric_aggs(F.lit(True), window_hours, exact_percentiles))
+    return with_percentiles(out, df, ["model_name"], "latency_ms", LATENCY_SHARES) if exact_percentiles else out
 
 
 def mon_class_distribution(preds: DataFrame, *, as_of=None, window_hours: float = 24) -> DataFrame:
