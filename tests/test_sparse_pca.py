@@ -22,7 +22,7 @@ def as_long(spark, x):
 def test_components_variance_and_reconstruction(spark):
     x = matrix()
     rows = sparse_rows(as_long(spark, x)).persist()
-    model = fit_sparse_pca(rows, size=40, k=6, n=len(x), tol=1e-10, max_passes=60)
+    model = fit_sparse_pca(rows, size=40, k=6, n=len(x), tol=1e-12, max_passes=60)
     centred = x - x.mean(0)
     values, vectors = np.linalg.eigh(centred.T @ centred / (len(x) - 1))
     values, vectors = values[::-1][:6], vectors[:, ::-1][:, :6]

@@ -181,9 +181,67 @@ def drift_chi2(ref: DataFrame, cur: DataFrame, *, label_col: str = "label",
             .withColumn("drift_detected", F.col("p_value") < threshold))
 
 
+#: Bins of a feature, and the grid that log-odds are rounded to, in the domain classifier.
+DOMAIN_BINS, DOMAIN_GRID = 20, 1 << 20
+
+
+def drift_domain_classifier(ref: DataFrame, cur: DataFrame, features: list[str], *, id_col: str = "id",
+                            threshold: float = 0.7) -> DataFrame:
+    """Covariate shift by a cross-fitted domain classifier: (n, auc, drift_detected).
+
+    Rows fall into two halves by a digest of their id. Per half, feature and
+    bin, the log-odds of the current sample against the reference are learned
+    (each class weighs the same whatever its size, one smoothing count per
+    bin); a row's score adds the log-odds that the OTHER half learned, so no
+    row is scored by itself. Scores are whole numbers on a fixed grid, ties
+    count half. One plan: the odds table has halves x features x bins rows.
+    """
+    xs = F.array(*[F.col(f).cast("double") for f in features]).alias("x")
+
+    def one(df, tag):
+        return df.select(F.col(id_col).cast("string").alias("id"), F.lit(tag).alias("sample"), xs)
+
+    half = F.when(F.substring(F.md5(F.concat_ws(":", "sample", "id")), 1, 1) < "8", 0).otherwise(1)
+    both = one(ref, "ref").unionByName(one(cur, "cur")).withColumn("half", half)
+    lo, hi = (both.agg(F.array(*[end(F.col("x")[i]) for i in range(len(features))]).alias("e")).scalar() for end in (F.min, F.max))
+
+    def bin_of(x, i):
+        a, b = F.get(F.col("lo"), i), F.get(F.col("hi"), i)
+        inside = F.least(F.floor((x - a) * DOMAIN_BINS / (b - a)), F.lit(DOMAIN_BINS - 1))
+        return F.when(x.isNull(), -1).when(a == b, 0).otherwise(inside).cast("int")
+
+    binned = (both.withColumn("lo", lo).withColumn("hi", hi)
+              .select("sample", "half", F.transform("x", bin_of).alias("bins")))
+    # identical (sample, half, bins) rows count together from here on
+    cells = binned.groupBy("sample", "half", "bins").agg(F.count("*").alias("c"))
+    long = cells.select("half", "sample", "c", F.posexplode("bins").alias("feature", "bin"))
+    n = cells.groupBy("half").agg(F.sum(F.when(F.col("sample") == "ref", F.col("c")).otherwise(0)).alias("n_ref"),
+                                  F.sum(F.when(F.col("sample") == "cur", F.col("c")).otherwise(0)).alias("n_cur"))
+    seen = long.groupBy("half", "feature", "bin").agg(
+        F.sum(F.when(F.col("sample") == "ref", F.col("c")).otherwise(0)).alias("r"),
+        F.sum(F.when(F.col("sample") == "cur", F.col("c")).otherwise(0)).alias("c"))
+    odds = F.ln((F.col("c") + 1.0) / (F.col("n_cur") + DOMAIN_BINS)) - F.ln((F.col("r") + 1.0) / (F.col("n_ref") + DOMAIN_BINS))
+    learned = seen.join(F.broadcast(n), "half").select(
+        (1 - F.col("half")).alias("half"), F.struct("feature", "bin").alias("k"),
+        F.round(odds * DOMAIN_GRID).cast("long").alias("v"))
+    tables = learned.groupBy("half").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    # the two maps hold features x bins entries: bounded, broadcast
+    scored = cells.join(F.broadcast(tables), "half", "left").withColumn("score", F.aggregate(
+        F.transform("bins", lambda b, i: F.coalesce(F.element_at("m", F.struct(i.alias("feature"), b.alias("bin"))), F.lit(0).cast("long"))),
+        F.lit(0).cast("long"), lambda a, v: a + v))
+    by_score = scored.groupBy("score").agg(F.sum(F.when(F.col("sample") == "ref", F.col("c")).otherwise(0)).cast("double").alias("c_ref"),
+                                           F.sum(F.when(F.col("sample") == "cur", F.col("c")).otherwise(0)).cast("double").alias("c_cur"))
+    cum = running_totals(by_score.withColumn("one", F.lit(1)), key="one", order="score", cols=["c_ref"])
+    auc = F.sum(F.col("c_cur") * (F.col("cum_c_ref") - F.col("c_ref") / 2)) / (F.sum("c_cur") * F.sum("c_ref"))
+    out = cum.agg(F.sum(F.col("c_ref") + F.col("c_cur")).cast("long").alias("n"), auc.alias("auc"))
+    return out.withColumn("drift_detected", F.col("auc") > threshold)
+
+
 def drift_report(ref: DataFrame, cur: DataFrame, features: list[str], *, label_col: str | None = "label",
-                 threshold: float = DRIFT_THRESHOLD) -> DataFrame:
-    """One row per method: (method, score, drift_detected, detail)."""
+                 id_col: str | None = "id", threshold: float = DRIFT_THRESHOLD) -> DataFrame:
+    """One row per method: (method, score, drift_detected). Six methods; without
+    ``label_col`` the chi-square row is left out, without ``id_col`` the
+    covariate-shift row, as methods that could not run."""
     long = melt(ref, cur, features).cache()
     cdf = _cdf_table(long).cache()
     ks = drift_ks(long, threshold=threshold, cdf=cdf).agg(
@@ -201,8 +259,11 @@ def drift_report(ref: DataFrame, cur: DataFrame, features: list[str], *, label_c
     out = ks.unionByName(psi).unionByName(js).unionByName(wd)
     if label_col is not None:
         ch = drift_chi2(ref, cur, label_col=label_col, threshold=threshold).select(
-            F.lit("chi_square").alias("method"), F.col("p_value").alias("score"), "drift_detected")
+            F.lit("chi2_test").alias("method"), F.col("p_value").alias("score"), "drift_detected")
         out = out.unionByName(ch)
+    if id_col is not None:
+        out = out.unionByName(drift_domain_classifier(ref, cur, features, id_col=id_col).select(
+            F.lit("covariate_shift").alias("method"), F.col("auc").alias("score"), "drift_detected"))
     return out
 
 

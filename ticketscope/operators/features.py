@@ -284,14 +284,20 @@ def ft_topics(counts_vec: DataFrame, *, k: int = 20, max_iter: int = 20, seed: i
 
 
 def ft_pca(vec: DataFrame, *, k: int = 100, features_col: str = "features", out: str = "pca") -> DataFrame:
-    """PCA on mean-centred vectors (Spark's PCA transform does not centre)."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    centred = StandardScaler(withMean=True, withStd=False, inputCol=features_col,
-                             outputCol="_centred").fit(vec).transform(vec)
-    from pyspark.ml.linalg import DenseVector  # noqa: F401
-    size = len(centred.select("_centred").first()[0])
-    model = PCA(k=min(k, size), inputCol="_centred", outputCol=out).fit(centred)
-    return model.transform(centred).drop("_centred")
+    """PCA coordinates of mean-centred vectors.
+
+    Spark's components already belong to the centred covariance, but its
+    transform does not centre: the mean's own coordinates are subtracted
+    afterwards, so sparse vectors stay sparse. (``sparse_pca`` also bounds the
+    driver's work for thousands of terms.)
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    mean = vec.agg(Summarizer.mean(F.col(features_col)).alias("m")).first()["m"]  # one row
+    model = PCA(k=min(k, len(mean)), inputCol=features_col, outputCol=out).fit(vec)
+    shift = F.array(*[F.lit(float(x)) for x in mean.toArray() @ model.pc.toArray()])
+    return model.transform(vec).withColumn(out, array_to_vector(F.zip_with(vector_to_array(out), shift, lambda a, b: a - b)))
 
 
 def strip_accents(c: Column) -> Column:

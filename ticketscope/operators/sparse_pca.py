@@ -105,12 +105,12 @@ class SparsePca:
                          np.array(rows[0].weights), rows[0]["mean"], rows[0].n)
 
 
-def fit_sparse_pca(rows: DataFrame, *, size: int, k: int = 100, tol: float = 1e-6, max_passes: int = 30,
+def fit_sparse_pca(rows: DataFrame, *, size: int, k: int = 100, tol: float = 1e-4, max_passes: int = 30,
                    seed: int = 42, n: int | None = None) -> SparsePca:
     """Leading ``k`` components of the rows (``idx``, ``val``) of ``size`` terms.
 
     ``n`` counts rows that are all zero too (default: the rows given). Passes end
-    when every kept variance changes by less than ``tol`` of the largest one.
+    when the variance that the components hold grows by less than ``tol`` of it.
     """
     k = min(k, size)
     width = min(size, k + EXTRA)
@@ -135,9 +135,9 @@ def fit_sparse_pca(rows: DataFrame, *, size: int, k: int = 100, tol: float = 1e-
         values, vectors = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
         values, vectors = values[::-1], vectors[:, ::-1]
         best, kept = q @ vectors[:, :k], values[:k]
-        if before is not None and np.abs(kept - before).max() <= tol * max(kept[0], 1e-300):
+        if before is not None and kept.sum() - before <= tol * kept.sum():
             break
-        before = kept
+        before = kept.sum()
         q = np.linalg.qr(z)[0]
     sign = np.sign(best[np.abs(best).argmax(0), np.arange(k)])  # the largest weight of a component is positive
     return SparsePca(best * np.where(sign == 0, 1, sign), mean, np.maximum(kept, 0.0),

@@ -98,19 +98,55 @@ reg("drift_js", lambda s, sf: D.drift_js(_long(s, sf)), JS_SQL, ["v_drift_ref",
 
 def _chi2(s, sf):
     r = D.drift_chi2(spark_view(s, sf, "v_drift_ref"), spark_view(s, sf, "v_drift_cur"))
-    return r.select("chi2_statistic", "dof", F.array_join("unseen_classes", ",").alias("unseen_classes"))
+    return r.select("chi2_statistic", "dof", F.array_join("unseen_classes", ",").alias("unseen_classes"), "p_value",
+                    "drift_detected")
 
 
-reg("drift_chi2", _chi2,
-    """WITH r AS (SELECT label, count(*) AS ref_count FROM v_drift_ref GROUP BY 1),
-    c AS (SELECT label, count(*) AS cur_count FROM v_drift_cur GROUP BY 1),
+def chi2_sql(cur: str = "v_drift_cur") -> str:
+    """The upper tail 1 - P(dof / 2, x / 2) by the power series of the lower incomplete gamma function."""
+    return f"""WITH r AS (SELECT label, count(*) AS ref_count FROM v_drift_ref GROUP BY 1),
+    c AS (SELECT label, count(*) AS cur_count FROM {cur} GROUP BY 1),
     j AS (SELECT coalesce(r.label, c.label) AS label, coalesce(ref_count, 0) AS ref_count, coalesce(cur_count, 0) AS cur_count
           FROM r FULL OUTER JOIN c ON r.label = c.label),
-    t AS (SELECT CAST(sum(ref_count) AS DOUBLE) AS nr, CAST(sum(cur_count) AS DOUBLE) AS nc FROM j)
-    SELECT sum(CASE WHEN ref_count > 0 THEN pow(cur_count - ref_count * nc / nr, 2) / (ref_count * nc / nr) END) AS chi2_statistic,
+    t AS (SELECT CAST(sum(ref_count) AS DOUBLE) AS nr, CAST(sum(cur_count) AS DOUBLE) AS nc FROM j),
+    s AS (SELECT sum(CASE WHEN ref_count > 0 THEN pow(cur_count - ref_count * nc / nr, 2) / (ref_count * nc / nr) END) AS chi2_statistic,
            count(*) FILTER (WHERE ref_count > 0) - 1 AS dof,
            coalesce(array_to_string(list_sort(list(label) FILTER (WHERE ref_count = 0)), ','), '') AS unseen_classes
-    FROM j, t""", ["v_drift_ref", "v_drift_cur"], ["chi2_statistic"])
+          FROM j, t),
+    p AS (SELECT *, CASE WHEN chi2_statistic <= 0 THEN 1.0 ELSE least(1.0, greatest(0.0, 1.0 - list_sum(list_transform(range(0, 1000),
+              lambda i: exp((dof / 2.0 + i) * ln(chi2_statistic / 2.0) - chi2_statistic / 2.0 - lgamma(dof / 2.0 + i + 1)))))) END AS p_value FROM s)
+    SELECT *, p_value < 0.05 AS drift_detected FROM p"""
+
+
+reg("drift_chi2", _chi2, chi2_sql(), ["v_drift_ref", "v_drift_cur"], ["chi2_statistic", "p_value"])
+
+
+def domain_sql(cur: str = "v_drift_cur") -> str:
+    """The cross-fitted domain classifier; features one after the other, as a long table."""
+    bins, grid = D.DOMAIN_BINS, D.DOMAIN_GRID
+    return f"""WITH b AS (SELECT 'ref' AS sample, CAST(id AS VARCHAR) AS id, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in FEATURES)} FROM v_drift_ref
+              UNION ALL SELECT 'cur', CAST(id AS VARCHAR), {', '.join(f'CAST({f} AS DOUBLE)' for f in FEATURES)} FROM {cur}),
+    h AS (SELECT *, CASE WHEN md5(sample || ':' || id) < '8' THEN 0 ELSE 1 END AS half FROM b),
+    l AS ({' UNION ALL '.join(f"SELECT sample, id, half, '{f}' AS feature, {f} AS x FROM h" for f in FEATURES)}),
+    g AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM l GROUP BY 1),
+    bx AS (SELECT l.*, CAST(CASE WHEN x IS NULL THEN -1 WHEN hi = lo THEN 0
+               ELSE least(floor((x - lo) * {bins} / (hi - lo)), {bins - 1}) END AS INTEGER) AS bin FROM l JOIN g USING (feature)),
+    n AS (SELECT half, count(*) FILTER (WHERE sample = 'ref') AS n_ref, count(*) FILTER (WHERE sample = 'cur') AS n_cur FROM h GROUP BY 1),
+    o AS (SELECT 1 - half AS half, feature, bin,
+                 CAST(round((ln((count(*) FILTER (WHERE sample = 'cur') + 1.0) / (any_value(n_cur) + {bins}))
+                           - ln((count(*) FILTER (WHERE sample = 'ref') + 1.0) / (any_value(n_ref) + {bins}))) * {grid}) AS BIGINT) AS v
+          FROM bx JOIN n USING (half) GROUP BY half, feature, bin),
+    s AS (SELECT sample, id, sum(coalesce(v, 0)) AS score FROM bx LEFT JOIN o USING (half, feature, bin) GROUP BY 1, 2),
+    c AS (SELECT score, CAST(count(*) FILTER (WHERE sample = 'ref') AS DOUBLE) AS c_ref, CAST(count(*) FILTER (WHERE sample = 'cur') AS DOUBLE) AS c_cur
+          FROM s GROUP BY 1),
+    r AS (SELECT *, sum(c_ref) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS below FROM c),
+    a AS (SELECT CAST(sum(c_ref + c_cur) AS BIGINT) AS n, sum(c_cur * (below - c_ref / 2)) / (sum(c_cur) * sum(c_ref)) AS auc FROM r)
+    SELECT *, auc > 0.7 AS drift_detected FROM a"""
+
+
+for _name, _cur in (("drift_domain_classifier", "v_drift_cur"), ("drift_domain_classifier_shifted", "v_drift_cur_shift")):
+    reg(_name, lambda s, sf, c=_cur: D.drift_domain_classifier(spark_view(s, sf, "v_drift_ref"), spark_view(s, sf, c), FEATURES),
+        domain_sql(_cur), ["v_drift_ref", _cur], ["auc"])
 
 
 def report_sql(cur: str) -> str:
@@ -123,12 +159,13 @@ def report_sql(cur: str) -> str:
     UNION ALL SELECT 'psi', avg(psi), avg(psi) > 0.1 FROM psi
     UNION ALL SELECT 'js_divergence', avg(js_divergence), avg(js_divergence) > 0.1 FROM js
     UNION ALL SELECT 'wasserstein', avg(wasserstein_distance) / (SELECT s FROM sd),
-                     avg(wasserstein_distance) / (SELECT s FROM sd) > 0.1 FROM w"""
+                     avg(wasserstein_distance) / (SELECT s FROM sd) > 0.1 FROM w
+    UNION ALL SELECT 'chi2_test', p_value, drift_detected FROM ({chi2_sql(cur)})
+    UNION ALL SELECT 'covariate_shift', auc, drift_detected FROM ({domain_sql(cur)})"""
 
 
 def _report(cur):
-    return lambda s, sf: D.drift_report(spark_view(s, sf, "v_drift_ref"), spark_view(s, sf, cur), FEATURES,
-                                        label_col=None)
+    return lambda s, sf: D.drift_report(spark_view(s, sf, "v_drift_ref"), spark_view(s, sf, cur), FEATURES)
 
 
 reg("drift_report", _report("v_drift_cur"), report_sql("v_drift_cur"), ["v_drift_ref", "v_drift_cur"], ["score"])

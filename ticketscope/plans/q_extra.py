@@ -21,6 +21,7 @@ from ticketscope.operators.windows import srt_probabilities, top_n_per_group
 from ticketscope.plans import q_monitor, q_text, q_ensemble, q_drift, q_audit
 from ticketscope.plans.fixtures import VOTE_CLASSES, spark_view
 from ticketscope.plans.registry import Query
+from ticketscope.session import materialize
 from ticketscope.sources import sinks as SK
 from ticketscope.streaming.jobs import scratch
 
@@ -394,6 +395,47 @@ reg("drift_fit_reference", _fit_reference,
     ["avg_length", "avg_word_count"])
 
 
+def _text_samples(s, sf):
+    """Tickets of the first half of the month and of the second."""
+    t = spark_view(s, sf, "v_tickets").select("ticket_id", "customer_message", "category", "ts")
+    split = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    return t.where(F.col("ts") < split), t.where(F.col("ts") >= split)
+
+
+def _fit_text_reference(s, sf):
+    from ticketscope.operators.text_drift import TextReference, fit_reference
+    base = _fresh(s, "text_ref")
+    ref, _ = _text_samples(s, sf)
+    fitted, stats, texts = fit_reference(ref, id_col="ticket_id", text_col="customer_message", label_col="category")
+    fitted.save(s, f"{base}/features")
+    SK.save_state(stats, f"{base}/stats")
+    n = TextReference.load(s, f"{base}/features").vocabulary.count()
+    return SK.load_state(s, f"{base}/stats").withColumn("n_terms", F.lit(n))
+
+
+reg("drift_fit_text_reference", _fit_text_reference)
+
+
+def _text_report(s, sf):
+    """Six methods over the components of the reference's TF-IDF."""
+    from ticketscope.operators.text_drift import fit_text_reference, text_features
+    ref, cur = _text_samples(s, sf)
+    fitted = fit_text_reference(ref, id_col="ticket_id", text_col="customer_message")
+    k = len(fitted.pca.variance)
+    names = [f"f{i:03d}" for i in range(k)]
+
+    def wide(df):
+        x = text_features(df, fitted, id_col="ticket_id", text_col="customer_message")
+        cols = [F.col("features")[i].alias(n) for i, n in enumerate(names)]
+        return materialize(x.join(df.select(F.col("ticket_id").alias("id"), F.col("category").alias("label")), "id").select(
+            "id", "label", *cols))
+
+    return D.drift_report(wide(ref), wide(cur), names)
+
+
+reg("drift_text_report", _text_report)
+
+
 def _recommend(s, sf):
     r = q_drift._report("v_drift_cur_shift")(s, sf)
     return D.drift_recommend(r).select(F.array_join("recommendations", " | ").alias("recommendations"))
@@ -401,10 +443,12 @@ def _recommend(s, sf):
 
 reg("drift_recommend", _recommend,
     f"""WITH rep AS ({q_drift.report_sql('v_drift_cur_shift')}),
-    g AS (SELECT max(CASE WHEN method = 'psi' THEN score END) AS psi, count(*) FILTER (WHERE drift_detected) AS n FROM rep)
+    g AS (SELECT max(CASE WHEN method = 'psi' THEN score END) AS psi, count(*) FILTER (WHERE drift_detected) AS n,
+                 bool_or(drift_detected) FILTER (WHERE method = 'covariate_shift') AS cov FROM rep)
     SELECT concat_ws(' | ',
       CASE WHEN psi > 0.2 THEN 'Major distribution shift detected - immediate model retraining recommended'
            WHEN psi > 0.1 THEN 'Moderate distribution shift - monitor closely and consider retraining' END,
+      CASE WHEN cov THEN 'Covariate shift detected - review feature engineering and data sources' END,
       CASE WHEN n >= 3 THEN 'Multiple drift indicators - comprehensive model review needed'
            WHEN n >= 2 THEN 'Some drift indicators present - increase monitoring frequency' END) AS recommendations FROM g""",
     ["v_drift_ref", "v_drift_cur_shift"])

@@ -148,12 +148,12 @@ reg("ft_topics", _topics)
 
 
 def _pca(s, sf):
-    from pyspark.ml.feature import VectorAssembler
-    from ticketscope.operators.features import STAT_FEATURES, ft_pca, ft_statistical
-    f = ft_statistical(_tickets(s, sf).select("ticket_id", "customer_message"), "customer_message")
-    v = VectorAssembler(inputCols=STAT_FEATURES, outputCol="features").transform(f)
-    from pyspark.ml.functions import vector_to_array
-    return ft_pca(v, k=5).select("ticket_id", vector_to_array("pca").alias("pc"))
+    """TF-IDF of 5,000 terms to 100 components."""
+    from ticketscope.operators.text_drift import fit_text_reference, text_features
+    t = _tickets(s, sf).select("ticket_id", "customer_message")
+    fitted = fit_text_reference(t, id_col="ticket_id", text_col="customer_message", max_features=5000, k=100)
+    return text_features(t, fitted, id_col="ticket_id", text_col="customer_message").select(
+        F.col("id").alias("ticket_id"), F.col("features").alias("pc"))
 
 
 reg("ft_pca", _pca)
