@@ -1,8 +1,7 @@
 """Audit trail, compliance rules, retention and GDPR requests.
 
-Compliance rules are configuration (a handful of rows): they are turned
-into column predicates at plan time and evaluated in one projection over
-the events with ``explode`` - no rule x event join. GDPR identity matching
+Compliance rules are a table of any size, bucketed by threshold: an event
+meets the buckets up to its own value in an equi-join, never all rules. GDPR identity matching
 ``user_id = req.user_id OR user_id = req.email`` is rewritten into an
 equi-join on an exploded identity list, so it plans as a hash join
 instead of a nested loop.
@@ -13,11 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketscope.operators._util import as_of_col, epoch_micros, explode_fired
+from ticketscope.operators._util import as_of_col, epoch_micros
+from ticketscope.operators.intervals import above_thresholds
 from ticketscope.operators.windows import win_top_users
 
-MAX_RULES = 10_000  # rules are config; refuse to plan a "rule table" that is data
-
 # The three default compliance rules.
 DEFAULT_RULES = [
     {"rule_id": "data_retention", "name": "Data Retention Policy", "rule_type": "retention",
@@ -29,15 +27,17 @@ DEFAULT_RULES = [
 ]
 
 
-def _rules_list(rules) -> list[dict]:
-    if rules is None:
-        return DEFAULT_RULES
+RULE_COLUMNS = ("rule_id string, name string, rule_type string, severity string, enabled boolean, retention_days int, "
+                "confidence_floor double")
+
+
+def rules_table(spark, rules=None) -> DataFrame:
+    """The rules as a table: given as one, as a list of dicts, or the defaults."""
     if isinstance(rules, DataFrame):
-        rows = rules.limit(MAX_RULES + 1).collect()
-        if len(rows) > MAX_RULES:
-            raise ValueError("rule table too large to compile into predicates")
-        return [r.asDict() for r in rows]
-    return list(rules)
+        return rules
+    names = [c.split()[0] for c in RULE_COLUMNS.split(", ")]
+    return spark.createDataFrame([tuple(r.get(n, True if n == "enabled" else None) for n in names)
+                                  for r in (DEFAULT_RULES if rules is None else rules)], RULE_COLUMNS)
 
 
 # ------------------------------------------------------------ event build
@@ -105,32 +105,24 @@ def aud_rule_eval(events: DataFrame, rules=None, *, as_of=None) -> DataFrame:
     t = as_of_col(events, as_of)
     age_days = F.floor((epoch_micros(t) - epoch_micros(F.col("ts"))) / F.lit(86_400_000_000))
     conf = F.coalesce(F.col("confidence"), F.lit(1.0)) if "confidence" in events.columns else F.lit(1.0)
-    cands = []
-    for r in _rules_list(rules):
-        if not r.get("enabled", True):
-            continue
-        if r["rule_type"] == "retention":
-            n = int(r.get("retention_days") or 365)
-            cond = age_days > n
-            desc = F.lit(f"Event exceeds retention period of {n} days")
-            when_ts = t
-        elif r["rule_type"] == "bias":
-            floor = float(r.get("confidence_floor") or 0.5)
-            cond = (F.col("event_type") == "prediction") & (conf < floor)
-            desc = F.lit("Potential bias detected in prediction")
-            when_ts = F.col("ts")
-        else:
-            continue
-        cands.append(F.when(cond, F.struct(F.lit(r["rule_id"]).alias("rule_id"),
-                                           F.lit(r["severity"]).alias("severity"),
-                                           desc.alias("description"),
-                                           when_ts.alias("ts"))))
-    if not cands:
-        cands = [F.lit(None).cast("struct<rule_id:string,severity:string,description:string,ts:timestamp_ntz>")]
-    v = explode_fired(events, ["event_id"], cands, "v")
-    return v.select(F.concat_ws(":", F.col("v.rule_id"), F.col("event_id").cast("string")).alias("violation_id"),
-                    F.col("v.ts").alias("ts"), F.col("v.rule_id").alias("rule_id"), "event_id",
-                    F.col("v.severity").alias("severity"), F.col("v.description").alias("description"),
+    # both kinds fire above a threshold: days kept, and minus the confidence floor
+    rules = rules_table(events.sparkSession, rules).where(F.coalesce("enabled", F.lit(True)) & F.col("rule_type").isin("retention", "bias"))
+    days = F.when(F.col("retention_days") != 0, F.col("retention_days")).otherwise(365)
+    floor = F.when(F.col("confidence_floor") != 0, F.col("confidence_floor")).otherwise(0.5)
+    retention = F.col("rule_type") == "retention"
+    rules = rules.select("rule_id", "severity", "rule_type",
+                         F.when(retention, F.coalesce(days, F.lit(365)).cast("double")).otherwise(-F.coalesce(floor, F.lit(0.5))).alias("threshold"))
+    measures = F.array(
+        F.struct(F.lit("retention").alias("kind"), age_days.cast("double").alias("value"), t.alias("v_ts")),
+        F.when(F.col("event_type") == "prediction", F.struct(
+            F.lit("bias").alias("kind"), (-conf).cast("double").alias("value"), F.col("ts").alias("v_ts"))))
+    facts = events.select("event_id", F.explode(measures).alias("m")).where("m is not null").select("event_id", "m.*")
+    v = above_thresholds(facts, rules.withColumnRenamed("rule_type", "kind"), kind="kind", value="value",
+                         width={"retention": 30.0, "bias": 0.05})
+    said = F.when(F.col("kind") == "retention", F.format_string("Event exceeds retention period of %d days", F.col("threshold").cast("int"))
+                  ).otherwise(F.lit("Potential bias detected in prediction"))
+    return v.select(F.concat_ws(":", "rule_id", F.col("event_id").cast("string")).alias("violation_id"),
+                    F.col("v_ts").alias("ts"), "rule_id", "event_id", "severity", said.alias("description"),
                     F.lit(False).alias("resolved"))
 
 

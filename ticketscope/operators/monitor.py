@@ -17,6 +17,7 @@ from pyspark.sql.types import TimestampNTZType
 from ticketscope.constants import ALERT_COOLDOWN_MINUTES, MONITOR_THRESHOLDS
 from ticketscope.operators._util import (as_of_col, epoch_micros, explode_fired, from_epoch_seconds, hours,
                                         minutes, safe_div)
+from ticketscope.operators.cooldown import apply_cooldown
 from ticketscope.operators.ranks import with_percentiles
 
 
@@ -206,44 +207,12 @@ def mon_cooldown(alerts: DataFrame, *, cooldown_minutes: int = ALERT_COOLDOWN_MI
                  stored: DataFrame | None = None) -> DataFrame:
     """Suppress an alert if one of the same (type, model) was STORED < cooldown ago.
 
-    Greedy: the kept alert resets the clock, suppressed ones do not, so this
-    is a sequential fold per key (``lag`` would be wrong). Rows are
-    hash-partitioned by key and sorted inside partitions; a streaming fold
-    over Arrow batches keeps only the last kept time per key, so memory is
-    O(keys) and no group is ever materialised. ``stored`` seeds the clock
-    with already stored alerts.
+    Greedy: the kept alert resets the clock, suppressed ones do not (``lag``
+    would be wrong). ``stored`` seeds the clock with already stored alerts. A
+    key's time line is worked on in ranges (``cooldown``), so one key may hold
+    most alerts.
     """
-    import pandas as pd
-
-    key = ["alert_type", "model_name"]
-    cols = alerts.columns
-    src = alerts.withColumn("_seed", F.lit(False))
-    if stored is not None:
-        seed = stored.select(*[F.col(c) if c in stored.columns else F.lit(None).cast(alerts.schema[c].dataType).alias(c)
-                               for c in cols]).withColumn("_seed", F.lit(True))
-        src = src.unionByName(seed)
-    gap = pd.Timedelta(minutes=cooldown_minutes)
-    ordered = src.repartition(*key).sortWithinPartitions(*key, "ts", F.desc("_seed"))
-
-    def fold(batches):
-        last = {}
-        for pdf in batches:
-            keep = []
-            for typ, model, ts, seed in zip(pdf["alert_type"], pdf["model_name"], pdf["ts"], pdf["_seed"]):
-                k = (typ, model)
-                if seed:                      # already stored: only moves the clock
-                    last[k] = ts
-                    keep.append(False)
-                    continue
-                prev = last.get(k)
-                ok = prev is None or ts - prev >= gap
-                if ok:
-                    last[k] = ts
-                keep.append(ok)
-            out = pdf[pd.Series(keep, index=pdf.index)]
-            yield out.drop(columns=["_seed"])
-
-    return ordered.mapInPandas(fold, schema=alerts.schema)
+    return apply_cooldown(alerts, keys=["alert_type", "model_name"], gap_micros=int(cooldown_minutes * 60_000_000), stored=stored)
 
 
 def mon_report(metrics: DataFrame, alerts: DataFrame) -> DataFrame:

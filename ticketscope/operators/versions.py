@@ -2,9 +2,8 @@
 
 Registry: (model_name, version, creation_date, performance_metrics MAP,
 version_id). Performance log: (version_id, ts, metrics MAP). A/B test
-configurations are configuration rows: routing compiles them into one
-CASE expression at plan time (first active test wins), so requests are
-routed in a single projection with no join.
+configurations are a table of any size: routing joins requests to an
+interval index of it on time buckets (first active test wins).
 """
 
 from __future__ import annotations
@@ -16,9 +15,8 @@ from pyspark.sql import functions as F
 
 from ticketscope.functions.stats import t_p_udf
 from ticketscope.functions.text import fn_hash_md5_bucket
-from ticketscope.operators._util import as_of_col
-
-MAX_TESTS = 10_000
+from ticketscope.operators._util import as_of_col, epoch_micros
+from ticketscope.operators.intervals import FirstMatch
 
 
 def prj_version_id(model_name: Column, version: Column, created: Column) -> Column:
@@ -83,15 +81,6 @@ def win_next_version(registry: DataFrame, model_names: DataFrame | None = None)
 
 # ------------------------------------------------------------------ A/B tests
 
-def _tests_list(tests) -> list[dict]:
-    if isinstance(tests, DataFrame):
-        rows = tests.limit(MAX_TESTS + 1).collect()
-        if len(rows) > MAX_TESTS:
-            raise ValueError("A/B test table too large to compile")
-        return [r.asDict() for r in rows]
-    return list(tests)
-
-
 def ab_test_id(name: str, created: _dt.datetime) -> str:
     return f"ab_test_{name}_{created.strftime('%Y%m%d_%H%M%S')}"
 
@@ -104,22 +93,38 @@ def ab_create(configs: DataFrame, registry: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
+TEST_COLUMNS = "rank long, test_id string, model_a string, model_b string, traffic_split double, start_date string, end_date string"
+
+
+def _tests_table(spark, tests) -> DataFrame:
+    """Tests with their rank: a list's order; a table's own ``rank``, else by start and id."""
+    if isinstance(tests, DataFrame):
+        rank = F.col("rank") if "rank" in tests.columns else F.struct("start_date", "test_id")
+        return tests.withColumn("rank", rank)
+    rows = [(i, t["test_id"], t["model_a"], t["model_b"], float(t["traffic_split"]), str(t["start_date"]),
+             None if t.get("end_date") is None else str(t["end_date"])) for i, t in enumerate(tests)]
+    return spark.createDataFrame(rows, TEST_COLUMNS)
+
+
 def ab_route(requests: DataFrame, tests, *, ts_col: str = "ts", id_col: str = "request_id",
              seed: int | None = None) -> DataFrame:
     """Route each request: B if md5 bucket < split during the first active test
-    (in configuration order), else A; no active test -> "default". Requests
-    without an id use ``rand(seed)``."""
+    (in configuration order; ends included), else A; no active test ->
+    "default". Requests without an id use ``rand(seed)``. ``tests`` is a list or
+    a table of any size: an interval index (``FirstMatch``), joined on time
+    buckets."""
     bucket = F.when(F.col(id_col).isNotNull(), fn_hash_md5_bucket(F.col(id_col))).otherwise(F.rand(seed))
-    r = requests.withColumn("random_value", bucket)
-    test_col, model_col = F.lit(None).cast("string"), F.lit("default")
-    for t in reversed(_tests_list(tests)):
-        active = F.col(ts_col) >= F.lit(t["start_date"]).cast("timestamp_ntz")
-        if t.get("end_date") is not None:
-            active = active & (F.col(ts_col) <= F.lit(t["end_date"]).cast("timestamp_ntz"))
-        choice = F.when(F.col("random_value") < t["traffic_split"], F.lit(t["model_b"])).otherwise(F.lit(t["model_a"]))
-        test_col = F.when(active, F.lit(t["test_id"])).otherwise(test_col)
-        model_col = F.when(active, choice).otherwise(model_col)
-    return r.withColumn("test_id", test_col).withColumn("model_chosen", model_col)
+    cfg = _tests_table(requests.sparkSession, tests)
+    if cfg.schema["rank"].dataType.typeName() == "struct":
+        by = Window.orderBy("rank")  # one row per test without a rank of its own
+        cfg = cfg.withColumn("rank", F.row_number().over(by))
+    micros = lambda c: epoch_micros(F.col(c).cast("timestamp_ntz"))
+    index = FirstMatch(cfg.select(micros("start_date").alias("start"), (micros("end_date") + 1).alias("end"), "rank"))
+    r = index.lookup(requests.withColumn("random_value", bucket), micros(ts_col), out="_rank")
+    chosen = cfg.select(F.col("rank").alias("_rank"), "test_id", "model_a", "model_b", "traffic_split")
+    model = (F.when(F.col("test_id").isNull(), F.lit("default"))
+             .when(F.col("random_value") < F.col("traffic_split"), F.col("model_b")).otherwise(F.col("model_a")))
+    return r.join(chosen, "_rank", "left").withColumn("model_chosen", model).drop("_rank", "model_a", "model_b", "traffic_split")
 
 
 def agg_routing_stats(routed: DataFrame, tests) -> DataFrame:

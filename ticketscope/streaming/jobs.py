@@ -12,12 +12,14 @@ from __future__ import annotations
 import os
 from typing import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType, TimestampType
 
 from ticketscope.constants import STREAM_BATCH_SIZE
+from ticketscope.operators.cooldown import NEVER, kept_events
 from ticketscope.schemas import STREAM_MESSAGE
 from ticketscope.session import checkpoint_dir
 
@@ -168,32 +170,28 @@ def st_alert_cooldown(alerts: DataFrame, *, cooldown_minutes: int = 60, state_tt
     the last KEPT alert. State is one timestamp per key (alert types x
     models). ``state_ttl`` expires idle keys after the cooldown (for
     continuously running queries; an ``availableNow`` run needs it off)."""
-    gap = pd.Timedelta(minutes=cooldown_minutes)
+    gap = int(cooldown_minutes * 60_000_000)
     out_schema = StructType([StructField(f.name, TimestampType() if f.name == "ts" else f.dataType)
                              for f in alerts.schema.fields])
 
     def fn(key, pdfs, state):
         last = state.get[0] if state.exists else None
-        if last is not None:
-            last = pd.Timestamp(last)
         kept = []
         # a key's alerts of one micro-batch may come in several Arrow chunks, in
-        # any order: they are put in time order together before the fold
+        # any order: they are put in time order together, then only the kept ones are visited
         chunks = [x for x in pdfs if len(x)]
-        for pdf in [pd.concat(chunks).sort_values("ts", kind="stable")] if chunks else []:
-            mask = []
-            for ts in pdf["ts"]:
-                t = pd.Timestamp(ts)
-                ok = last is None or t - last >= gap
-                if ok:
-                    last = t
-                mask.append(ok)
-            kept.append(pdf[mask])
+        if chunks:
+            pdf = pd.concat(chunks).sort_values("ts", kind="stable")
+            at = pdf["ts"].to_numpy("datetime64[us]").astype(np.int64)
+            before = NEVER if last is None else int(np.datetime64(pd.Timestamp(last).to_datetime64(), "us").astype(np.int64))
+            own = kept_events(at, np.zeros(len(at), bool), gap, before)
+            kept = [pdf.iloc[own]]
+            last = pd.Timestamp(pdf["ts"].iloc[own[-1]]).to_pydatetime() if len(own) else last
         if state_ttl and state.hasTimedOut:
             state.remove()
             return
         if last is not None:
-            state.update((last.to_pydatetime(),))
+            state.update((last,))
             if state_ttl:
                 state.setTimeoutDuration(cooldown_minutes * 60 * 1000)
         for k in kept:
