@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 
@@ -247,6 +248,47 @@ def test_repeats_across_pieces_of_a_text(spark, monkeypatch):
     assert got[3].n_spans == 1
 
 
+def test_repeats_in_buckets_of_many_runs(spark, monkeypatch):
+    """Buckets of more different runs than a task gathers: their strings are dealt by identifier."""
+    import ticketscope.llm.repeats as m
+    monkeypatch.setattr(m, "HOT", 2)
+    rows = repeat_rows()
+    got = find_repeats(documents(spark, [(*r, None, None) for r in rows]).repartition(5), 100, 32)
+    assert Counter(tuple(r) for r in got.select(*COLS).collect()) == brute_repeats(rows, 100)
+
+
+def test_repeats_settle_in_small_steps(spark, monkeypatch):
+    import ticketscope.llm.repeats as m
+    monkeypatch.setattr(m, "SETTLE_ROWS", 16)
+    rows = repeat_rows()
+    got = find_repeats(documents(spark, [(*r, None, None) for r in rows]).repartition(3), 100, 32)
+    assert Counter(tuple(r) for r in got.select(*COLS).collect()) == brute_repeats(rows, 100)
+
+
+def test_rows_without_an_id_keep_their_own_spans(spark):
+    """Thousands of rows share the missing id; only their texts tell them apart."""
+    from ticketscope.llm.repeats import _tagged
+    rows = [(None, prose(50_000 + i, 25)) for i in range(3_000)] + [(None, "x" + "ab" * 200), (None, prose(7, 80)), (5, prose(7, 80))]
+    got = Counter(tuple(r) for r in find_repeats(documents(spark, [(*r, None, None) for r in rows])).select(*COLS).collect())
+    assert got == brute_repeats(rows, 100)
+    tags = [r.tag for r in _tagged(documents(spark, [(*r, None, None) for r in rows])).collect()]
+    assert len({t & 0xFFFFF for t in tags}) < len({r[1] for r in rows})  # 20 bits would not tell them apart
+
+
+def test_refinement_ranks_equal_strings_alike():
+    from ticketscope.llm.repeats import refine
+    r = random.Random(3)
+    runs = [bytes(r.choice(b"ab") for _ in range(r.randrange(20, 60))) for _ in range(40)] + [b"a" * 50] * 3
+    bucket = np.array([r.randrange(4) for _ in runs], np.int64)
+    run, place, rank = refine(bucket, runs, 20)
+    strings = [(int(bucket[i]), runs[i][p:p + 20]) for i, p in zip(run, place)]
+    assert len(strings) == sum(len(x) - 19 for x in runs)
+    named = {}
+    for s, k in zip(strings, rank.tolist()):
+        assert named.setdefault(s, k) == k
+    assert len(set(named.values())) == len(named)
+
+
 def test_repeats_of_empty_table(spark):
     assert find_repeats(documents(spark, [])).count() == 0
     with pytest.raises(ValueError):
