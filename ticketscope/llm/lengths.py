@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketscope.llm.common import map_arrow
+from ticketscope.llm.common import cut, map_arrow
 from ticketscope.llm.tokens import VOCABULARY, encoder, vocabulary
 
 #: Lengths per block of the two-level sums; a block is one window partition.
@@ -94,4 +94,4 @@ def quantiles(suffix: DataFrame, shares: list[float]) -> DataFrame:
 def token_report(docs: DataFrame, vocab: str = VOCABULARY) -> DataFrame:
     """Histogram and sums of ``docs`` (doc_id, text). Repeated rows count each;
     null ids count; other columns are ignored."""
-    return sums(histogram(encoded_lengths(docs, vocab)))
+    return sums(cut(histogram(encoded_lengths(docs, vocab))))  # two branches read the counts
