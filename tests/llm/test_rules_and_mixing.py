@@ -134,6 +134,53 @@ def test_rates_solve_the_least_squares_problem(spark):
     assert (r @ (t[:, None] * p)) == pytest.approx(fit.totals)
 
 
+def nearest_rates(p, t, goal, n=20_000):
+    """The nearest rates by another method: Dykstra's alternating projections on r >= 0 and on each total."""
+    w = np.sqrt(t)
+    x, a = w.copy(), p * w[:, None]  # x = sqrt(t) r, so distances are plain
+    lift = np.zeros_like(x)
+    q = np.linalg.inv(a.T @ a)
+    for _ in range(n):
+        y = x - a @ (q @ (a.T @ x - goal))
+        x2 = np.maximum(0, y + lift)
+        lift = y + lift - x2
+        if np.abs(x2 - x).max() < 1e-11:
+            return x2 / w
+        x = x2
+    return x / w
+
+
+@pytest.mark.parametrize("goal", [(0.97, 0.025, 0.005), (0.978, 0.02, 0.002), (0.95, 0.049, 0.001)])
+def test_hard_targets_match_an_independent_solver(spark, goal):
+    """Targets that put many documents at rate 0."""
+    r = np.random.default_rng(4)
+    p = r.dirichlet([6, 0.25, 0.25], 300)
+    t = r.integers(1, 400, 300)
+    df = spark.createDataFrame([(int(n), *map(float, x)) for n, x in zip(t, p)], "n_tokens long, p0 double, p1 double, p2 double")
+    fit = fit_rates(df, dict(zip(DOMAINS, goal)))
+    assert fit.misfit() < 1e-4
+    (u,) = fit.steps
+    mine = np.maximum(0, 1 - p @ u)
+    want = nearest_rates(p, t, np.array(fit.totals))
+    assert (mine == 0).any() and np.abs(mine - want).max() < 2e-2
+    assert (t * (mine - 1) ** 2).sum() <= (t * (want - 1) ** 2).sum() * (1 + 1e-4)
+
+
+def test_targets_out_of_reach_show_their_misfit(spark):
+    df = spark.createDataFrame([(10, 1.0, 0.0, 0.0), (20, 1.0, 0.0, 0.0)], "n_tokens long, p0 double, p1 double, p2 double")
+    fit = fit_rates(df, {"good": 0.5, "toxic": 0.5, "poor": 0.0}, max_steps=20)
+    assert fit.misfit() == pytest.approx(0.5, abs=1e-3) and fit.totals[0] == pytest.approx(15, abs=0.1)
+
+
+def test_registered_targets_are_reached(spark, sf):
+    from ticketscope.llm.queries import QUERIES
+    r = QUERIES["op2_soft_mixing"](spark, sf).toPandas()
+    whole = r.n_tokens.sum()
+    for d, goal in {"good": 0.97, "toxic": 0.025, "poor": 0.005}.items():
+        assert abs((r.rate * r.n_tokens * r[f"p_{d}"]).sum() / whole - goal) < 1e-4
+    assert (r.misfit < 1e-4).all()
+
+
 def test_mixing_awkward_rows(spark):
     docs = documents(spark)
     r = mixing_rates(docs, labels(spark, [(0, 1, 0), (14, 0, 0), (11, 0, 0), (None, 1, 1), (1, None, 0), (99, 1, 1)]))

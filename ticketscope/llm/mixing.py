@@ -93,6 +93,11 @@ class Fit:
     targets: list[float]
     totals: list[float]
 
+    def misfit(self, budget: float = 1.0) -> float:
+        """Largest difference of a total from its target as a share of all tokens."""
+        whole = sum(self.targets) / budget if budget else 0.0
+        return max(abs(a - b) for a, b in zip(self.totals, self.targets)) / whole if whole else 0.0
+
 
 def rate(steps: list[list[float]]) -> Column:
     """Rate of a document after the steps: from 1, each step down its posterior's
@@ -116,48 +121,69 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
     return [r[-1] / r[i] for i, r in enumerate(m)]
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, max_steps: int = 12) -> Fit:
+#: Step sizes tried along a direction, all in one aggregate.
+SIZES = (1.0, 0.5, 0.25, 1 / 16, 1 / 128)
+
+
+def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, max_steps: int = 100) -> Fit:
     """Projected-gradient least squares over ``rows`` (n_tokens, p0..).
 
-    Domain k's target is ``targets[k] * budget`` times all tokens. Each step is
-    one aggregate over all documents: the domains' expected totals and the joint
-    token matrix of the documents at a positive rate, by which the gradient is
-    scaled. A step that does not lessen the misfit is halved; the fit ends at
-    ``TOLERANCE``. Only those sums and the steps (a number per domain each) are
-    on the driver. Targets that no rates reach end at the nearest totals found.
+    Domain k's target is ``targets[k] * budget`` times all tokens. Among the
+    nonnegative rates that reach the targets, the one nearest to rate 1 (squares
+    weighted by tokens) is the projection of 1 minus a combination of the
+    posteriors; its gradient is the domains' misfit. Gradient steps, scaled by
+    the joint token matrix of the documents at a positive rate, accumulate and
+    the projection acts on their sum. A step is one aggregate over all documents
+    that tries ``SIZES`` of it and keeps the one with the least objective; only
+    those sums and one number per domain are on the driver. The fit ends within
+    ``TOLERANCE`` of every target, or where no step lessens the objective
+    (targets that no rates reach): ``Fit.totals`` tells how near it came.
     """
     K = range(len(DOMAINS))
     t, p = F.col("n_tokens").cast("double"), [F.col(f"p{k}") for k in K]
+    pairs = [(i, j) for i in K for j in K if i <= j]
+
+    def sums(points):
+        """All tokens; per point the tokens times squared rates, the totals and the joint matrix."""
+        r = [f"r{i}" for i in range(len(points))]
+        at = rows.select("n_tokens", *p, *[rate([x]).alias(n) for x, n in zip(points, r)])
+        exprs = [t]
+        for n in r:
+            exprs += [t * F.col(n) * F.col(n), *[F.col(n) * t * p[k] for k in K],
+                      *[F.when(F.col(n) > 0, t * p[i] * p[j]) for i, j in pairs]]
+        row = list(at.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in exprs]).first())
+        out, width = [], 1 + len(K) + len(pairs)
+        for a in range(1, len(row), width):
+            joint = dict(zip(pairs, row[a + 1 + len(K):a + width]))
+            out.append((row[a], row[a + 1:a + 1 + len(K)], [[joint[min(i, j), max(i, j)] for j in K] for i in K]))
+        return row[0], out
+
+    whole, ((square, reached, joint),) = sums([[0.0] * len(DOMAINS)])
+    goal = [targets[d] * budget * whole for d in DOMAINS]
 
-    def sums(steps):
-        at = rows.select("n_tokens", *p, rate(steps).alias("r"))
-        row = at.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in (
-            t, *[F.col("r") * t * p[k] for k in K],
-            *[F.when(F.col("r") > 0, t * p[i] * p[j]) for i in K for j in K])]).first()
-        joint = row[1 + len(K):]
-        return row[0], list(row[1:1 + len(K)]), [[joint[i * len(K) + j] for j in K] for i in K]
+    def objective(square, x):
+        return square / 2 + sum(g * v for g, v in zip(goal, x))
 
-    whole, reached, joint = sums([])
-    goal = [targets[d] * budget * whole for d in DOMAINS]
-    steps, step = [], 1.0
+    at = [0.0] * len(DOMAINS)
     for _ in range(max_steps if whole else 0):
         miss = [(s - g) / whole for s, g in zip(reached, goal)]
         if max(map(abs, miss)) < TOLERANCE:
             break
-        scale = [[joint[i][j] / whole + 1e-6 * (i == j) for j in K] for i in K]
-        trial = [*steps, [step * x for x in _solve(scale, miss)]]
-        _, then, matrix = sums(trial)
-        if sum(((s - g) / whole) ** 2 for s, g in zip(then, goal)) < sum(x * x for x in miss):
-            steps, reached, joint, step = trial, then, matrix, 1.0
-        else:
-            step /= 4
-    return Fit(steps, goal, reached)
+        way = _solve([[joint[i][j] / whole + 1e-9 * (i == j) for j in K] for i in K], miss)
+        points = [[x + z * w for x, w in zip(at, way)] for z in SIZES]
+        _, tried = sums(points)
+        best = min(range(len(points)), key=lambda i: objective(tried[i][0], points[i]))
+        if objective(tried[best][0], points[best]) >= objective(square, at):
+            break
+        at, (square, reached, joint) = points[best], tried[best]
+    return Fit([at], goal, reached)
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0,
                  max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``doc_id, text_hash, n_tokens, p_<domain>.., rate`` of every row of
-    ``docs`` (doc_id, text).
+    """``doc_id, text_hash, n_tokens, p_<domain>.., rate, misfit`` of every row of
+    ``docs`` (doc_id, text); ``misfit`` is the largest difference of a domain's
+    expected total from its target, as a share of all tokens.
 
     The posterior reads the text alone. Null and empty texts have no tokens (any
     rate keeps the totals) and get the rate of their posterior; repeated rows
@@ -168,7 +194,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     rows = cut(posteriors(docs, fit_classifier(docs, labels, max_labelled)))
     fit = fit_rates(rows, targets, budget)
     return rows.select("doc_id", "text_hash", "n_tokens", *[
-        F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)], rate(fit.steps).alias("rate"))
+        F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)], rate(fit.steps).alias("rate"),
+        F.lit(fit.misfit(budget)).alias("misfit"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0) -> DataFrame:
