@@ -117,12 +117,48 @@ def txt_tfidf(df: DataFrame, *, id_col: str, text_col: str, max_features: int =
 
 def txt_counts(df: DataFrame, *, id_col: str, text_col: str, max_features: int = 5000, min_df=2,
                max_df=0.95, ngram_range=(1, 3)) -> DataFrame:
-    """Raw counts over a pruned vocabulary: (doc_id, term, index, count)."""
+    """Raw counts over a pruned vocabulary: (doc_id, term, index, count).
+
+    If pruning leaves no term, the fallback vocabulary is <= 1,000 single words,
+    unpruned, stop words kept.
+    """
+    def over(tf, vocab):
+        # at most max_features rows: a fixed bound, safe to broadcast
+        return tf.join(F.broadcast(vocab.select("term", "index")), "term").select(
+            "doc_id", "term", "index", F.col("tf").alias("count"))
+
     tf = term_counts(df, id_col=id_col, text_col=text_col, ngram_range=ngram_range)
     n = df.select(F.count("*")).scalar()
     vocab = fit_vocabulary(tf, max_features=max_features, min_df=min_df, max_df=max_df, n_docs=n)
-    return tf.join(F.broadcast(vocab.select("term", "index")), "term").select(
-        "doc_id", "term", "index", F.col("tf").alias("count"))
+    if vocab.limit(1).count():
+        return over(tf, vocab)
+    words = term_counts(df, id_col=id_col, text_col=text_col, ngram_range=(1, 1), stopwords=False)
+    return over(words, fit_vocabulary(words, max_features=1000))
+
+
+def keras_vocabulary(df: DataFrame, *, id_col: str, text_col: str, num_words: int) -> tuple[DataFrame, DataFrame]:
+    """All tokens of the whole texts (doc_id, pos, word), and the index of the most
+    frequent words (word, idx from 2 on; ties by word)."""
+    filt = "[" + "".join("\\" + c if c in "[]\\^-" else c for c in KERAS_FILTERS) + "]"
+    toks = F.filter(F.split(F.regexp_replace(F.lower(F.col(text_col)), filt, " "), " "), lambda x: x != "")
+    pos = df.repartition(F.col(id_col)).select(F.col(id_col).alias("doc_id"), F.posexplode(toks).alias("pos", "word"))
+    counts = pos.groupBy("word").agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.desc("n"), "word").limit(num_words - 2)
+    return pos, top.select("word", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) + 1).alias("idx"))
+
+
+def join_vocab_lookup(df: DataFrame, *, id_col: str, text_col: str, num_words: int = 10000) -> DataFrame:
+    """Per document: tokens of the whole text, and those outside the vocabulary.
+
+    Tokens are counted per word before they meet the vocabulary.
+    """
+    pos, vocab = keras_vocabulary(df, id_col=id_col, text_col=text_col, num_words=num_words)
+    per_word = pos.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    # the vocabulary has at most num_words rows: bounded, broadcast
+    hit = per_word.join(F.broadcast(vocab), "word", "left")
+    c = hit.groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("idx").isNull(), F.col("n")).otherwise(0)).alias("oov_tokens"))
+    docs = df.select(F.col(id_col).alias("doc_id"))
+    return docs.join(c, "doc_id", "left").na.fill(0, ["tokens", "oov_tokens"])
 
 
 def txt_token_sequence(df: DataFrame, *, id_col: str, text_col: str, num_words: int = 10000,
@@ -133,12 +169,7 @@ def txt_token_sequence(df: DataFrame, *, id_col: str, text_col: str, num_words:
     The vocabulary is counted over whole texts; only the first ``max_len``
     tokens of a text are encoded, which is exactly what post-truncation keeps.
     """
-    filt = "[" + "".join("\\" + c if c in "[]\\^-" else c for c in KERAS_FILTERS) + "]"
-    toks = F.filter(F.split(F.regexp_replace(F.lower(F.col(text_col)), filt, " "), " "), lambda x: x != "")
-    pos = df.repartition(F.col(id_col)).select(F.col(id_col).alias("doc_id"), F.posexplode(toks).alias("pos", "word"))
-    counts = pos.groupBy("word").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(num_words - 2)
-    vocab = top.select("word", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) + 1).alias("idx"))
+    pos, vocab = keras_vocabulary(df, id_col=id_col, text_col=text_col, num_words=num_words)
     head = pos.where(F.col("pos") < max_len)
     enc = head.join(F.broadcast(vocab), "word", "left").select(
         "doc_id", "pos", F.coalesce("idx", F.lit(1)).alias("idx"))

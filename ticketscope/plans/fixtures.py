@@ -123,9 +123,9 @@ def v_rules(spark, sf_dir=None):
 
 
 def v_gdpr(spark, sf_dir):
-    """GDPR requests of users 0..9 (those present in events)."""
+    """One GDPR request of every user present in events."""
     e = table(spark, sf_dir, "events")
-    u = e.select("user_id").where(F.col("user_id") < 10).distinct()
+    u = e.select("user_id").where("user_id is not null").distinct()
     return u.select(
         F.concat(F.lit("req_"), F.col("user_id").cast("string")).alias("request_id"),
         _pick(["access", "deletion", "portability"], F.col("user_id") % 3).alias("request_type"),
@@ -313,7 +313,7 @@ SQL_VIEWS: dict[str, str] = {
                CAST(user_id AS VARCHAR) AS user_id,
                CASE WHEN user_id % 2 = 0 THEN NULL ELSE CAST(user_id + 10 AS VARCHAR) END AS email,
                'pending' AS status
-        FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 10)""",
+        FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL)""",
     "v_feedback": """
         SELECT id, ts, input_text AS text, predicted_class AS predicted_category,
                actual_class AS true_category, confidence, CAST(user_id AS VARCHAR) AS user_id

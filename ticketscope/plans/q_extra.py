@@ -239,19 +239,13 @@ reg("join_ab_interval", _ab_interval,
     ["v_ab_log"])
 
 
-def _vocab_lookup(s, sf):
-    c = q_text._clean(s, sf)
-    r = FE.txt_token_sequence(c, id_col="ticket_id", text_col="clean", num_words=10000, max_len=100)
-    return r.select("doc_id", F.size(F.filter("sequence", lambda x: x == 1)).alias("oov_tokens"))
-
-
-_seq_sql = [q.sql for q in q_text.QUERIES if q.name == "txt_token_sequence"][0]
-reg("join_vocab_lookup", _vocab_lookup,
-    _seq_sql.replace("""    SELECT c.ticket_id AS doc_id,
-           array_to_string(list_concat(coalesce(s, []), list_transform(range(100 - len(coalesce(s, []))), lambda x: 0)), ',')
-             AS sequence
-    FROM clean c LEFT JOIN seq USING (ticket_id)""", """    SELECT c.ticket_id AS doc_id, CAST(len(list_filter(coalesce(s, []), lambda x: x = 1)) AS INTEGER) AS oov_tokens
-    FROM clean c LEFT JOIN seq USING (ticket_id)"""), ["v_tickets"])
+reg("join_vocab_lookup",
+    lambda s, sf: FE.join_vocab_lookup(q_text._clean(s, sf), id_col="ticket_id", text_col="clean", num_words=10000),
+    f"""WITH {q_text.CLEAN_SQL},
+    w AS (SELECT ticket_id, unnest(list_filter(string_split(clean, ' '), lambda x: x <> '')) AS word FROM clean),
+    top AS (SELECT word FROM (SELECT word, count(*) AS n FROM w GROUP BY 1) ORDER BY n DESC, word LIMIT 9998)
+    SELECT c.ticket_id AS doc_id, count(w.word) AS tokens, count(w.word) - count(top.word) AS oov_tokens
+    FROM clean c LEFT JOIN w USING (ticket_id) LEFT JOIN top USING (word) GROUP BY 1""", ["v_tickets"])
 
 
 def _pre_post(s, sf):
@@ -360,7 +354,7 @@ reg("fn_base64", _b64, "SELECT event_id, props FROM events")
 def _pruned(s, sf):
     t = spark_view(s, sf, "v_tickets")
     return FE.txt_tfidf_pruned(t, id_col="ticket_id", text_col="customer_message", max_features=10000,
-                               ngram_range=(1, 1)).select("doc_id", "term", "tfidf")
+                               ngram_range=(1, 3)).select("doc_id", "term", "tfidf")
 
 
 def _pruned_sql():
@@ -368,7 +362,7 @@ def _pruned_sql():
             f"lambda x: NOT list_contains({q_text.STOP_SQL}, x))")
     return f"""WITH l AS (SELECT ticket_id, strip_accents({q_text.sq_light('customer_message')}) AS t FROM v_tickets),
     tk AS (SELECT ticket_id, {toks} AS toks FROM l),
-    tf AS (SELECT ticket_id AS doc_id, term, count(*) AS tf FROM (SELECT ticket_id, unnest(toks) AS term FROM tk) GROUP BY 1, 2),
+    tf AS (SELECT ticket_id AS doc_id, term, count(*) AS tf FROM (SELECT ticket_id, unnest({q_text.GRAMS3_SQL}) AS term FROM tk) GROUP BY 1, 2),
     nd AS (SELECT count(*) AS n FROM v_tickets),
     vocab AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1
               HAVING count(*) >= 2 AND count(*) <= floor((SELECT n FROM nd) * 0.95)

@@ -149,17 +149,22 @@ reg("txt_tfidf", _tfidf,
     ["v_tickets"], ["tfidf"])
 
 
+#: One to three neighbouring tokens of ``toks``, joined by blanks.
+GRAMS3_SQL = ("list_concat(toks, list_concat(list_transform(range(1, greatest(len(toks), 1)), lambda i: toks[i] || ' ' || toks[i + 1]), "
+              "list_transform(range(1, greatest(len(toks) - 1, 1)), lambda i: toks[i] || ' ' || toks[i + 1] || ' ' || toks[i + 2])))")
+
+
 def _counts(s, sf):
     c = _clean(s, sf)
     return FE.txt_counts(c, id_col="ticket_id", text_col="clean", max_features=5000, min_df=2, max_df=0.95,
-                         ngram_range=(1, 1)).select("doc_id", "term", "count")
+                         ngram_range=(1, 3)).select("doc_id", "term", "count")
 
 
 reg("txt_counts", _counts,
     f"""WITH {CLEAN_SQL},
     tk AS (SELECT ticket_id, list_filter(regexp_extract_all(lower(clean), {lit(T.TOKEN2_RE)}),
                                           lambda t: NOT list_contains({STOP_SQL}, t)) AS toks FROM clean),
-    tf AS (SELECT ticket_id AS doc_id, term, count(*) AS tf FROM (SELECT ticket_id, unnest(toks) AS term FROM tk) GROUP BY 1, 2),
+    tf AS (SELECT ticket_id AS doc_id, term, count(*) AS tf FROM (SELECT ticket_id, unnest({GRAMS3_SQL}) AS term FROM tk) GROUP BY 1, 2),
     nd AS (SELECT count(*) AS n FROM v_tickets),
     vocab AS (SELECT term, sum(tf) AS total FROM tf GROUP BY 1
               HAVING count(*) >= 2 AND count(*) <= floor((SELECT n FROM nd) * 0.95)

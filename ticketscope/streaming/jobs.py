@@ -115,6 +115,16 @@ def flag_drift(batch: DataFrame, monitor: DataFrame, *, batch_col: str, order: l
         "drift_detected", F.coalesce(F.col("_batch_drift"), F.lit(False)) & (F.col("_r") <= last)).drop("_r", "_batch_drift")
 
 
+def flag_drift_of_batch(batch: DataFrame, monitor: DataFrame, *, order: list[str], last: int = 5) -> DataFrame:
+    """``flag_drift`` for one micro-batch: its last rows come from a top-k over all
+    tasks and are joined back by row number, so no task ranks the batch. ``batch``
+    holds ``_rid`` (distinct row numbers) and is persisted; ``monitor`` has one row."""
+    tail = batch.orderBy(*[F.desc(c) for c in order], F.desc("_rid")).limit(last).select("_rid", F.lit(True).alias("_last"))
+    drift = monitor.select(F.col("drift_detected")).scalar()
+    return batch.join(F.broadcast(tail), "_rid", "left").withColumn(
+        "drift_detected", F.coalesce(drift, F.lit(False)) & F.coalesce("_last", F.lit(False))).drop("_rid", "_last")
+
+
 def run_classification_stream(spark: SparkSession, source: DataFrame, scorer, *, out_path: str,
                               checkpoint: str, callbacks: list[Callable] | None = None,
                               processing_time: str | None = None, order: list[str] | None = None):
@@ -124,10 +134,10 @@ def run_classification_stream(spark: SparkSession, source: DataFrame, scorer, *,
     order = order or ["ts"]
 
     def per_batch(bdf: DataFrame, batch_id: int):
-        res = st_classify(bdf, scorer).withColumn("batch_id", F.lit(batch_id))
+        res = st_classify(bdf, scorer).withColumn("batch_id", F.lit(batch_id)).withColumn("_rid", F.monotonically_increasing_id())
         res = res.persist()
-        mon = batch_monitor(res, batch_col="batch_id")
-        flagged = flag_drift(res, mon, batch_col="batch_id", order=order)
+        mon = batch_monitor(res.drop("_rid"), batch_col="batch_id")
+        flagged = flag_drift_of_batch(res, mon, order=order)
         flagged.write.mode("overwrite").parquet(os.path.join(out_path, "results", f"batch_id={batch_id}"))
         mon.write.mode("overwrite").parquet(os.path.join(out_path, "monitor", f"batch_id={batch_id}"))
         for cb in callbacks or []:
@@ -289,6 +299,6 @@ def udf_score_hook(fn: Callable[[pd.Series], pd.DataFrame]) -> Callable[[Column]
 
 
 __all__ = ["decode_messages", "encode_results", "kafka_source", "kafka_sink", "st_classify", "batch_monitor",
-           "flag_drift", "run_classification_stream", "st_windowed_metrics", "st_dedupe_late",
+           "flag_drift", "flag_drift_of_batch", "run_classification_stream", "st_windowed_metrics", "st_dedupe_late",
            "st_alert_cooldown", "nb_counts", "st_feedback_updates", "nb_model", "ol_incremental_model",
            "udf_score_hook", "scratch"]
