@@ -212,6 +212,71 @@ reg("st_stats", _stats,
     ["avg_processing_time_ms", "uptime_seconds", "throughput_per_second"])
 
 
+def _count_batches(s, sf):
+    """Batches of ten per event type; what is left over stays in the state."""
+    from ticketscope.streaming.stateful import st_count_or_timeout
+    base = _fresh(s, "count-batches")
+    src = _events_stream(s, sf).select("event_id", "event_type", "ts")
+    out = st_count_or_timeout(src, key="event_type", size=10, timeout_seconds=None, order=["event_id"])
+    q = (out.writeStream.format("parquet").option("path", os.path.join(base, "out")).outputMode("append")
+         .option("checkpointLocation", os.path.join(base, "_checkpoint")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    r = s.read.schema("key string, batch_no long, fired string, n int, rows array<string>").parquet(os.path.join(base, "out"))
+    ids = F.transform("rows", lambda x: F.get_json_object(x, "$.event_id").cast("long"))
+    return r.groupBy("key").agg(F.count("*").alias("batches"), F.sum("n").alias("n_rows"), F.max("batch_no").alias("last_batch"),
+                                F.count_if(F.col("fired") == "count").alias("by_count"),
+                                F.size(F.array_distinct(F.flatten(F.collect_list(ids)))).alias("n_distinct"))
+
+
+reg("st_count_or_timeout", _count_batches,
+    """SELECT event_type AS key, count(*) // 10 AS batches, CAST(count(*) // 10 * 10 AS BIGINT) AS n_rows, count(*) // 10 - 1 AS last_batch,
+              count(*) // 10 AS by_count, CAST(count(*) // 10 * 10 AS INTEGER) AS n_distinct
+       FROM events WHERE event_type IS NOT NULL GROUP BY 1 HAVING count(*) >= 10""")
+
+
+def _running_stats(s, sf):
+    from ticketscope.streaming.stateful import st_running_stats
+    base = _fresh(s, "running-stats")
+    p = spark_view(s, sf, "v_predictions").select("id", F.col("ts").cast("timestamp").alias("ts"), "model_name", "latency_ms",
+                                                  (F.col("predicted_class") == "Error").alias("is_error"))
+    out = st_running_stats(_in_time_order(s, p, "stats-in"), key="model_name", value="latency_ms", order=["id"])
+
+    def write(batch, batch_id):  # one folder per micro-batch: a replay writes it again
+        batch.write.mode("overwrite").parquet(os.path.join(base, "out", f"batch_id={batch_id}"))
+
+    q = (out.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", os.path.join(base, "_checkpoint"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    r = s.read.parquet(os.path.join(base, "out"))
+    last = r.groupBy("key").agg(F.max_by(F.struct(*[c for c in r.columns if c not in ("key", "batch_id")]), "batch_id").alias("r"))
+    return last.select(F.col("key").alias("model_name"), "r.*")
+
+
+reg("st_running_stats", _running_stats, [q.sql for q in Q if q.name == "st_stats"][0], ["v_predictions"],
+    ["avg_processing_time_ms", "uptime_seconds", "throughput_per_second"])
+
+
+def _classify_model(s, sf):
+    """The stream through a fitted pipeline: tickets as a file stream, each
+    micro-batch scored by the model that the batch path uses."""
+    from ticketscope.operators import ml as ML
+    base = _fresh(s, "classify-model")
+    t = spark_view(s, sf, "v_tickets").select("ticket_id", "customer_message", "category", "ts")
+    model = ML.ml_train_pipeline(t, model_type="logistic_regression")
+
+    def scorer(df):
+        return ML.ml_predict_batch(model, df, with_prob_columns=False).withColumn("processing_time_ms", F.lit(0.0)).select(
+            "ticket_id", "ts", "predicted_category", "confidence", "processing_time_ms")
+
+    q = P.run_classification_stream(s, _in_time_order(s, t, "tickets-in"), scorer, out_path=base,
+                                    checkpoint=os.path.join(base, "_checkpoint"), order=["ts", "ticket_id"])
+    q.awaitTermination()
+    return s.read.parquet(os.path.join(base, "results")).select("ticket_id", "predicted_category", "confidence", "escalation_required")
+
+
+reg("st_classify_model", _classify_model)
+
+
 def _messages(df):
     """Message text per event: every 11th invalid JSON, every 7th without the
     required field, even ids carry a ticket id, every 3rd a priority."""
