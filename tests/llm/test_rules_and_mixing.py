@@ -172,6 +172,18 @@ def test_targets_out_of_reach_show_their_misfit(spark):
     assert fit.misfit() == pytest.approx(0.5, abs=1e-3) and fit.totals[0] == pytest.approx(15, abs=0.1)
 
 
+def test_domains_at_most_at_their_own_share(spark):
+    """A rare domain is not filled by repeating its few documents."""
+    p = np.random.default_rng(2).dirichlet([8, 0.8, 0.01], 200)
+    t = np.random.default_rng(3).integers(1, 300, 200)
+    df = spark.createDataFrame([(int(n), *map(float, x)) for n, x in zip(t, p)], "n_tokens long, p0 double, p1 double, p2 double")
+    own = (t[:, None] * p).sum(0)
+    fit = fit_rates(df, {"good": 0.93, "toxic": 0.02, "poor": 0.05}, at_most=("toxic", "poor"))
+    assert fit.misfit() < 1e-4
+    assert np.allclose(fit.totals, [own.sum() * 0.98 - own[2], own.sum() * 0.02, own[2]], atol=2e-4 * own.sum())
+    assert np.maximum(0, 1 - p @ fit.steps[0]).max() < 2
+
+
 def test_registered_targets_are_reached(spark, sf):
     from ticketscope.llm.queries import QUERIES
     r = QUERIES["op2_soft_mixing"](spark, sf).toPandas()

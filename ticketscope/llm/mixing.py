@@ -125,10 +125,13 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
 SIZES = (1.0, 0.5, 0.25, 1 / 16, 1 / 128)
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, max_steps: int = 100) -> Fit:
+def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, max_steps: int = 100,
+              at_most: tuple[str, ...] = ()) -> Fit:
     """Projected-gradient least squares over ``rows`` (n_tokens, p0..).
 
-    Domain k's target is ``targets[k] * budget`` times all tokens. Among the
+    Domain k's target is ``targets[k] * budget`` times all tokens; for domains in
+    ``at_most`` no more than they have at rate 1 (a few documents are not repeated
+    many times to fill them), and the first domain gets the rest. Among the
     nonnegative rates that reach the targets, the one nearest to rate 1 (squares
     weighted by tokens) is the projection of 1 minus a combination of the
     posteriors; its gradient is the domains' misfit. Gradient steps, scaled by
@@ -160,6 +163,10 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, budget: floa
 
     whole, ((square, reached, joint),) = sums([[0.0] * len(DOMAINS)])
     goal = [targets[d] * budget * whole for d in DOMAINS]
+    for k in range(1, len(DOMAINS)):
+        if DOMAINS[k] in at_most and goal[k] > reached[k]:
+            goal[0] += goal[k] - reached[k]
+            goal[k] = reached[k]
 
     def objective(square, x):
         return square / 2 + sum(g * v for g, v in zip(goal, x))
@@ -180,7 +187,7 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, budget: floa
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0,
-                 max_labelled: int = MAX_LABELLED) -> DataFrame:
+                 max_labelled: int = MAX_LABELLED, at_most: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, text_hash, n_tokens, p_<domain>.., rate, misfit`` of every row of
     ``docs`` (doc_id, text); ``misfit`` is the largest difference of a domain's
     expected total from its target, as a share of all tokens.
@@ -192,18 +199,23 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     An empty table gives no row.
     """
     rows = cut(posteriors(docs, fit_classifier(docs, labels, max_labelled)))
-    fit = fit_rates(rows, targets, budget)
+    fit = fit_rates(rows, targets, budget, at_most=at_most)
     return rows.select("doc_id", "text_hash", "n_tokens", *[
         F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)], rate(fit.steps).alias("rate"),
         F.lit(fit.misfit(budget)).alias("misfit"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0,
+        at_most: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with each row as often as its rate says: the whole part of the
-    rate, and once more for the share of ids (by hash) that its fraction is."""
+    rate, and once more for the share of ids (by hash) that its fraction is.
+
+    Null and empty texts have the rate of their posterior; repeated rows are
+    kept or dropped alike; an empty table stays empty.
+    """
     u = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "text_hash"), F.lit(1 << 20)) / float(1 << 20)
     of_id, of_text, own, n = (fresh(docs, x) for x in ("rate_id", "rate_text", "own_text", "n_copies"))
-    copies = (mixing_rates(docs, labels, targets, budget)
+    copies = (mixing_rates(docs, labels, targets, budget, at_most=at_most)
               .select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_text),
                       F.floor(F.col("rate") + u).cast("int").alias(n)).where(F.col(n) > 0).distinct())
     rows = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
