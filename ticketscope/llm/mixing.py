@@ -121,8 +121,8 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
     return [r[-1] / r[i] for i, r in enumerate(m)]
 
 
-#: Step sizes tried along a direction, all in one aggregate.
-SIZES = (1.0, 0.5, 0.25, 1 / 16, 1 / 128)
+#: Step sizes tried along a direction until one lessens the objective (mostly the first).
+SIZES = (1.0, 0.25, 1 / 16, 1 / 128)
 
 
 def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, max_steps: int = 100,
@@ -136,9 +136,9 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, budget: floa
     weighted by tokens) is the projection of 1 minus a combination of the
     posteriors; its gradient is the domains' misfit. Gradient steps, scaled by
     the joint token matrix of the documents at a positive rate, accumulate and
-    the projection acts on their sum. A step is one aggregate over all documents
-    that tries ``SIZES`` of it and keeps the one with the least objective; only
-    those sums and one number per domain are on the driver. The fit ends within
+    the projection acts on their sum. A step is one aggregate over all documents;
+    one that does not lessen the objective is shortened (``SIZES``). Only those
+    sums and one number per domain are on the driver. The fit ends within
     ``TOLERANCE`` of every target, or where no step lessens the objective
     (targets that no rates reach): ``Fit.totals`` tells how near it came.
     """
@@ -146,22 +146,16 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, budget: floa
     t, p = F.col("n_tokens").cast("double"), [F.col(f"p{k}") for k in K]
     pairs = [(i, j) for i in K for j in K if i <= j]
 
-    def sums(points):
-        """All tokens; per point the tokens times squared rates, the totals and the joint matrix."""
-        r = [f"r{i}" for i in range(len(points))]
-        at = rows.select("n_tokens", *p, *[rate([x]).alias(n) for x, n in zip(points, r)])
-        exprs = [t]
-        for n in r:
-            exprs += [t * F.col(n) * F.col(n), *[F.col(n) * t * p[k] for k in K],
-                      *[F.when(F.col(n) > 0, t * p[i] * p[j]) for i, j in pairs]]
-        row = list(at.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in exprs]).first())
-        out, width = [], 1 + len(K) + len(pairs)
-        for a in range(1, len(row), width):
-            joint = dict(zip(pairs, row[a + 1 + len(K):a + width]))
-            out.append((row[a], row[a + 1:a + 1 + len(K)], [[joint[min(i, j), max(i, j)] for j in K] for i in K]))
-        return row[0], out
-
-    whole, ((square, reached, joint),) = sums([[0.0] * len(DOMAINS)])
+    def sums(x):
+        """All tokens, the tokens times squared rates, the totals and the joint matrix at the multipliers ``x``."""
+        at = rows.select("n_tokens", *p, rate([x]).alias("r"))
+        r = F.col("r")
+        row = list(at.agg(*[F.coalesce(F.sum(v), F.lit(0.0)) for v in (
+            t, t * r * r, *[r * t * p[k] for k in K], *[F.when(r > 0, t * p[i] * p[j]) for i, j in pairs])]).first())
+        joint = dict(zip(pairs, row[2 + len(K):]))
+        return row[0], (row[1], row[2:2 + len(K)], [[joint[min(i, j), max(i, j)] for j in K] for i in K])
+
+    whole, (square, reached, joint) = sums([0.0] * len(DOMAINS))
     goal = [targets[d] * budget * whole for d in DOMAINS]
     for k in range(1, len(DOMAINS)):
         if DOMAINS[k] in at_most and goal[k] > reached[k]:
@@ -177,12 +171,14 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, budget: floa
         if max(map(abs, miss)) < TOLERANCE:
             break
         way = _solve([[joint[i][j] / whole + 1e-9 * (i == j) for j in K] for i in K], miss)
-        points = [[x + z * w for x, w in zip(at, way)] for z in SIZES]
-        _, tried = sums(points)
-        best = min(range(len(points)), key=lambda i: objective(tried[i][0], points[i]))
-        if objective(tried[best][0], points[best]) >= objective(square, at):
+        for z in SIZES:
+            point = [x + z * w for x, w in zip(at, way)]
+            _, there = sums(point)
+            if objective(there[0], point) < objective(square, at):
+                at, (square, reached, joint) = point, there
+                break
+        else:
             break
-        at, (square, reached, joint) = points[best], tried[best]
     return Fit([at], goal, reached)
 
 
