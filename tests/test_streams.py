@@ -127,3 +127,38 @@ def test_last_rows_of_a_batch_are_flagged_without_ranking_it(spark):
         assert got == ({34, 27, 20, 13, 6} if drift else set())
     plan = flag_drift_of_batch(rows, mon, order=["ts"])._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_feedback_updates_follow_the_buffer(spark, tmp_path, files):
+    from ticketscope.streaming.stateful import st_feedback_buffer
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    n = 87
+    cuts = [n * i // files for i in range(files + 1)]
+    for a, b in zip(cuts, cuts[1:]):
+        drop(spark, src, [("a", i) for i in range(a, b)] + [("b", i) for i in range(a // 3, b // 3)])
+        time.sleep(1.1)  # the file source reads by modification time
+    stream = st_feedback_buffer(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src), key="k", order=["i"])
+    q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r.update_no: ([json.loads(x)["i"] for x in r.batch], [json.loads(x)["i"] for x in r.recent], r.key)
+           for r in spark.read.schema(stream.schema).parquet(out).collect()}
+    # key a: due at 50, 60, 70 and 80 rows; key b never has 50
+    assert got == {u: (list(range(u * 10, u * 10 + 10)), list(range(u * 10, u * 10 + 50)), "a") for u in range(4)}
+
+
+def test_refit_counts_documents_without_tokens(spark):
+    from ticketscope.streaming.stateful import nb_refits
+    rows = [json.dumps({"text": "Ab ab", "true_category": "x"}), json.dumps({"text": None, "true_category": "y"})]
+    up = spark.createDataFrame([("a", 0, [], rows)], "key string, update_no long, batch array<string>, recent array<string>")
+    got = {(r["class"], r.term): r.n for r in nb_refits(up, "text string, true_category string").collect()}
+    assert got == {("x", "ab"): 2, ("x", ""): 1, ("y", ""): 1}
+
+
+def test_documents_without_tokens_get_the_prior(spark):
+    from ticketscope.streaming.jobs import nb_counts, ol_incremental_model
+    fb = spark.createDataFrame([("ab cd", "x"), ("", "y"), (None, "y")], "text string, true_category string")
+    docs = spark.createDataFrame([(1, "ab"), (2, ""), (3, None)], "id long, text string")
+    got = {r.doc_id: r.predicted_category for r in ol_incremental_model(nb_counts(fb), docs, id_col="id", text_col="text").collect()}
+    assert got[2] == got[3] == "y" and set(got) == {1, 2, 3}

@@ -9,7 +9,9 @@ instead of a nested loop.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketscope.operators._util import as_of_col, epoch_micros
@@ -186,18 +188,30 @@ def aud_status(rules: DataFrame, violations: DataFrame, *, as_of=None, days: int
             .na.fill(0, ["recent_violations", "unresolved_violations"]))
 
 
-def aud_retention_purge(events: DataFrame, *, as_of=None, retention_days: int = 365) -> tuple[DataFrame, DataFrame]:
-    """(kept rows, one-row removed count). Rows older than the cutoff go.
+def aud_retention_purge(tables: dict[str, DataFrame], *, as_of=None,
+                        retention_days: int = 365) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Retention over several tables with a ``ts`` (audit events, compliance
+    violations): the kept rows of each, and the counts ``(source, deleted_count,
+    kept_count)`` with a last row ``total``. Rows older than the cutoff go; rows
+    without a time stay. ``as_of`` defaults to the newest row of the first table.
 
-    Writing ``kept`` back per date partition (``partitionOverwriteMode=
+    Writing a kept table back per date partition (``partitionOverwriteMode=
     dynamic``) rewrites only partitions that held expired rows.
     """
-    t = as_of_col(events, as_of)
-    cutoff = t - F.make_dt_interval(F.lit(retention_days))
-    kept = events.where(F.col("ts") >= cutoff)
-    removed = events.agg(F.count_if(F.col("ts") < cutoff).alias("deleted_count"),
-                         F.count_if(F.col("ts") >= cutoff).alias("kept_count"))
-    return kept, removed
+    t = as_of_col(next(iter(tables.values())), as_of)
+    expired = F.coalesce(F.col("ts") < t - F.make_dt_interval(F.lit(retention_days)), F.lit(False))
+    kept = {name: df.where(~expired) for name, df in tables.items()}
+    marks = reduce(DataFrame.unionAll, [df.select(F.lit(name).alias("source"), expired.alias("gone"))
+                                        for name, df in tables.items()])
+    n = marks.groupBy("source").agg(F.count_if("gone").alias("deleted_count"), F.count_if(~F.col("gone")).alias("kept_count"))
+    names = df_of_names(n.sparkSession, list(tables))
+    n = names.join(n, "source", "left").na.fill(0, ["deleted_count", "kept_count"])
+    return kept, n.unionByName(n.agg(F.lit("total").alias("source"), F.sum("deleted_count").alias("deleted_count"),
+                                     F.sum("kept_count").alias("kept_count")))
+
+
+def df_of_names(spark: SparkSession, names: list[str]) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in names], "source string")
 
 
 # ----------------------------------------------------------------- GDPR

@@ -88,6 +88,13 @@ def ens_evaluate(results: DataFrame, labels: DataFrame, *, threshold: float = HI
                  F.count_if(hi).alias("high_confidence_samples"))
 
 
+def ens_class_report(results: DataFrame, labels: DataFrame, *, label_col: str = "true_label") -> DataFrame:
+    """The evaluation's classification report: precision, recall, F1 and support per
+    class with macro and weighted averages."""
+    from ticketscope.operators.ml import ev_class_report
+    return ev_class_report(results.join(labels, "text_id"), label_col=label_col, pred_col="ensemble_prediction")
+
+
 def win_model_rankings(history: DataFrame, *, last_n: int = 3) -> DataFrame:
     """Rank models by 0.7 * mean accuracy + 0.3 * mean confidence of the last 3."""
     recent = win_last_n(history, group="model", ts="ts", n=last_n)

@@ -3,6 +3,8 @@ class lexicon, counterfactual candidates and local surrogates."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,9 +59,11 @@ def ex_bias_parity(df: DataFrame, *, text_col: str, label_col: str, attributes:
     return c.withColumn("biased", F.abs("bias_score") > 0.1)
 
 
-def ex_bias_pivot(bias: DataFrame) -> DataFrame:
-    """class x attribute matrix of bias scores."""
-    attrs = list(SENSITIVE_ATTRIBUTES)
+def ex_bias_pivot(bias: DataFrame, attributes: Iterable[str] | None = None) -> DataFrame:
+    """class x attribute matrix of bias scores, over the attributes that the
+    caller gave to ``ex_bias_parity`` (the default ones without); 0 where an
+    attribute has no score."""
+    attrs = list(SENSITIVE_ATTRIBUTES if attributes is None else attributes)
     return bias.groupBy("label").pivot("attribute", attrs).agg(F.first("bias_score")).na.fill(0.0)
 
 

@@ -134,25 +134,31 @@ def ev_confusion(pred: DataFrame, *, label_col: str = "true_category", pred_col:
 
 def ev_class_report(pred: DataFrame, *, label_col: str = "true_category",
                     pred_col: str = "predicted_category") -> DataFrame:
-    """Precision, recall, F1, support per class plus macro / weighted averages."""
-    tp = pred.where(F.col(label_col) == F.col(pred_col)).groupBy(F.col(label_col).alias("class")).agg(F.count("*").alias("tp"))
-    sup = pred.groupBy(F.col(label_col).alias("class")).agg(F.count("*").alias("support"))
-    pc = pred.groupBy(F.col(pred_col).alias("class")).agg(F.count("*").alias("predicted"))
-    j = sup.join(pc, "class", "full_outer").join(tp, "class", "left").na.fill(0, ["tp", "support", "predicted"])
-    p = F.coalesce(F.try_divide(F.col("tp"), F.col("predicted")), F.lit(0.0))
-    r = F.coalesce(F.try_divide(F.col("tp"), F.col("support")), F.lit(0.0))
-    j = j.select("class", p.alias("precision"), r.alias("recall"), "support")
+    """Precision, recall, F1, support per class plus macro / weighted averages:
+    one scan counts the confusion matrix, everything else follows from its few rows."""
+    zero, n = F.lit(0).cast("long"), F.col("count")
+    hit = F.when(F.col("actual") == F.col("predicted"), n).otherwise(zero)
+    sides = F.array(F.struct(F.col("actual").alias("class"), n.alias("support"), zero.alias("n_pred"), hit.alias("tp")),
+                    F.struct(F.col("predicted").alias("class"), zero.alias("support"), n.alias("n_pred"), zero.alias("tp")))
+    j = ev_confusion(pred, label_col=label_col, pred_col=pred_col).select(F.explode(sides).alias("s")).select("s.*")
+    j = j.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("support", "n_pred", "tp")]).where(F.col("support") > 0)
+    p = F.coalesce(F.try_divide(F.col("tp"), F.col("n_pred")), F.lit(0.0))
+    j = j.select("class", p.alias("precision"), (F.col("tp") / F.col("support")).alias("recall"), "support")
     j = j.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
                                   2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
                      .otherwise(F.lit(0.0)))
-    j = j.where(F.col("support") > 0)
-    tot = F.sum("support")
-    avg = j.agg(F.lit("macro avg").alias("class"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
-                tot.alias("support"), F.avg("f1").alias("f1"))
-    wavg = j.agg(F.lit("weighted avg").alias("class"), (F.sum(F.col("precision") * F.col("support")) / tot).alias("precision"),
-                 (F.sum(F.col("recall") * F.col("support")) / tot).alias("recall"), tot.alias("support"),
-                 (F.sum(F.col("f1") * F.col("support")) / tot).alias("f1"))
-    return j.unionByName(avg).unionByName(wavg)
+    scores = ["precision", "recall", "f1"]
+    g = j.groupingSets([[F.col("class")], []], "class").agg(
+        F.grouping_id().alias("total"), F.sum("support").alias("support"), *[F.avg(c).alias(c) for c in scores],
+        *[(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(f"w_{c}") for c in scores])
+
+    def row(name, prefix=""):
+        return F.struct(name.alias("class"), F.col(f"{prefix}precision").alias("precision"),
+                        F.col(f"{prefix}recall").alias("recall"), F.col("support"), F.col(f"{prefix}f1").alias("f1"))
+
+    rows = F.when(F.col("total") == 1, F.array(row(F.lit("macro avg")), row(F.lit("weighted avg"), "w_"))) \
+        .otherwise(F.array(row(F.col("class"))))
+    return g.select(F.explode(rows).alias("r")).select("r.*")
 
 
 # ------------------------------------------------------------------ tuning
@@ -232,60 +238,10 @@ def tune_cross_validate(prepared: DataFrame, model_type: str, grid: list[dict],
         .orderBy(F.desc("cv_accuracy"))
 
 
-def _dominated_by(a_prefix: str, b_prefix: str, objectives: list[str]):
-    ge = [F.col(f"{a_prefix}{o}") >= F.col(f"{b_prefix}{o}") for o in objectives]
-    gt = [F.col(f"{a_prefix}{o}") > F.col(f"{b_prefix}{o}") for o in objectives]
-    cond = ge[0]
-    for c in ge[1:]:
-        cond = cond & c
-    anygt = gt[0]
-    for c in gt[1:]:
-        anygt = anygt | c
-    return cond & anygt
-
-
-def join_pareto_dominance(trials: DataFrame, objectives: list[str], *, id_col: str = "trial",
-                          broadcast_limit: int = 100_000) -> DataFrame:
-    """Non-dominated rows (all objectives maximised).
-
-    1. Each partition keeps its local skyline (sort by the first objective,
-       block-nested-loop check) in ``mapInPandas``: a globally non-dominated
-       row is never dropped, most dominated rows are.
-    2. The survivors are anti-joined with themselves on the dominance
-       predicate; the candidate side is broadcast only when its counted size
-       is under ``broadcast_limit``.
-    """
-    import numpy as np
-
-    schema = trials.schema
-
-    def skyline(batches):
-        import pandas as pd
-        frames = [b for b in batches if not b.empty]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        vals = pdf[objectives].to_numpy(dtype=float)
-        order = np.lexsort(tuple(-vals[:, i] for i in reversed(range(vals.shape[1]))))
-        keep: list[int] = []
-        kept_vals = np.empty((0, vals.shape[1]))
-        for i in order:
-            v = vals[i]
-            if kept_vals.shape[0]:
-                dom = np.all(kept_vals >= v, axis=1) & np.any(kept_vals > v, axis=1)
-                if dom.any():
-                    continue
-            keep.append(i)
-            kept_vals = np.vstack([kept_vals, v])
-        yield pdf.iloc[sorted(keep)]
-
-    cands = trials.mapInPandas(skyline, schema=schema)
-    n = cands.count()
-    other = cands.select(*[F.col(c).alias(f"o_{c}") for c in cands.columns])
-    if n <= broadcast_limit:
-        other = F.broadcast(other)
-    cond = _dominated_by("o_", "", objectives)
-    return cands.join(other, cond, "left_anti")
+def join_pareto_dominance(trials: DataFrame, objectives: list[str], *, id_col: str = "trial") -> DataFrame:
+    """Non-dominated rows (all objectives maximised), see ``skyline``."""
+    from ticketscope.operators.skyline import skyline
+    return skyline(trials, objectives, id_col=id_col)
 
 
 def tune_pareto(front: DataFrame, objectives: list[str], weights=(0.5, 0.3, 0.2), *, id_col: str = "trial") -> DataFrame:

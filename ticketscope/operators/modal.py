@@ -61,6 +61,19 @@ def mm_classify(df: DataFrame, conf_cols: dict[str, str], *, prediction_col: str
     return d.withColumn("modalities_used", used)
 
 
+def mm_classify_model(df: DataFrame, model, conf_cols: dict[str, str], *, text_cols: list[str]) -> DataFrame:
+    """``mm_classify`` with a fitted pipeline (``ml_train_pipeline``): the texts of
+    all modalities are joined, the model gives category and confidence, and the
+    other modalities' confidences boost it. A row without any text is 'General
+    Inquiry' at 0.1; repeated rows stay."""
+    from ticketscope.operators.ml import ml_predict_batch
+    joined = df.withColumn("combined_text", mm_combine_text(*[F.col(c) for c in text_cols]))
+    scored = ml_predict_batch(model, joined, text_col="combined_text", with_prob_columns=False).drop("probabilities")
+    scored = scored.withColumnsRenamed({"predicted_category": "model_category", "confidence": "model_confidence"})
+    return mm_classify(scored, conf_cols, prediction_col="model_category", confidence_col="model_confidence",
+                       text_col="combined_text")
+
+
 def agg_modality_usage(df: DataFrame, *, has_text: Column, has_images: Column, has_audio: Column,
                        has_documents: Column) -> DataFrame:
     """Counts with images / audio / documents; text-only counts text alone (quirk 13)."""

@@ -8,7 +8,7 @@ the last fallback. Everything else is column expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketscope.functions.text import fn_replace_vars
@@ -175,3 +175,12 @@ def agg_response_stats(responses: DataFrame) -> DataFrame:
         .when(F.col("gid") == 5, F.col("urgency")).otherwise(F.col("generation_method"))
     return g.select(dims.alias("dimension"), val.alias("value"), "count", "avg_confidence", "avg_response_length",
                     "escalation_rate")
+
+
+def agg_response_recent(responses: DataFrame, order: list[str], *, n: int = 10) -> DataFrame:
+    """The last ``n`` responses in ``order`` (all columns, ``recency`` 1 = newest)
+    with their length: a top-k, each task keeps ``n`` rows."""
+    last = responses.orderBy(*[F.desc_nulls_last(c) for c in order]).limit(n)
+    # n rows reach this single-partition numbering
+    rank = F.row_number().over(Window.orderBy(*[F.desc_nulls_last(c) for c in order]))
+    return last.withColumn("response_length", F.length("response_text")).withColumn("recency", rank)

@@ -8,30 +8,39 @@ from pyspark.sql import functions as F
 from ticketscope.functions.text import txt_clean, txt_stopwords, words
 
 
-def txt_lemma(df: DataFrame, text_col: str, lemmas: DataFrame | None = None, out: str = "lemmatized") -> DataFrame:
+def txt_lemma(df: DataFrame, text_col: str, lemmas: DataFrame | None = None, out: str = "lemmatized", *,
+              id_col: str | None = None) -> DataFrame:
     """Replace each word by its lemma from a ``(word, lemma)`` table; identity
-    without one (the reference's behaviour when no language model is loaded).
+    without one (the behaviour when no language model is loaded).
 
-    Words are exploded with their position, left-joined to the lemma table
-    and re-assembled in order per row.
+    Words are exploded with their position, left-joined to the lemma table and
+    put together again per (``id_col``, digest of the text), so repeated or null
+    ids never mix different texts and rows stay as they are. A word with several
+    lemmas takes the first in order; a null text gives an empty one.
     """
     if lemmas is None:
         return df.withColumn(out, F.col(text_col))
-    rid = "_row_id"
-    base = df.withColumn(rid, F.monotonically_increasing_id())
-    toks = base.select(rid, F.posexplode(words(text_col)).alias("pos", "word"))
-    j = toks.join(lemmas, "word", "left").select(rid, "pos", F.coalesce("lemma", "word").alias("w"))
-    g = j.groupBy(rid).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))),
-                                                    lambda s: s["w"]), " ").alias(out))
-    return base.join(g, rid, "left").withColumn(out, F.coalesce(F.col(out), F.lit(""))).drop(rid)
+    if id_col is None:
+        raise ValueError("txt_lemma needs id_col: words are put together again by it")
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    one = lemmas.groupBy("word").agg(F.min("lemma").alias("lemma"))
+    texts = df.select(F.col(id_col).alias("lem_id"), digest.alias("lem_md5"), F.col(text_col).alias("t")).dropDuplicates(
+        ["lem_id", "lem_md5"])
+    toks = texts.select("lem_id", "lem_md5", F.posexplode(words("t")).alias("pos", "word"))
+    j = toks.join(one, "word", "left").select("lem_id", "lem_md5", "pos", F.coalesce("lemma", "word").alias("w"))
+    g = j.groupBy("lem_id", "lem_md5").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))),
+                                                                  lambda s: s["w"]), " ").alias("lem_out"))
+    same = F.col(id_col).eqNullSafe(F.col("lem_id")) & (digest == F.col("lem_md5"))
+    return df.join(g, same, "left").select(*[df[c] for c in df.columns if c != out], F.coalesce("lem_out", F.lit("")).alias(out))
 
 
 def txt_preprocess(df: DataFrame, *, text_col: str = "customer_message", remove_stopwords: bool = True,
-                   lemmas: DataFrame | None = None, stopwords=None, out: str = "processed_text") -> DataFrame:
+                   lemmas: DataFrame | None = None, stopwords=None, out: str = "processed_text",
+                   id_col: str | None = None) -> DataFrame:
     t = txt_clean(text_col)
     if remove_stopwords:
         t = txt_stopwords(t, stopwords)
     d = df.withColumn(out, t)
     if lemmas is not None:
-        d = txt_lemma(d, out, lemmas, out="_lem").drop(out).withColumnRenamed("_lem", out)
+        d = txt_lemma(d, out, lemmas, out="_lem", id_col=id_col).drop(out).withColumnRenamed("_lem", out)
     return d

@@ -101,10 +101,23 @@ reg("aud_status", _status,
            coalesce(v.unresolved_violations, 0) AS unresolved_violations
     FROM v_rules r LEFT JOIN v USING (rule_id)""", ["v_audit", "v_rules"])
 
-reg("aud_retention_purge", lambda s, sf: AU.aud_retention_purge(_ev(s, sf), retention_days=15)[1],
-    f"""SELECT count(*) FILTER (WHERE ts < {ASOF} - INTERVAL 15 DAY) AS deleted_count,
-               count(*) FILTER (WHERE ts >= {ASOF} - INTERVAL 15 DAY) AS kept_count FROM v_audit""",
-    ["v_audit"])
+
+
+def _purge(s, sf):
+    ev = _ev(s, sf)
+    # a violation is dated by its event here, so that some are older than the cutoff
+    dated = _viol(s, sf).drop("ts").join(ev.select("event_id", "ts"), "event_id")
+    return AU.aud_retention_purge({"events": ev, "violations": dated}, retention_days=15)[1]
+
+
+reg("aud_retention_purge", _purge,
+    f"""WITH {VIOL_SQL},
+    m AS (SELECT 'events' AS source, ts FROM v_audit
+          UNION ALL SELECT 'violations', a.ts FROM viol JOIN v_audit a USING (event_id)),
+    n AS (SELECT source, count(*) FILTER (WHERE ts < {ASOF} - INTERVAL 15 DAY) AS deleted_count,
+                 count(*) FILTER (WHERE ts >= {ASOF} - INTERVAL 15 DAY) AS kept_count FROM m GROUP BY 1)
+    SELECT * FROM n UNION ALL
+    SELECT 'total', CAST(sum(deleted_count) AS BIGINT), CAST(sum(kept_count) AS BIGINT) FROM n""", ["v_audit"])
 
 IDS_SQL = """ids AS (SELECT DISTINCT request_id, request_type, identity FROM
   (SELECT request_id, request_type, unnest(list_filter([user_id, email], lambda x: x IS NOT NULL)) AS identity

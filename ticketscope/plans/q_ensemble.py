@@ -92,6 +92,26 @@ reg("ens_evaluate", _evaluate,
     FROM r JOIN v_predictions p ON p.id = r.text_id""",
     ["v_votes", "v_predictions"], ["accuracy", "average_confidence", "high_confidence_accuracy"])
 
+
+def _class_report(s, sf):
+    labels = spark_view(s, sf, "v_predictions").select(F.col("id").alias("text_id"), F.col("predicted_class").alias("true_label"))
+    return E.ens_class_report(E.ens_weighted_vote(_votes(s, sf)), labels)
+
+
+reg("ens_class_report", _class_report,
+    f"""{VOTE_SQL.replace("SELECT text_id, arg_min", ", r AS (SELECT text_id, arg_min", 1)}
+    """.replace("FROM scores GROUP BY text_id", "FROM scores GROUP BY text_id)") + """,
+    j AS (SELECT p.predicted_class AS a, r.ensemble_prediction AS b FROM r JOIN v_predictions p ON p.id = r.text_id),
+    c AS (SELECT a AS class, count(*) AS support, count(*) FILTER (WHERE a = b) AS tp FROM j GROUP BY 1),
+    f AS (SELECT class, support, CAST(tp AS DOUBLE) / support AS recall,
+                 coalesce(CAST(tp AS DOUBLE) / (SELECT nullif(count(*), 0) FROM j WHERE j.b = c.class), 0.0) AS precision FROM c),
+    s AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM f)
+    SELECT class, precision, recall, support, f1 FROM s
+    UNION ALL SELECT 'macro avg', avg(precision), avg(recall), CAST(sum(support) AS BIGINT), avg(f1) FROM s
+    UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                     CAST(sum(support) AS BIGINT), sum(f1 * support) / sum(support) FROM s""",
+    ["v_votes", "v_predictions"], ["precision", "recall", "f1"])
+
 HIST_SQL = """hist AS (
   SELECT model, CAST(d AS TIMESTAMP) AS ts, avg(CAST(prediction = truth AS INTEGER)) AS accuracy,
          avg(confidence) AS confidence

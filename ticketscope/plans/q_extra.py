@@ -374,6 +374,48 @@ def _pruned_sql():
 reg("txt_tfidf_pruned", _pruned, _pruned_sql(), ["v_tickets"], ["tfidf"])
 
 
+def _assembled(s, sf):
+    """Per ticket: entries of the assembled vector and its squared length after standardising."""
+    from ticketscope.operators.assembly import ft_assemble_all
+    t = spark_view(s, sf, "v_tickets").select("ticket_id", "customer_message")
+    rows, _ = ft_assemble_all(t, id_col="ticket_id", text_col="customer_message")
+    return rows.select(F.col("id").alias("ticket_id"), F.size("idx").alias("n_entries"),
+                       (F.col("sq_norm") / 10000.0).alias("norm"))
+
+
+def _scaler(s, sf):
+    """Every assembled feature's group, number, mean and deviation."""
+    from ticketscope.operators.assembly import fit_scaler, group_features
+    t = spark_view(s, sf, "v_tickets").select("ticket_id", "customer_message")
+    f = group_features(t, id_col="ticket_id", text_col="customer_message")
+    return fit_scaler(f, t.count()).table
+
+
+def _long_features_sql():
+    names = [("statistical", FE.STAT_FEATURES, q_text.STAT_SQL), ("domain", FE.DOMAIN_FEATURES, q_text.DOMAIN_SQL),
+             ("sentiment", ["sentiment_score", "positive_count", "neutral_count", "negative_count"], q_text.SENT_SQL)]
+    dense = " UNION ALL ".join(f"SELECT ticket_id AS id, '{g}' AS grp, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM {g}"
+                               for g, cols, _ in names for c in cols)
+    return (", ".join(f"{g} AS ({sql})" for g, _, sql in names)
+            + f""", long AS (SELECT doc_id AS id, 'tfidf' AS grp, term AS feature, tfidf AS value FROM ({_pruned_sql()}) p
+                             UNION ALL {dense}),
+    present AS (SELECT * FROM long WHERE value <> 0),
+    n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM v_tickets),
+    m AS (SELECT grp, feature, sum(value) / any_value(n) AS mean, sum(value * value) / any_value(n) AS sq FROM present, n GROUP BY 1, 2),
+    sc AS (SELECT grp, feature, CAST(row_number() OVER (ORDER BY grp, feature) - 1 AS INTEGER) AS index, mean,
+                  CASE WHEN sq - mean * mean > 1e-12 THEN sqrt(sq - mean * mean) ELSE 1.0 END AS std FROM m)""")
+
+
+reg("ft_assemble_all", _assembled,
+    f"""WITH {_long_features_sql()},
+    off AS (SELECT sum((mean / std) * (mean / std)) AS o FROM sc),
+    d AS (SELECT id, count(*) AS c, sum(value / std * (value / std) - 2 * value / std * mean / std) AS d
+          FROM present JOIN sc USING (grp, feature) GROUP BY 1)
+    SELECT t.ticket_id, CAST(coalesce(c, 0) AS INTEGER) AS n_entries, (coalesce(d, 0.0) + o) / 10000.0 AS norm
+    FROM v_tickets t LEFT JOIN d ON d.id = t.ticket_id, off""", ["v_tickets"], ["norm"])
+reg("ft_assemble_scaler", _scaler, f"WITH {_long_features_sql()} SELECT * FROM sc", ["v_tickets"], ["mean", "std"])
+
+
 def _fit_reference(s, sf):
     base = _fresh(s, "ref")
     ref = spark_view(s, sf, "v_drift_ref")

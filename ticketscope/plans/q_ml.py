@@ -137,7 +137,7 @@ def _topics(s, sf):
     from ticketscope.operators.features import ft_topics, tokens_expr
     t = _tickets(s, sf).select(F.col("ticket_id").alias("doc_id"),
                                tokens_expr(txt_clean("customer_message")).alias("toks"))
-    vec = CountVectorizer(inputCol="toks", outputCol="features", vocabSize=1000, minDF=2.0, maxDF=0.95).fit(t).transform(t)
+    vec = CountVectorizer(inputCol="toks", outputCol="features", vocabSize=5000, minDF=2.0, maxDF=0.95).fit(t).transform(t)
     r = ft_topics(vec, k=20, max_iter=20)
     arr = vector_to_array("topic_distribution")
     return r.select("doc_id", (F.array_position(arr, F.array_max(arr)) - 1).alias("dominant_topic"),

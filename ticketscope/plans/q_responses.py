@@ -121,6 +121,18 @@ reg("agg_response_stats", _stats,
     FROM g GROUP BY GROUPING SETS ((category), (urgency), (generation_method), ())""",
     ["v_response_req"], ["avg_confidence", "avg_response_length", "escalation_rate"])
 
+
+def _recent_responses(s, sf):
+    g = R.rsp_generate(_req(s, sf), R.templates_df(s))
+    return R.agg_response_recent(g, ["request_id"]).select(
+        "request_id", "category", "urgency", "generation_method", "confidence_score", "response_length", "recency")
+
+
+reg("agg_response_recent", _recent_responses,
+    f"""WITH {RENDER_SQL} SELECT request_id, category, urgency, 'template' AS generation_method, 0.8 AS confidence_score,
+           length(response_text) AS response_length, row_number() OVER (ORDER BY request_id DESC) AS recency
+    FROM rendered ORDER BY request_id DESC LIMIT 10""", ["v_response_req"], ["confidence_score"])
+
 reg("fn_clean_generated",
     lambda s, sf: s.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", R.fn_clean_generated(F.col("text")).alias("t")),
     r"""WITH a AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
@@ -160,6 +172,25 @@ reg("mm_confidence_boost", lambda s, sf: _modal(s, sf).groupBy("confidence").cou
     f"SELECT confidence, count(*) AS count FROM ({MODAL_SQL}) GROUP BY 1", ["v_modal"], ["confidence"])
 
 
+def _modal_model(s, sf):
+    """Tickets with attachments of other modalities: a seventh of them without a
+    message, a third with a text read from an image (the channel's name)."""
+    from ticketscope.operators import ml as ML
+    t = spark_view(s, sf, "v_tickets")
+    model = ML.ml_train_pipeline(t, model_type="logistic_regression")
+    k = F.col("ticket_id")
+    d = t.select(k.alias("input_id"), F.when(k % 7 != 0, F.col("customer_message")).alias("message"),
+                 F.when(k % 3 == 0, F.col("channel")).alias("image_text"), F.when(k % 7 != 0, F.lit(1.0)).alias("text_conf"),
+                 F.when(k % 3 == 0, (k % 100) / 100.0).alias("image_conf"), F.when(k % 5 == 0, F.lit(0.9)).alias("document_conf"))
+    r = MM.mm_classify_model(d, model, {"text": "text_conf", "images": "image_conf", "documents": "document_conf"},
+                             text_cols=["message", "image_text"])
+    return r.select("input_id", "predicted_category", "base_confidence", "confidence", "primary_modality",
+                    F.array_join("modalities_used", ",").alias("modalities_used"))
+
+
+reg("mm_classify_model", _modal_model)
+
+
 def _usage(s, sf):
     d = spark_view(s, sf, "v_modal")
     return MM.agg_modality_usage(d, has_text=F.col("text").isNotNull(), has_images=F.col("image_conf").isNotNull(),

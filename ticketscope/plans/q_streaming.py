@@ -168,13 +168,14 @@ terms AS (SELECT * FROM counts WHERE term <> ''),
 tot AS (SELECT class, sum(n) AS total FROM terms GROUP BY 1),
 vs AS (SELECT count(DISTINCT term) AS v FROM terms),
 nd AS (SELECT sum(docs) AS nd FROM priors),
-cls AS (SELECT p.class, ln(CAST(docs AS DOUBLE) / nd) AS log_prior, total + 1.0 * v AS denom
-        FROM priors p JOIN tot USING (class), vs, nd),
+cls AS (SELECT p.class, ln(CAST(docs AS DOUBLE) / nd) AS log_prior, coalesce(total, 0) + 1.0 * v AS denom
+        FROM priors p LEFT JOIN tot USING (class), vs, nd),
 toks AS (SELECT id AS doc_id, unnest(regexp_extract_all(lower(input_text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM v_predictions),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY 1, 2),
 seen AS (SELECT doc_id, t.class, sum(tf * (ln(t.n + 1.0) - ln(1.0))) AS s
          FROM tf JOIN terms t USING (term) GROUP BY 1, 2),
-dl AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY 1),
+dl AS (SELECT id AS doc_id, sum(coalesce(len(regexp_extract_all(lower(input_text), '[\\p{L}\\p{N}_]{2,}')), 0)) AS len
+       FROM v_predictions GROUP BY 1),
 sc AS (SELECT dl.doc_id, cls.class, log_prior + len * (ln(1.0) - ln(denom)) + coalesce(seen.s, 0.0) AS score
        FROM dl CROSS JOIN cls LEFT JOIN seen ON seen.doc_id = dl.doc_id AND seen.class = cls.class),
 best AS (SELECT doc_id, class FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, class) AS r FROM sc)
@@ -256,6 +257,32 @@ reg("st_running_stats", _running_stats, [q.sql for q in Q if q.name == "st_stats
     ["avg_processing_time_ms", "uptime_seconds", "throughput_per_second"])
 
 
+def _feedback_buffer(s, sf):
+    """Feedback per model as a stream in time order; every update with the counts
+    that its refit holds."""
+    from ticketscope.streaming.stateful import nb_refits, st_feedback_buffer
+    base = _fresh(s, "feedback-buffer")
+    f = spark_view(s, sf, "v_feedback").select("id", "ts", "text", "true_category",
+                                               F.concat(F.lit("m"), F.col("user_id").cast("long") % 3).alias("model_name"))
+    out = st_feedback_buffer(_in_time_order(s, f, "feedback-in"), key="model_name", order=["ts", "id"])
+    q = (out.writeStream.format("parquet").option("path", os.path.join(base, "out"))
+         .option("checkpointLocation", os.path.join(base, "_checkpoint")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    updates = s.read.parquet(os.path.join(base, "out"))
+    return nb_refits(updates, "text string, true_category string").withColumnRenamed("key", "model_name")
+
+
+reg("ol_feedback_buffer", _feedback_buffer,
+    """WITH f AS (SELECT *, 'm' || CAST(CAST(user_id AS BIGINT) % 3 AS VARCHAR) AS model_name FROM v_feedback),
+    o AS (SELECT model_name, text, true_category, row_number() OVER (PARTITION BY model_name ORDER BY ts, id) AS rn FROM f),
+    u AS (SELECT model_name, rn AS due, CAST((rn - 50) // 10 AS BIGINT) AS update_no FROM o WHERE rn >= 50 AND (rn - 50) % 10 = 0),
+    r AS (SELECT u.model_name, u.update_no, o.true_category AS class, o.text FROM u JOIN o
+          ON o.model_name = u.model_name AND o.rn > u.due - 50 AND o.rn <= u.due)
+    SELECT model_name, update_no, class, term, count(*) AS n FROM (
+      SELECT model_name, update_no, class, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM r
+      UNION ALL SELECT model_name, update_no, class, '' FROM r) GROUP BY 1, 2, 3, 4""", ["v_feedback"])
+
+
 def _classify_model(s, sf):
     """The stream through a fitted pipeline: tickets as a file stream, each
     micro-batch scored by the model that the batch path uses."""

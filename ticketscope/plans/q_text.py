@@ -97,7 +97,7 @@ def _lemma(s, sf):
     lemmas = (c.select(F.explode(T.words("clean")).alias("word")).distinct()
               .where(F.col("word").endswith("s") & (F.length("word") > 3))
               .select("word", F.expr("substring(word, 1, length(word) - 1)").alias("lemma")))
-    return txt_lemma(c, "clean", lemmas).select("ticket_id", "lemmatized")
+    return txt_lemma(c, "clean", lemmas, id_col="ticket_id").select("ticket_id", "lemmatized")
 
 
 reg("txt_lemma", _lemma,

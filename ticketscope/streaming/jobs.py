@@ -253,16 +253,17 @@ def ol_incremental_model(counts: DataFrame, docs: DataFrame, *, id_col: str, tex
     """Score documents with the NB counts: argmax_c log P(c) + sum log P(t|c).
 
     Token x class scores come from an equi-join of exploded tokens with the
-    (term, class) table; unseen terms get the Laplace floor per class.
+    (term, class) table; unseen terms get the Laplace floor per class. A document
+    without tokens (null text included) is scored by the class priors alone.
     """
     priors = counts.where(F.col("term") == "").select("class", F.col("n").alias("docs"))
     terms = counts.where(F.col("term") != "")
     tot = terms.groupBy("class").agg(F.sum("n").alias("total"))
     vocab = terms.select(F.countDistinct("term")).scalar()
     ndocs = priors.select(F.sum("docs")).scalar()
-    cls = priors.join(tot, "class").select(
+    cls = priors.join(tot, "class", "left").select(  # a class whose documents had no token keeps its prior
         "class", F.ln(F.col("docs") / ndocs).alias("log_prior"),
-        (F.col("total") + alpha * vocab).alias("denom"))
+        (F.coalesce("total", F.lit(0)) + alpha * vocab).alias("denom"))
     toks = docs.select(F.col(id_col).alias("doc_id"), F.explode(nb_tokens(F.col(text_col))).alias("term"))
     tf = toks.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     known = tf.join(terms.select("term", "class", F.col("n").alias("cnt")), "term")
@@ -271,11 +272,13 @@ def ol_incremental_model(counts: DataFrame, docs: DataFrame, *, id_col: str, tex
     # each document is scored for every class: the class table (one row per
     # class) travels as a scalar array, exploded per document - no join
     classes = cls.select(F.collect_list(F.struct("class", "log_prior", "denom"))).scalar()
-    dl = tf.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+    n_tokens = F.greatest(F.coalesce(F.size(nb_tokens(F.col(text_col))), F.lit(0)), F.lit(0))
+    dl = docs.groupBy(F.col(id_col).alias("doc_id")).agg(F.sum(n_tokens).alias("len"))
     base = dl.select("doc_id", "len", F.explode(classes).alias("c")).select("doc_id", "len", "c.*")
     s = base.join(seen, ["doc_id", "class"], "left")
-    score = (F.col("log_prior") + F.col("len") * (F.ln(F.lit(alpha)) - F.ln(F.col("denom")))
-             + F.coalesce(F.col("_seen"), F.lit(0.0)))
+    floor = F.when((F.col("len") > 0) & (F.col("denom") > 0),
+                   F.col("len") * (F.ln(F.lit(alpha)) - F.ln(F.col("denom")))).otherwise(F.lit(0.0))
+    score = F.col("log_prior") + floor + F.coalesce(F.col("_seen"), F.lit(0.0))
     s = s.withColumn("score", score)
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "class")
     return s.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select(

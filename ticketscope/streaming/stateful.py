@@ -58,6 +58,63 @@ def st_count_or_timeout(stream: DataFrame, *, key: str, size: int = 10, timeout_
                                                      "NoTimeout" if timeout_seconds is None else "ProcessingTimeTimeout")
 
 
+FEEDBACK = StructType([StructField("recent", StringType()), StructField("pending", LongType()), StructField("updates", LongType())])
+UPDATE = "key string, update_no long, batch array<string>, recent array<string>"
+
+
+def st_feedback_buffer(stream: DataFrame, *, key: str, frequency: int = 50, batch_size: int = 10, keep_batches: int = 5,
+                       order: list[str] | None = None) -> DataFrame:
+    """Model updates from buffered feedback: (key, update_no, batch, recent), rows as JSON.
+
+    Feedback waits until ``frequency`` rows of a key are pending; then the oldest
+    ``batch_size`` of them are an update's ``batch``, and ``recent`` are the last
+    ``batch_size * keep_batches`` rows received, for a model that is refitted
+    whole. The rest stays pending, so later updates follow every ``batch_size``
+    rows. State of a key is its last rows (at most ``frequency`` or the recent
+    ones, whichever is more) and two counters. Rows of a micro-batch are taken in
+    ``order``.
+    """
+    if not 0 < batch_size <= frequency:
+        raise ValueError("batch_size must be between 1 and frequency")
+    row = F.to_json(F.struct(*[F.col(c) for c in stream.columns]))
+    src = stream.select(F.col(key).cast("string").alias("key"), row.alias("row"),
+                        F.struct(*[F.col(c) for c in (order or [])], row.alias("_row")).alias("ord"))
+    window = batch_size * keep_batches
+
+    def fn(key, chunks, state):
+        held, pending, no = (json.loads(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], 0, 0)
+        new = [c for c in chunks if len(c)]
+        if not new:
+            return
+        rows = pd.concat(new)
+        ranks = rows["ord"].map(lambda o: tuple((v is not None, v) for v in (o.values() if isinstance(o, dict) else o)))
+        seen = len(held)
+        held = held + [r for _, r in sorted(zip(ranks, rows["row"]))]
+        out = []
+        at = seen + frequency - pending  # rows held when the next update is due
+        while at <= len(held):
+            first = at - frequency
+            out.append((key[0], no + len(out), held[first:first + batch_size], held[max(0, at - window):at]))
+            at += batch_size
+        pending += len(held) - seen - len(out) * batch_size
+        state.update((json.dumps(held[-max(window, pending):]), pending, no + len(out)))
+        if out:
+            yield pd.DataFrame(out, columns=["key", "update_no", "batch", "recent"])
+
+    return src.groupBy("key").applyInPandasWithState(fn, UPDATE, FEEDBACK, "append", "NoTimeout")
+
+
+def nb_refits(updates: DataFrame, row_schema: str, *, text_col: str = "text", label_col: str = "true_category") -> DataFrame:
+    """Naive Bayes counts refitted on each update's recent rows: (key, update_no,
+    class, term, n), the term '' counting documents."""
+    from ticketscope.streaming.jobs import nb_tokens
+    rows = updates.select("key", "update_no", F.explode("recent").alias("r")).select(
+        "key", "update_no", F.from_json("r", row_schema).alias("r"))
+    terms = F.array_append(F.coalesce(nb_tokens(F.col(f"r.{text_col}")), F.array().cast("array<string>")), "")
+    return rows.select("key", "update_no", F.col(f"r.{label_col}").alias("class"), F.explode(terms).alias("term")).groupBy(
+        "key", "update_no", "class", "term").agg(F.count("*").alias("n"))
+
+
 RUNNING = StructType([StructField(n, LongType()) for n in ("total", "errors", "first", "last")]
                      + [StructField("average", StringType())])
 STATS = ("key string, total_processed long, total_errors long, avg_processing_time_ms double, uptime_seconds double, "
