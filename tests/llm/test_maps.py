@@ -319,3 +319,56 @@ def test_registered_pages_match_the_articles(spark, sf):
         inner = h[h.index("<article>"):h.index("</article>")]
         parts = [" ".join(H.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
         assert r.text == "\n".join(filter(None, parts)) and r.n_chars == len(r.text)
+
+
+ARTICLE = "<h1>Title</h1>" + "".join(f"<p>{prose(i, 40)}</p>" for i in range(3))
+MAIN = "\n".join(["Title", *(prose(i, 40) for i in range(3))])
+
+
+@pytest.mark.parametrize("names", [
+    "comment-content", "sidebar-content", "main-menu", "page-footer", "newsletter-body", "adbox", "sharebar", "commentsection",
+    "relatedlinks", "related-content", "cookie-text", "mainMenu", "commentList", "notice-body", "sponsored-post", "topnav", "hidden"])
+@pytest.mark.parametrize("where", ["inside", "beside"])
+def test_furniture_whatever_stands_beside_its_word(names, where):
+    extra = f'<div class="{names}"><p>{prose(9, 30)}</p></div>'
+    page = f"<article>{ARTICLE}{extra}</article>" if where == "inside" else f"<body><article>{ARTICLE}</article>{extra}</body>"
+    assert main_text(page) == MAIN
+
+
+@pytest.mark.parametrize("tag", ['article class="comment"', 'article class="comment-body" id="div-comment-3"',
+                                 'article itemprop="comment"', 'div role="comment"',
+                                 'section id="comments"', 'div class="user-comments"'])
+def test_reader_comments_in_any_element(tag):
+    name = tag.split()[0]
+    page = f"<body><article>{ARTICLE}</article><{tag}><h2>Two comments</h2><p>{prose(7, 60)}</p><p>{prose(8, 60)}</p></{name}></body>"
+    assert main_text(page) == MAIN
+
+
+@pytest.mark.parametrize("tag", ['section id="community"', 'section id="legal"', 'div class="tools"', 'section id="related-work"'])
+def test_sections_named_like_furniture_stay(tag):
+    name = tag.split()[0]
+    part = f"<{tag}><h2>Related work</h2><p>{prose(5, 30)}</p></{name}>"
+    assert main_text(f"<article>{ARTICLE}{part}</article>") == f"{MAIN}\nRelated work\n{prose(5, 30)}"
+    links = f'<{tag}><h2>Related work</h2><p><a href=x>{prose(5, 30)}</a></p></{name}>'
+    assert main_text(f"<article>{ARTICLE}{links}</article>") == MAIN
+
+
+@pytest.mark.parametrize("names", ["content-sidebar-wrap", "main has-sidebar", "page with-menu", "post category-social tag-cookies",
+                                   "comments-open", "elementor-widget"])
+def test_wrappers_of_the_article_stay(names):
+    assert main_text(f'<body><div class="{names}"><article class="{names}">{ARTICLE}</article></div></body>') == MAIN
+    assert main_text(f'<body><div class="{names}">{ARTICLE}</div></body>') == MAIN
+
+
+def test_headings_with_ids_stay():
+    assert main_text('<article><h2 id="comments">Comments on it</h2><p>Text, here.</p></article>') == "Comments on it\nText, here."
+
+
+@pytest.mark.parametrize("text, labels, score", [
+    ("the licence of this file", "", 0.0), ("see LICENSE", "", 0.0), ("MIT and see the file", "mit", 0.9), ("MIT.", "mit", 0.9),
+    ("GPLv2+", "gpl-2", 0.4), ("Apache-2.0 WITH LLVM-exception OR the rest", "apache-2", 1.0),
+    ("LicenseRef-Acme-1", "licenseref-acme-1", 0.5), ("NOASSERTION", "", 0.0), ("Zlib OR X11", "x11,zlib", 0.9),
+    ("EPL-2.0 AND (MIT OR see)", "epl-2", 0.5)])
+def test_only_identifiers_become_licences(text, labels, score):
+    x = scan(f"// SPDX-License-Identifier: {text}".encode(), automaton())
+    assert x["labels"] == labels and x["score"] == pytest.approx(score)

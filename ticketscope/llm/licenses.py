@@ -49,11 +49,32 @@ NOTICES = {
     "dedicated to the public domain": "public-domain",
     "this is free and unencumbered software": "unlicense",
     "all rights reserved": "all-rights-reserved",
+    "proprietary and confidential": "all-rights-reserved",
+    "creative commons zero": "cc0",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution noncommercial sharealike": "cc-by-nc-sa",
+    "creative commons attribution noncommercial noderivatives": "cc-by-nc-nd",
+    "bsd zero clause": "0bsd",
+    "zlib license": "zlib",
+    "postgresql license": "postgresql",
+    "artistic license": "artistic",
+    "academic free license": "afl",
+    "open software license": "osl",
+    "sil open font license": "ofl",
+    "gnu free documentation license": "gfdl",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
+    "microsoft public license": "ms-pl",
+    "open database license": "odbl",
+    "business source license": "busl",
+    "server side public license": "sspl",
 }
 # How freely a text under the label may be used, 1 without conditions.
 FREEDOM = {
     "cc0": 1.0, "public-domain": 1.0, "unlicense": 1.0, "0bsd": 1.0,
     "mit": 0.9, "apache-2": 0.9, "bsd": 0.9, "bsd-2-clause": 0.9, "bsd-3-clause": 0.9, "isc": 0.9, "bsl-1": 0.9,
+    "zlib": 0.9, "postgresql": 0.9, "artistic": 0.8, "afl": 0.8, "ms-pl": 0.8, "ofl": 0.7,
+    "eupl": 0.5, "cddl": 0.6, "odbl": 0.5, "gfdl": 0.4, "osl": 0.4, "sspl": 0.2, "busl": 0.1,
     "cc-by": 0.8, "mpl": 0.6, "mpl-2": 0.6, "epl": 0.6, "lgpl": 0.6, "cc-by-sa": 0.5,
     "gpl": 0.4, "gpl-2": 0.4, "gpl-3": 0.4, "agpl": 0.3,
     "cc-by-nd": 0.2, "cc-by-nc": 0.2, "cc-by-nc-sa": 0.1, "cc-by-nc-nd": 0.1, "all-rights-reserved": 0.0,
@@ -69,6 +90,37 @@ EXPRESSION = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
 #: The first sign that no expression holds ends it (such as the end of a comment).
 FOREIGN = re.compile(r"[^a-z0-9.+:()\s-]")
 RANK = {"or": 1, "and": 2, "with": 3}
+# Identifiers without a version number.
+PLAIN = frozenset("afl agpl apache artistic beerware blessing bsd bsl cddl cecill cecill-b cecill-c curl eclipse epl eupl fair "
+                  "gfdl gpl imagemagick intel isc latex2e lgpl libpng libtiff mit mit-0 mitnfa mpl mulan naist-2003 ncsa "
+                  "newsletr ntp ofl openssl osl postgresql psf public-domain python qhull ruby sendmail sleepycat tcl "
+                  "unlicense vim w3c wtfpl x11 xinetd xnet zend zlib".split())
+#: Families whose names may go on with a version or variant.
+FAMILY = re.compile(r"(?:afl|agpl|apache|artistic|bsd|bsl|cc|cddl|epl|eupl|gfdl|gpl|lgpl|mit|mpl|ms|ofl|osl|psf|public|python|"
+                    r"unicode|zpl)(?:v?\d[a-z0-9.]*\+?|-[a-z0-9.+-]+)")
+VERSIONED = re.compile(r"[a-z0-9][a-z0-9.]*(?:-[a-z0-9.]+)*-v?\d[a-z0-9.]*(?:-[a-z0-9.]+)*\+?")
+REFERENCE = re.compile(r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+")
+
+
+def is_identifier(word: str, after_with: bool = False) -> bool:
+    """Whether a word has the form of a licence identifier: a known one, a known
+    family with a version or variant, any name with a version number, or a
+    reference; after ``with`` an exception."""
+    if after_with:
+        return "exception" in word or "-" in word
+    return word in PLAIN or word in FREEDOM or any(p.fullmatch(word) for p in (FAMILY, VERSIONED, REFERENCE))
+
+
+def expression_tokens(text: str) -> list[str]:
+    """Tokens of an expression up to the first word that no expression holds."""
+    out: list[str] = []
+    for t in EXPRESSION.findall(FOREIGN.split(text.lower(), maxsplit=1)[0]):
+        if t not in RANK and t not in "()":
+            t = t.rstrip(".:")  # the end of a sentence
+            if not is_identifier(t, out[-1:] == ["with"]):
+                break
+        out.append(t)
+    return out
 
 #: Lower case for A-Z; every other ASCII byte that is no digit or letter becomes a blank.
 WORD_BYTES = bytes((b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32) for b in range(256))
@@ -77,6 +129,7 @@ WORD_BYTES = bytes((b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum
 def label_of(identifier: str) -> str:
     """Label of a tag's identifier: the family names of the notices, else the identifier itself."""
     x = re.sub(r"(-only|-or-later|\+)$", "", identifier)
+    x = re.sub(r"^(agpl|apache|gpl|lgpl|mpl)-?v?(?=\d)", r"\1-", x)
     x = re.sub(r"(?<=\d)\.0$", "", x)
     x = re.sub(r"^(cc-by(?:-nc)?(?:-sa|-nd)?|cc0|lgpl|agpl)-\d.*$", r"\1", x)
     return re.sub(r"^(gpl-\d)\..*$", r"\1", x)
@@ -130,11 +183,10 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
 def evaluate(expression: str) -> tuple[set[str], float] | None:
     """Labels and freedom of a licence expression: the better side of ``or``,
     the worse side of ``and``; ``with`` names an exception, no licence. A text
-    that is no expression counts up to its longest valid beginning; None if
-    there is none."""
-    own = FOREIGN.split(expression.lower(), maxsplit=1)[0]
-    tokens = EXPRESSION.findall(own)
-    post, n = longest_postfix(tokens)
+    that is no expression counts up to its longest valid beginning, which ends
+    before the first word without the form of an identifier; None if there is
+    none."""
+    post, n = longest_postfix(expression_tokens(expression))
     if not n:
         return None
     stack: list[tuple[set[str], float]] = []
@@ -212,7 +264,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     ``n_base`` counts every place of a base phrase, overlaps included;
     ``first_word`` and ``last_word`` are null without one. ``labels`` adds the
-    other notices (the longest at a place) and the identifiers of tags;
+    other notices (the longest at a place) and the identifiers of tags (a word
+    without the form of an identifier ends an expression);
     ``score`` is the least freedom among them, 0 if nothing is found;
     ``expressions`` are the tags' expressions that parse. Null and empty texts
     have 0 words and no label; repeated rows each give a row; other columns are
