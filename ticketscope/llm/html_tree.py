@@ -9,6 +9,7 @@ prose themselves.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 from typing import Iterator
 
@@ -35,14 +36,29 @@ CLOSES_P = BLOCK - {"html", "body"}
 SELF_CLOSING = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"),
                 "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
                 "option": ("option", "select")}
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|combx|comments?|commentlist|community|consent|cookies?|disqus|"
-    r"disclaimer|extra|foot|footer|gdpr|hidden|legal|login|masthead|menu|meta|modal|nav|navbar|navigation|newsletter|"
-    r"notices?|notification|outbrain|pager|pagination|popup|promo|promoted|recommend\w*|related|remark|replies|reply|"
-    r"respond|rss|share|sharing|shoutbox|sidebar|signup|skyscraper|social|sponsor\w*|subscribe|tags|taboola|toolbar|"
-    r"tools|widget)(?:$|[\s_-])", re.I)
-PROSE = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|story|text)(?:$|[\s_-])", re.I)
-ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+#: Words of page furniture, whatever other word stands beside them.
+SURE = frozenset("ad ads banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus "
+                 "footer gdpr login masthead menu modal nav navbar navigation newsletter newsletters notice notices "
+                 "notification notifications outbrain pager pagination popup promo promoted related replies reply respond "
+                 "share sharing shoutbox sidebar signup skyscraper social subscribe taboola toolbar".split())
+#: Words that name furniture or the topic of a section; the content decides.
+MAYBE = frozenset("combx community extra foot hidden legal meta remark rss tags tools widget".split())
+PROSE = frozenset("article body content entry hentry main page post story text".split())
+#: Words of reader comments, which hold prose and headings of their own.
+READERS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: Names about the layout or the state of a page, and names that classify a post.
+LAYOUT = frozenset("has with without no open closed enabled disabled layout".split())
+LABELS = frozenset("category cat tag type status format term".split())
+STEMS = re.compile(r"(?:advert|sponsor|recommend)[a-z]*")
+GLUED = re.compile(
+    r"(?:ads?|comments?|cookies?|footer|menu|nav|newsletter|promo|related|share|sharing|social)"
+    r"(?:area|bar|block|box|buttons?|container|content|footer|form|frame|header|item|links?|list|panel|section|slot|space|"
+    r"unit|wrap|wrapper|zone)+"
+    r"|(?:blog|bottom|global|left|main|page|post|right|site|top|user)(?:ads?|comments?|footer|menu|nav|navigation|sidebar)")
+NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Prose (characters of paragraphs outside links) that a page's own article has.
+OWN_PROSE = 400
+ROLES = frozenset("navigation banner contentinfo complementary search form alert comment dialog menu menubar".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z))"
                  r"|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
@@ -54,28 +70,94 @@ SPACE = re.compile(r"\s+")
 
 class Node:
     __slots__ = ("tag", "parent", "children", "bonus", "dropped", "score", "chars", "links", "commas", "blocks",
-                 "points", "whole")
+                 "points", "whole", "suspect", "slug", "prose", "heads", "titles", "holds")
 
     def __init__(self, tag, parent, bonus=0.0, dropped=False, whole=""):
         self.tag, self.parent, self.children = tag, parent, []
         self.bonus, self.dropped, self.score = bonus, dropped, None
         self.points, self.whole = 0.0, whole
         self.chars = self.links = self.commas = 0
+        self.prose = self.heads = self.titles = 0
+        self.holds = -1  # prose of the longest article or main within, -1 without one
         self.blocks = False
+        self.suspect, self.slug = "", ""
+
+
+@lru_cache(4096)
+def names_say(value: str) -> tuple[str, bool]:
+    """What the names of a class or id say: "readers" (comments), "sure" or
+    "maybe" furniture or nothing, and whether a word of prose is among them."""
+    said, prose = set(), False
+    for name in value.split():
+        words = [w.lower() for w in NAME_WORDS.findall(name)]
+        prose = prose or not PROSE.isdisjoint(words)
+        if not words or words[0] in LABELS or not LAYOUT.isdisjoint(words):
+            continue
+        if not READERS.isdisjoint(words):
+            said.add("readers")
+        elif name.lower() == "hidden" or any(w in SURE or STEMS.fullmatch(w) or GLUED.fullmatch(w) for w in words):
+            said.add("readers" if any(w.startswith("comment") for w in words) else "sure")
+        elif not MAYBE.isdisjoint(words):
+            said.add("maybe")
+    return next((x for x in ("readers", "sure", "maybe") if x in said), ""), prose
+
+
+def _first_heading(node: Node) -> str:
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str) or x.dropped:
+            continue
+        if x.tag in HEADINGS:
+            return " ".join(blocks([x]))
+        stack.extend(reversed(x.children))
+    return ""
+
+
+def _is_furniture(node: Node) -> bool:
+    """Whether an element whose names speak of furniture is that, by its content.
+
+    Not so: what holds the page's own article or title with its prose; a section
+    whose id of several words is the slug of its own heading; and, for words that
+    may name a topic, a part with headings and prose. Comments always are.
+    """
+    if node.suspect == "readers":
+        return True
+    little = _density(node) <= 0.3
+    if node.holds >= OWN_PROSE or node.titles and node.prose >= OWN_PROSE and little:
+        return False
+    if node.suspect == "wrap":
+        return node.holds < 0
+    told = node.heads and node.prose and little
+    if node.slug and told and node.slug == "-".join(re.findall(r"[^\W_]+", _first_heading(node).lower())):
+        return False
+    return not (node.suspect == "maybe" and told)
 
 
 def _open(tag: str, attrs: str, parent: Node) -> Node:
     dropped = parent.dropped or tag in DROP
     bonus = {"article": 25.0, "main": 15.0}.get(tag, 0.0)
     whole = tag if tag in ("article", "main") else ""
+    found, slug = [], ""
     if not dropped and attrs.strip() and tag not in ("html", "body"):
         for m in ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
             if name in ("class", "id"):
-                if FURNITURE.search(value) and tag not in ("article", "main"):
-                    dropped = dropped or not PROSE.search(value)
-                elif PROSE.search(value):
+                if name == "id" and tag in HEADINGS:
+                    continue
+                kind, prose = names_say((m[2] or "").strip("\"'"))
+                if tag in ("article", "main"):
+                    dropped = dropped or tag == "article" and kind == "readers"
+                elif kind == "maybe" and prose:
+                    pass
+                elif kind:
+                    found.append("wrap" if kind == "sure" and prose else kind)
+                    if name == "id" and tag == "section" and value.count("-"):
+                        slug = value
+                elif prose:
                     bonus += 15.0
+            elif name == "itemprop" and value == "comment" or name == "itemtype" and value.endswith("/comment"):
+                dropped = True
             elif name == "role":
                 dropped = dropped or value in ROLES
                 if value in ("main", "article"):
@@ -89,7 +171,10 @@ def _open(tag: str, attrs: str, parent: Node) -> Node:
         while up is not None and up.tag not in ("article", "main"):
             up = up.parent
         dropped = up is None
-    return Node(tag, parent, bonus, dropped, whole)
+    node = Node(tag, parent, bonus, dropped, whole)
+    node.suspect = next((x for x in ("readers", "sure", "wrap", "maybe") if x in found), "")
+    node.slug = slug
+    return node
 
 
 def _tag_end(html: str, at: int, dead: set[int]) -> int:
@@ -163,7 +248,8 @@ def parse(html: str) -> Node:
 
 
 def _measure(root: Node) -> None:
-    """Characters, characters in links and commas of every kept element, without recursion."""
+    """Characters, characters in links and commas of every kept element, without
+    recursion; suspected furniture is settled from the inside out."""
     stack = [(root, False, False)]
     while stack:
         node, link, done = stack.pop()
@@ -177,11 +263,16 @@ def _measure(root: Node) -> None:
                         node.links += c.links
                         node.commas += c.commas
                         node.blocks = node.blocks or c.blocks or c.tag in BLOCK
+                        node.prose += c.chars - c.links if c.tag == "p" else c.prose
+                        node.heads += c.heads + (c.tag in HEADINGS and c.chars > 0)
+                        node.titles += c.titles + (c.tag == "h1" and c.chars > 0)
+                        node.holds = max(node.holds, c.holds, c.prose if c.tag in ("article", "main") else -1)
                 else:
                     n = len(SPACE.sub(" ", c).strip())
                     node.chars += n
                     node.links += n * link
                     node.commas += c.count(",") + c.count("、") + c.count("，")
+            node.dropped = bool(node.suspect) and _is_furniture(node)
             continue
         stack.append((node, link, True))
         stack.extend((c, link or c.tag == "a", False) for c in node.children if isinstance(c, Node))
