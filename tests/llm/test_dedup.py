@@ -187,6 +187,38 @@ def test_contamination_of_whole_items_found(spark, sf):
     assert want and want <= got
 
 
+def test_a_phrase_of_every_item_and_document_pairs_none(spark):
+    from ticketscope.llm import tiling
+    common = "this phrase stands in every text"
+    items = spark.createDataFrame([(i, f"{prose(i, 20)} {common} {prose(100 + i, 20)}") for i in range(20)], "item_id long, text string")
+    rows = [(i, f"{prose(500 + i, 30)} {common} {prose(900 + i, 30)}", "en", "web") for i in range(40)]
+    rows += [(100 + i, f"{prose(700 + i, 5)} {prose(i, 20)} {common} {prose(100 + i, 20)}", "en", "web") for i in range(5)]
+    docs = documents(spark, rows + rows[-1:])
+    work = tiling.overlaps(docs, items, 5, 0.8)
+    assert work.count() == 6  # five documents, one of them twice; no pair by the phrase alone
+    got = Counter((r.doc_id, r.item_id, r.n_matched) for r in tiling.contaminated(docs, items).collect())
+    assert {(d, i): n for (d, i, _), n in got.items()} == {(100, 0): 1, (101, 1): 1, (102, 2): 1, (103, 3): 1, (104, 4): 2}
+    assert tiling.overlaps(docs, items, 5).count() == 46 * 20  # without a threshold every shared seed counts
+
+
+def test_rare_seeds_lose_no_covered_item(spark):
+    """Against the tiling of every pair, over few words so that seeds are shared widely."""
+    from ticketscope.llm import tiling
+    r = random.Random(9)
+    text = lambda n: " ".join(r.choice("abc") for _ in range(n))
+    items = [(i, text(r.randint(5, 30))) for i in range(25)]
+    rows = [(i, text(r.randint(0, 60)), "en", "web") for i in range(30)]
+    rows += [(50 + i, f"{text(4)} {x[len(x) // 2 + 1:]} zz {x[:len(x) // 2]}", "en", "web") for i, (_, x) in enumerate(items)]
+    want = set()
+    for d, t, *_ in rows:
+        for i, x in items:
+            a, b = tiling.word_hashes(x).tolist(), tiling.word_hashes(t).tolist()
+            if sum(n for *_, n in tile(a, b, 5)) >= 0.8 * len(a):
+                want.add((d, i))
+    got = contaminated(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert want and {(x.doc_id, x.item_id) for x in got} == want and len(got) == len(want)
+
+
 # -- repeated byte strings ---------------------------------------------------
 
 def brute_repeats(rows, length):

@@ -10,14 +10,15 @@ are found as well.
 from __future__ import annotations
 
 from collections import defaultdict
+from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ticketscope.llm.common import bitmap, fresh, in_bitmap, map_arrow, mix64, shared_table
+from ticketscope.llm.common import arrow_schema, bitmap, fresh, in_bitmap, map_arrow, mix64, shared_table, to_batch
 from ticketscope.llm.licenses import WORD_BYTES
 
 #: Base of the rolling hash of word hashes (modulo 2**64).
@@ -26,6 +27,10 @@ BASE = 0x9E3779B97F4A7C15
 BITMAP_BITS = 26
 #: Words of a text hashed at a time.
 CHUNK = 1 << 18
+#: Parts that a document's items are dealt over.
+PARTS = 4
+#: Rows of documents and items read at a time.
+SLICE = 64
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -115,16 +120,39 @@ def item_words(benchmark: DataFrame) -> DataFrame:
 
 
 def item_seeds(items: DataFrame, min_match: int) -> DataFrame:
-    """``item_key, seed``: the seeds of every item; items shorter than a seed have none."""
+    """``item_key, seed, n``: the distinct seeds of every item and at how many
+    places each stands; items shorter than a seed have none."""
     def run(batch: pa.RecordBatch):
-        ids, seeds = [], []
+        ids, seeds, counts = [], [], []
         for i, words in zip(batch.column("item_key").to_pylist(), batch.column("words")):
-            w = np.unique(window_hashes(words.values.to_numpy().view(np.uint64), min_match))
+            w, n = np.unique(window_hashes(words.values.to_numpy().view(np.uint64), min_match), return_counts=True)
             ids.extend([i] * len(w))
             seeds.append(w.view(np.int64))
-        yield {"item_key": ids, "seed": np.concatenate([np.zeros(0, np.int64), *seeds])}
+            counts.append(n)
+        yield {"item_key": ids, "seed": np.concatenate([np.zeros(0, np.int64), *seeds]),
+               "n": np.concatenate([np.zeros(0, np.int64), *counts])}
 
-    return map_arrow(items, run, ITEM.split(", words")[0] + ", seed long").distinct()
+    return map_arrow(items, run, ITEM.split(", words")[0] + ", seed long, n int").distinct()
+
+
+def rarest_seeds(seeds: DataFrame, found: DataFrame, min_match: int, min_coverage: float) -> DataFrame:
+    """``item_key, seed``: as many of an item's seeds, least common in the
+    documents first, as a covered item must meet at least one of.
+
+    Tiles that cover c of an item's w words hold at least c * w / min_match of
+    its seed places (a tile of L words holds L - min_match + 1, and there are at
+    most c * w / min_match tiles). So of any set of places that leaves out fewer
+    than that, one is met; the places left out are those of the most common
+    seeds, and a phrase of every item and document pairs none of them.
+    """
+    often = found.groupBy("seed").agg(F.count("*").alias("docs"))
+    by_rarity = Window.partitionBy("item_key").orderBy("docs", "seed")
+    places = F.sum("n").over(Window.partitionBy("item_key"))
+    need = F.greatest(F.lit(1), F.ceil((F.lit(min_coverage) * (places + min_match - 1) - 1e-9) / min_match))
+    ranked = seeds.join(often, "seed", "left").na.fill(0, ["docs"]).select(
+        "item_key", "seed", "docs", (places - need + 1).alias("quota"),
+        (F.sum("n").over(by_rarity.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    return ranked.where((F.col("before") < F.col("quota")) & (F.col("docs") > 0)).select("item_key", "seed")
 
 
 def seeded(docs: DataFrame, words: np.ndarray, min_match: int) -> DataFrame:
@@ -159,38 +187,56 @@ def seeded(docs: DataFrame, words: np.ndarray, min_match: int) -> DataFrame:
                                      "xxhash64(cast(text as string)) text_hash"), run, SEEDED)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 5) -> DataFrame:
-    """Tiling of every (document, test item) pair that shares a seed.
+def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, min_coverage: float = 0.0) -> DataFrame:
+    """Tiling of the (document, test item) pairs that share a seed; all pairs that
+    reach ``min_coverage`` are among them.
 
     Texts are read once; a fixed-size bitmap of the items' seeds (8 MB for any
-    benchmark) drops most documents in the scan, and the join on exact seeds
-    settles the rest. Only word hashes of the covered runs are shuffled. Null
-    and empty texts and items of fewer than ``min_match`` words share nothing.
+    benchmark) drops most documents in the scan, and the join on each item's
+    rarest seeds settles the rest. Only word hashes of the covered runs are
+    shuffled: a document's runs go once to each of the ``PARTS`` that its items
+    are dealt over, and its items stream past them. Null and empty texts and
+    items of fewer than ``min_match`` words share nothing.
     """
     items = shared_table(item_words(benchmark), "items")
     seeds = shared_table(item_seeds(items, min_match), "seeds")
     hits = shared_table(seeded(docs, bitmap(seeds, "seed", BITMAP_BITS), min_match), "seeded")
-    pairs = (hits.select("doc_key", F.explode("seeds").alias("seed")).join(seeds, "seed")
-             .select("doc_key", "item_key").distinct())
-    rows = (pairs.join(hits.select("doc_key", "starts", "runs"), "doc_key")
-            .join(items.where(F.size("words") >= min_match), "item_key"))
-
-    def run(batch: pa.RecordBatch):
-        out = []
-        for x in batch.to_pylist():
-            doc, place = [], []
-            for a, r in zip(x["starts"], x["runs"]):
-                doc += [*(v % (1 << 64) for v in r), -1 - len(doc)]  # a mark that no word equals
-                place += [*range(a, a + len(r)), -1]
-            item = [v % (1 << 64) for v in x["words"]]
-            t = tile(item, doc, min_match)
-            n = sum(k for _, _, k in t)
-            out.append((x["doc_key"]["doc_id"], x["item_key"]["item_id"], len(item), n, n / len(item), len(t),
-                        max((k for _, _, k in t), default=0), min((place[d] for _, d, _ in t), default=None)))
-        names = [f.split()[0] for f in FOUND.split(", ")]
-        yield dict(zip(names, map(list, zip(*out)))) if out else {n: [] for n in names}
-
-    return map_arrow(rows.select("doc_key", "item_key", "starts", "runs", "words"), run, FOUND)
+    found = hits.select("doc_key", F.explode("seeds").alias("seed")).join(seeds.select("seed").distinct(), "seed", "left_semi")
+    pairs = shared_table(found.join(rarest_seeds(seeds, found, min_match, min_coverage), "seed")
+                         .select("doc_key", "item_key").distinct(), "pairs")
+    part = F.pmod(F.xxhash64("item_key"), F.lit(PARTS)).cast("int").alias("part")
+    kind = [F.lit(None).cast(f).alias(n) for n, f in (("starts", "array<int>"), ("runs", "array<array<long>>"), ("copies", "long"))]
+    work = pairs.join(items, "item_key").select("doc_key", part, F.lit(1).alias("kind"), *kind, "item_key.item_id", "words")
+    texts = hits.groupBy("doc_key").agg(F.first("starts").alias("starts"), F.first("runs").alias("runs"), F.count("*").alias("copies"))
+    texts = texts.join(pairs.select("doc_key", part).distinct(), "doc_key").select(
+        "doc_key", "part", F.lit(0).alias("kind"), "starts", "runs", "copies", F.lit(None).cast("long").alias("item_id"),
+        F.lit(None).cast("array<long>").alias("words"))
+    _, target = arrow_schema(FOUND)
+    names = [f.name for f in target]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, place, doc_id, copies = [], [], None, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                out = []
+                for x in batch.slice(at, SLICE).to_pylist():
+                    if x["kind"] == 0:  # a document, before its items
+                        doc, place, doc_id, copies = [], [], x["doc_key"]["doc_id"], x["copies"]
+                        for a, r in zip(x["starts"], x["runs"]):
+                            doc += [*(v % (1 << 64) for v in r), -1 - len(doc)]  # a mark that no word equals
+                            place += [*range(a, a + len(r)), -1]
+                        continue
+                    item = [v % (1 << 64) for v in x["words"]]
+                    t = tile(item, doc, min_match)
+                    n = sum(k for _, _, k in t)
+                    out.extend([(doc_id, x["item_id"], len(item), n, n / len(item), len(t), max((k for _, _, k in t), default=0),
+                                 min((place[d] for _, d, _ in t), default=None))] * copies)
+                if out:
+                    yield to_batch(dict(zip(names, map(list, zip(*out)))), target)
+
+    order = ["doc_key", "part", "kind"]
+    return (texts.unionByName(work).repartition("doc_key", "part").sortWithinPartitions(*order)
+            .mapInArrow(run, FOUND))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, min_coverage: float = 0.8) -> DataFrame:
@@ -198,7 +244,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, min_
     ``min_coverage`` of the item's words, wherever and in whatever order they
     stand. Repeated rows of a document or an item give repeated rows; null ids
     pass through; extra columns are ignored; no match, no row."""
-    return overlaps(docs, benchmark, min_match).where(F.col("coverage") >= min_coverage)
+    return overlaps(docs, benchmark, min_match, min_coverage).where(F.col("coverage") >= min_coverage)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5,
