@@ -1,5 +1,6 @@
 """op4, op6, op7, op9 and op10 against brute force, and their awkward cases."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -372,3 +373,27 @@ def test_headings_with_ids_stay():
 def test_only_identifiers_become_licences(text, labels, score):
     x = scan(f"// SPDX-License-Identifier: {text}".encode(), automaton())
     assert x["labels"] == labels and x["score"] == pytest.approx(score)
+
+
+def test_shard_files_resume_at_any_slot(spark, tmp_path):
+    from ticketscope.llm.training_order import read_slots_from_files, shard_name, write_shards
+    shards = materialise(documents(spark), "key", seq_len=64, shard_slots=50).cache()
+    folder = str(tmp_path / "shards")
+    index = write_shards(shards, folder)
+    assert sorted(os.listdir(folder)) == sorted(["_index", *(shard_name(r.shard) for r in shards.select("shard").collect())])
+    for r in shards.collect():
+        body = open(f"{folder}/{shard_name(r.shard)}", "rb").read()
+        assert body == bytes(r.payload) and len(body) == r.n_sequences * r.stride
+    key = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    assert key(read_slots_from_files(index, folder)) == key(read_slots(shards))
+    for start, stop in ((0, 10), (37, 120), (49, 51), (120, None)):
+        assert key(read_slots_from_files(index, folder, start, stop, block_slots=7)) == key(read_slots(shards, start, stop))
+    last = max(r.shard for r in shards.collect())
+    for x in range(last):  # a reader that resumes in the last shard opens no other file
+        os.truncate(f"{folder}/{shard_name(x)}", 0)
+    first = last * 50
+    assert key(read_slots_from_files(index, folder, first)) == key(read_slots(shards, first))
+    index = write_shards(shards, folder)  # again over a folder with damaged files
+    assert key(read_slots_from_files(index, folder)) == key(read_slots(shards))
+    none = write_shards(materialise(documents(spark, []), "key"), str(tmp_path / "none"))
+    assert none.count() == 0 and read_slots_from_files(none, str(tmp_path / "none")).count() == 0

@@ -165,6 +165,21 @@ def materialise(docs: DataFrame, key: str, seq_len: int = 512, shard_slots: int
 READ = "slot long, doc_id long, chunk int, n_tokens int, ids array<int>"
 
 
+def _record(id_bytes: int, seq_len: int) -> np.dtype:
+    return np.dtype([*[(n, HEADER[n]) for n in HEADER.names], ("ids", np.uint16 if id_bytes == 2 else np.uint32, (seq_len,))])
+
+
+def _slot_rows(rows: np.ndarray, first: int, target: pa.Schema) -> pa.RecordBatch:
+    return to_batch({"slot": first + np.arange(len(rows)), "doc_id": [None if d == NO_ID else d for d in rows["doc_id"].tolist()],
+                     "chunk": rows["chunk"], "n_tokens": rows["n_tokens"],
+                     "ids": [r[:n].astype(np.int32) for r, n in zip(rows["ids"], rows["n_tokens"])]}, target)
+
+
+def _in_range(shards: DataFrame, start: int, stop: int | None) -> DataFrame:
+    part = shards.where(F.col("first_slot") + F.col("n_sequences") > start)
+    return part if stop is None else part.where(F.col("first_slot") < stop)
+
+
 def read_slots(shards: DataFrame, start: int = 0, stop: int | None = None) -> DataFrame:
     """Sequences of slots ``start`` to ``stop`` (exclusive; None: to the end) in
     slot order within each shard: only shards of that range are read, and in
@@ -174,18 +189,76 @@ def read_slots(shards: DataFrame, start: int = 0, stop: int | None = None) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
-                width = np.uint16 if x["id_bytes"] == 2 else np.uint32
-                kind = np.dtype([*[(n, HEADER[n]) for n in HEADER.names], ("ids", width, (x["seq_len"],))])
                 first = max(0, start - x["first_slot"])
                 last = x["n_sequences"] if stop is None else min(x["n_sequences"], stop - x["first_slot"])
-                rows = np.frombuffer(x["payload"], kind, max(0, last - first), first * x["stride"])
-                yield to_batch({
-                    "slot": x["first_slot"] + first + np.arange(len(rows)),
-                    "doc_id": [None if d == NO_ID else d for d in rows["doc_id"].tolist()],
-                    "chunk": rows["chunk"], "n_tokens": rows["n_tokens"],
-                    "ids": [r[:n].astype(np.int32) for r, n in zip(rows["ids"], rows["n_tokens"])]}, target)
+                rows = np.frombuffer(x["payload"], _record(x["id_bytes"], x["seq_len"]), max(0, last - first), first * x["stride"])
+                yield _slot_rows(rows, x["first_slot"] + first, target)
 
-    part = shards.where(F.col("first_slot") + F.col("n_sequences") > start)
-    if stop is not None:
-        part = part.where(F.col("first_slot") < stop)
-    return part.mapInArrow(run, READ)
+    return _in_range(shards, start, stop).mapInArrow(run, READ)
+
+
+SUFFIX = ".bin"
+
+
+def shard_name(shard: int) -> str:
+    return f"shard-{shard:012d}{SUFFIX}"
+
+
+def write_shards(shards: DataFrame, folder: str) -> DataFrame:
+    """Shard files of ``materialise`` under ``folder``, and their index (``SHARD``
+    without the payload, with the file's ``name``), also written there as Parquet.
+
+    A file is the payload alone, so slot s of a shard stands at byte
+    ``(s - first_slot) * stride``. A file is written under a name of its task
+    attempt and then renamed, so that a repeated or lost task leaves whole files
+    only; the index comes last and lists what to read. ``folder`` is any path that
+    Hadoop's file systems or the tasks' own one can open: shared by all executors.
+    No shard, no file and an empty index.
+    """
+    schema = "shard long, first_slot long, n_sequences int, stride int, seq_len int, id_bytes int, crc32 long, name string"
+    _, target = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        place, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        place.create_dir(base, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
+        for batch in batches:
+            for x in batch.to_pylist():
+                name = shard_name(x["shard"])
+                draft = f"{base}/.{name}.{attempt}"
+                with place.open_output_stream(draft) as out:
+                    out.write(x["payload"])
+                place.move(draft, f"{base}/{name}")
+                yield to_batch({f.name: [name if f.name == "name" else x[f.name]] for f in target}, target)
+
+    index = f"{folder.rstrip('/')}/_index"
+    shards.mapInArrow(run, schema).write.mode("overwrite").parquet(index)
+    return shards.sparkSession.read.schema(schema).parquet(index)
+
+
+def read_slots_from_files(index: DataFrame, folder: str, start: int = 0, stop: int | None = None,
+                          block_slots: int = 256) -> DataFrame:
+    """``read_slots`` on shard files: only files of the range are opened, each at
+    the byte of its first wanted slot, and read on in blocks of ``block_slots``
+    records; so a reader resumes at any slot without what stands before it."""
+    _, target = arrow_schema(READ)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        place, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            for x in batch.to_pylist():
+                kind = _record(x["id_bytes"], x["seq_len"])
+                first = max(0, start - x["first_slot"])
+                last = x["n_sequences"] if stop is None else min(x["n_sequences"], stop - x["first_slot"])
+                with place.open_input_file(f"{base}/{x['name']}") as source:
+                    source.seek(first * x["stride"])
+                    for at in range(first, last, block_slots):
+                        n = min(block_slots, last - at)
+                        body = source.read(n * x["stride"])
+                        if len(body) < n * x["stride"]:
+                            raise ValueError(f"{x['name']} ends before slot {x['first_slot'] + at + n}")
+                        yield _slot_rows(np.frombuffer(body, kind), x["first_slot"] + at, target)
+
+    return _in_range(index, start, stop).mapInArrow(run, READ)
