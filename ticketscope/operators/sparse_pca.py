@@ -44,13 +44,13 @@ def csr(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         yield (np.repeat(np.arange(part.num_rows), sizes), idx.flatten().to_numpy().astype(np.int64), val.flatten().to_numpy())
 
 
-def by_row(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``values`` (entries x columns) over neighbouring entries of a row."""
-    out = np.zeros((n, values.shape[1]))
-    if len(rows):
-        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        out[rows[first]] = np.add.reduceat(values, first, axis=0)
-    return out
+def filled(row: np.ndarray, idx: np.ndarray, val: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of a slice and its ``n`` rows over them with their zeros, for dense products."""
+    seen = np.zeros(size, bool)
+    seen[idx] = True
+    own = np.flatnonzero(seen)
+    at = (np.cumsum(seen) - 1)[idx]
+    return own, np.bincount(row * len(own) + at, weights=val, minlength=n * len(own)).reshape(n, len(own))
 
 
 def times_gram(rows: DataFrame, block: np.ndarray) -> np.ndarray:
@@ -66,11 +66,9 @@ def times_gram(rows: DataFrame, block: np.ndarray) -> np.ndarray:
             for row, idx, val in csr(batch):
                 if not len(row):
                     continue
-                y = by_row(row, val[:, None] * q[idx], int(row[-1]) + 1)
-                order = np.argsort(idx, kind="stable")
-                total_of = by_row(idx[order], (val[:, None] * y[row])[order], size)
-                total += total_of
-                seen[idx] = True
+                own, x = filled(row, idx, val, int(row[-1]) + 1, size)
+                total[own] += x.T @ (x @ q[own])
+                seen[own] = True
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(total[at, j]) for j in range(width)]],
                                          names=["i", *names])
@@ -157,7 +155,8 @@ def apply_sparse_pca(rows: DataFrame, model: SparsePca, *, out: str = "pca") ->
             for row, idx, val in csr(batch):
                 ids = batch.column("id").slice(at, ROWS)
                 at += ROWS
-                z = by_row(row, val[:, None] * components[idx], len(ids)) - shift
+                own, x = filled(row, idx, val, len(ids), len(components))
+                z = x @ components[own] - shift
                 yield pa.RecordBatch.from_arrays([ids, pa.array(list(z), target.field(out).type)], schema=target)
 
     return rows.select("id", "idx", "val").mapInArrow(run, schema)
