@@ -472,3 +472,26 @@ def test_counterfactuals_try_every_word(spark):
         (1, "a b c d e k1 g"), (1, "a b c d k1 f g"), (1, "a b c d k2 f g"), (3, "a b c d k1"), (3, "a b c d k2")]
     assert sorted((r.id, r.candidate) for r in got if r.change_type == "phrase_addition" and r.id < 4) == [
         (1, "a b c d e f g p1"), (2, "a b c p1"), (3, "a b c d e p1")]
+
+
+def test_attachments_of_a_folder(spark, tmp_path):
+    from ticketscope.sources.files import src_text_attachments
+    for k in ("t1", "t2"):
+        (tmp_path / "deep" / k).mkdir(parents=True)
+        (tmp_path / "deep" / k / "a.txt").write_text(f" text of {k}\n")
+    got = {r.ticket_id: r.extracted_text for r in src_text_attachments(spark, str(tmp_path)).collect()}
+    assert got == {"t1": "text of t1", "t2": "text of t2"}
+
+
+def test_rollback_joins_each_entry_once(spark):
+    from pyspark.sql import functions as F
+
+    from ticketscope.operators.versions import win_rollback_target
+    reg = spark.range(300).select(F.lit("a").alias("model_name"), (F.col("id") % 3).cast("string").alias("version"),
+                                  F.timestamp_seconds("id").alias("creation_date"))
+    deployed = spark.createDataFrame([("a", "2")], "model_name string, version string")
+    out = win_rollback_target(reg, deployed)
+    r = out.collect()[0]
+    assert (r.version, r.creation_date.timestamp(), r.deployed_created.timestamp()) == ("1", 298.0, 299.0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate") < plan.rindex("Join")  # one entry per deployed version meets the registry

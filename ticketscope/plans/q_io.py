@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from itertools import groupby
+from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
@@ -98,11 +100,31 @@ reg("src_validate_schema", lambda s, sf: SF.src_validate_schema(spark_view(s, sf
                 AS message FROM v_tickets""", ["v_tickets"])
 
 
+def _write_attachments(d, base):
+    """A folder with one text file per document; where it is to be read. On a file system that tasks can open,
+    they write the files themselves: Spark's writer starts processes for the
+    permissions of every local file and folder."""
+    at = urlparse(base)
+    if at.scheme not in ("", "file"):
+        d.write.partitionBy("doc_id").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(base)
+        return base
+    os.makedirs(at.path, exist_ok=True)
+
+    def write(rows):
+        for doc_id, same in groupby(rows, lambda r: r.doc_id):
+            folder = os.path.join(at.path, f"doc_id={doc_id}")
+            os.makedirs(folder, exist_ok=True)
+            with open(os.path.join(folder, "part.txt"), "wb") as f:
+                f.writelines(((r.text or "") + "\n").encode() for r in same)
+
+    d.repartition("doc_id").sortWithinPartitions("doc_id").foreachPartition(write)
+    return f"file://{at.path}"
+
+
 def _attachments(s, sf):
     base = _fresh(s, "att")
     d = s.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    d.write.partitionBy("doc_id").text(base)
-    r = SF.src_text_attachments(s, base + "/*/*.txt",
+    r = SF.src_text_attachments(s, _write_attachments(d, base),
                                 ticket_of=F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast("long"))
     return r.select(F.col("ticket_id").alias("doc_id"), F.length("extracted_text").alias("n_chars"),
                     "processed_count", "confidence")

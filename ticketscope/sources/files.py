@@ -96,8 +96,11 @@ def src_text_attachments(spark: SparkSession, path_glob: str, *, ticket_of: Colu
     may cut texts to ``max_chars`` and take the first ``max_docs`` files (by
     path) per ticket; by default nothing is cut. Texts joined by a blank line, mean confidence.
     ``ticket_of`` maps the file path to a ticket id (default: parent folder).
+    A folder (a path without glob characters) is read with all its subfolders:
+    they are listed by tasks, whereas the driver resolves a glob alone.
     """
-    raw = spark.read.format("binaryFile").load(path_glob)
+    folder = not any(c in path_glob for c in "*?[{")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", folder).load(path_glob)
     ext_ok = F.exists(F.array(*[F.lit(e) for e in TEXT_EXTENSIONS]),
                       lambda e: F.lower(F.col("path")).endswith(e))
     raw = raw.where(ext_ok)
