@@ -58,7 +58,8 @@ def win_rollback_target(registry: DataFrame, deployed: DataFrame) -> DataFrame:
     d = deployed.select(F.col("model_name").alias("_m"), F.col("version").alias("deployed_version"))
     reg = registry.alias("r")
     cur = reg.join(d, (F.col("r.model_name") == F.col("_m")) & (F.col("r.version") == F.col("deployed_version"))) \
-        .select(F.col("_m"), F.col("r.creation_date").alias("deployed_created"), "deployed_version")
+        .groupBy("_m", "deployed_version").agg(F.max(F.col("r.creation_date")).alias("deployed_created")) \
+        .select("_m", "deployed_created", "deployed_version")  # a version registered often counts once, by its newest entry
     older = registry.join(cur, registry["model_name"] == cur["_m"]).where(
         F.col("creation_date") < F.col("deployed_created")).drop("_m")
     w = Window.partitionBy("model_name").orderBy(F.desc("creation_date"), F.desc("version"))
