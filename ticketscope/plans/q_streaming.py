@@ -257,6 +257,10 @@ reg("st_running_stats", _running_stats, [q.sql for q in Q if q.name == "st_stats
     ["avg_processing_time_ms", "uptime_seconds", "throughput_per_second"])
 
 
+#: Feedback rows of a micro-batch.
+FEEDBACK_ROWS = 200_000
+
+
 def _feedback_buffer(s, sf):
     """Feedback per model as a stream in time order; every update with the counts
     that its refit holds."""
@@ -264,7 +268,8 @@ def _feedback_buffer(s, sf):
     base = _fresh(s, "feedback-buffer")
     f = spark_view(s, sf, "v_feedback").select("id", "ts", "text", "true_category",
                                                F.concat(F.lit("m"), F.col("user_id").cast("long") % 3).alias("model_name"))
-    out = st_feedback_buffer(_in_time_order(s, f, "feedback-in"), key="model_name", order=["ts", "id"])
+    files = max(4, -(-f.count() // FEEDBACK_ROWS))  # a task holds a micro-batch's rows of a key
+    out = st_feedback_buffer(_in_time_order(s, f, "feedback-in", files), key="model_name", order=["ts", "id"])
     q = (out.writeStream.format("parquet").option("path", os.path.join(base, "out"))
          .option("checkpointLocation", os.path.join(base, "_checkpoint")).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -371,9 +376,15 @@ def _in_time_order(s, df, name: str, files: int = 4):
     edges = df.agg(F.array(*[F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), (i + 1) / files, 10000)
                              for i in range(files - 1)]).alias("e")).first().e
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    for i in range(files):  # one write after another: the file source reads by modification time
-        part = df.where((at > edges[i - 1]) if i else F.lit(True)).where((at <= edges[i]) if i < files - 1 else F.lit(True))
-        part.coalesce(1).write.mode("append").parquet(stage)
+    parts = _fresh(s, f"{name}-parts")
+    edge = F.array(*[F.lit(e) for e in edges or []])
+    dealt = df.where(at.isNotNull()).withColumn("_part", F.size(F.filter(edge, lambda e: e < at)))
+    dealt.repartition(files, "_part").write.partitionBy("_part").parquet(parts)  # the input is read once, not once per file
+    there = [r["_part"] for r in s.read.parquet(parts).select("_part").distinct().orderBy("_part").collect()]
+    for i in there:  # one write after another: the file source reads by modification time
+        s.read.schema(df.schema).parquet(f"{parts}/_part={i}").coalesce(1).write.mode("append").parquet(stage)
+    if not there:
+        df.limit(0).coalesce(1).write.parquet(stage)
     return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(stage)
 
 

@@ -58,6 +58,8 @@ def st_count_or_timeout(stream: DataFrame, *, key: str, size: int = 10, timeout_
                                                      "NoTimeout" if timeout_seconds is None else "ProcessingTimeTimeout")
 
 
+#: Updates that a task gives at a time: their rows overlap, each stands in several of them.
+UPDATES = 1000
 FEEDBACK = StructType([StructField("recent", StringType()), StructField("pending", LongType()), StructField("updates", LongType())])
 UPDATE = "key string, update_no long, batch array<string>, recent array<string>"
 
@@ -94,10 +96,13 @@ def st_feedback_buffer(stream: DataFrame, *, key: str, frequency: int = 50, batc
         at = seen + frequency - pending  # rows held when the next update is due
         while at <= len(held):
             first = at - frequency
-            out.append((key[0], no + len(out), held[first:first + batch_size], held[max(0, at - window):at]))
-            at += batch_size
-        pending += len(held) - seen - len(out) * batch_size
-        state.update((json.dumps(held[-max(window, pending):]), pending, no + len(out)))
+            out.append((key[0], no, held[first:first + batch_size], held[max(0, at - window):at]))
+            at, pending, no = at + batch_size, pending - batch_size, no + 1
+            if len(out) == UPDATES:
+                yield pd.DataFrame(out, columns=["key", "update_no", "batch", "recent"])
+                out = []
+        pending += len(held) - seen
+        state.update((json.dumps(held[-max(window, pending):]), pending, no))
         if out:
             yield pd.DataFrame(out, columns=["key", "update_no", "batch", "recent"])
 
