@@ -52,3 +52,9 @@ def test_state_round_trip_and_small_inputs(spark, tmp_path):
     assert fit_sparse_pca(sparse_rows(empty), size=5, k=2).variance.tolist() == [0.0, 0.0]
     with pytest.raises(ValueError):
         fit_sparse_pca(rows, size=10 ** 6, k=100)
+
+
+def test_slice_is_filled_over_its_own_terms():
+    from ticketscope.operators.sparse_pca import filled
+    own, x = filled(np.array([0, 0, 2]), np.array([7, 2, 2]), np.array([1.0, 2.0, 3.0]), 3, 1000)
+    assert own.tolist() == [2, 7] and x.tolist() == [[2.0, 1.0], [0.0, 0.0], [3.0, 0.0]]

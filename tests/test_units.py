@@ -495,3 +495,22 @@ def test_rollback_joins_each_entry_once(spark):
     assert (r.version, r.creation_date.timestamp(), r.deployed_created.timestamp()) == ("1", 298.0, 299.0)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate") < plan.rindex("Join")  # one entry per deployed version meets the registry
+
+
+def test_classifier_reads_vectors_and_labels_only(spark, monkeypatch):
+    from ticketscope.operators import ml
+    seen, real = [], ml.make_classifier
+
+    class Spy:
+        def __init__(self, *a, **k):
+            self.own = real(*a, **k)
+
+        def fit(self, df):
+            seen.append(sorted(df.columns))
+            return self.own.fit(df)
+
+    monkeypatch.setattr(ml, "make_classifier", Spy)
+    df = spark.createDataFrame([(i, ("refund money", "login error")[i % 2], "ab"[i % 2]) for i in range(8)],
+                               "ticket_id long, customer_message string, category string")
+    ml.ml_train_pipeline(df, maxIter=2)
+    assert seen == [["features", "label"]]
