@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import glob
 import os
+import string
 import zipfile
 
 from pyspark.sql import Column
@@ -23,8 +24,9 @@ PHONE_RE = r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"
 WS_CLASS = r" \t\n\x0B\f\r"
 WS_RE = f"[{WS_CLASS}]+"
 NON_LETTER_RE = f"[^a-zA-Z{WS_CLASS}]"
-# same deletions, one replacement per run instead of per character
-NON_LETTER_RUN_RE = f"[^a-zA-Z{WS_CLASS}]+"
+# same deletions, one replacement per run instead of per character; Java looks
+# single characters up in a table, but tries the ranges of a class one by one
+NON_LETTER_RUN_RE = f"[^{string.ascii_letters}{WS_CLASS}]+"
 # whitespace runs that squeezing changes: any run holding a non-space
 # whitespace char, or two or more chars (a lone space is left alone)
 WS_CHANGE_RE = r"[\t\n\x0B\f\r][ \t\n\x0B\f\r]*| [ \t\n\x0B\f\r]+"

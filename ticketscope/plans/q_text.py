@@ -94,7 +94,7 @@ reg("txt_preprocess", _preprocess,
 def _lemma(s, sf):
     from ticketscope.operators.textproc import txt_lemma
     c = _clean(s, sf)
-    lemmas = (c.select(F.explode(T.words("clean")).alias("word")).distinct()
+    lemmas = (c.select(F.explode(F.array_distinct(F.split("clean", " "))).alias("word")).distinct()
               .where(F.col("word").endswith("s") & (F.length("word") > 3))
               .select("word", F.expr("substring(word, 1, length(word) - 1)").alias("lemma")))
     return txt_lemma(c, "clean", lemmas, id_col="ticket_id").select("ticket_id", "lemmatized")
