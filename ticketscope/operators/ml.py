@@ -16,7 +16,7 @@ from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, IndexT
                                 RegexTokenizer, StopWordsRemover, StringIndexer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketscope.functions.text import TOKEN2_RE, default_stopwords
@@ -44,16 +44,15 @@ def make_classifier(model_type: str, *, n_train: int | None = None, C: float = 1
     raise ValueError(f"unknown model type {model_type!r} (random_forest, logistic_regression, linear_svm)")
 
 
-def ml_train_pipeline(df: DataFrame, *, text_col: str = "customer_message", label_col: str = "category",
-                      model_type: str = "logistic_regression", max_features: int = 10000, C: float = 1.0,
-                      seed: int = 42, **params) -> PipelineModel:
-    """preprocess -> tokens -> stop words -> counts -> smooth IDF -> L2 -> classifier.
-
-    Returns a PipelineModel whose output has ``predicted_category``.
-    """
+def _training_texts(df: DataFrame, text_col: str, label_col: str, *keep: Column | str) -> DataFrame:
+    """Cleaned texts (``processed_text``) with words and a class, and the columns ``keep``; kept,
+    since every stage's fit reads the texts again."""
     d = txt_preprocess(df, text_col=text_col).where(F.length("processed_text") > 0)
-    # every stage's fit reads the texts again: cleaned once, without the other columns
-    d = materialize(d.where(F.col(label_col).isNotNull()).select(label_col, "processed_text"))
+    return materialize(d.where(F.col(label_col).isNotNull()).select(label_col, "processed_text", *keep))
+
+
+def _fit(d: DataFrame, label_col: str, model_type: str, max_features: int, C: float, seed: int, params: dict) -> PipelineModel:
+    """The pipeline of ``ml_train_pipeline`` over ``_training_texts``."""
     feats = Pipeline(stages=[
         StringIndexer(inputCol=label_col, outputCol="label", stringOrderType="alphabetAsc"),
         RegexTokenizer(inputCol="processed_text", outputCol="_tok", pattern=TOKEN2_RE, gaps=False),
@@ -76,6 +75,53 @@ def ml_train_pipeline(df: DataFrame, *, text_col: str = "customer_message", labe
     return PipelineModel(stages=stages + [clf, back])
 
 
+def ml_train_pipeline(df: DataFrame, *, text_col: str = "customer_message", label_col: str = "category",
+                      model_type: str = "logistic_regression", max_features: int = 10000, C: float = 1.0,
+                      seed: int = 42, **params) -> PipelineModel:
+    """preprocess -> tokens -> stop words -> counts -> smooth IDF -> L2 -> classifier.
+
+    Returns a PipelineModel whose output has ``predicted_category``.
+    """
+    return _fit(_training_texts(df, text_col, label_col), label_col, model_type, max_features, C, seed, params)
+
+
+#: The record that a training job saves beside its model.
+TRAINING_RECORD = ("model_type string, accuracy double, n long, training_samples long, validation_samples long, "
+                   "label_mapping array<string>, classification_report array<struct<class: string, precision: double, "
+                   "recall: double, support: long, f1: double>>")
+
+
+def ml_train_job(df: DataFrame, path: str, *, id_col: str, text_col: str = "customer_message", label_col: str = "category",
+                 model_type: str = "logistic_regression", max_features: int = 10000, C: float = 1.0, test: float = 0.2,
+                 val: float = 0.1, seed: int = 42, **params) -> DataFrame:
+    """preprocess -> stratified split -> vectorise and fit on the training part -> evaluate on the
+    test part -> save the model (``path``/model) with its record (``path``/info.json).
+
+    Returns the saved record, one row: ``accuracy`` and class report of the ``n`` test texts. Neither the
+    vocabulary nor the classifier sees a test or validation text; texts without words or class are in no part.
+    """
+    from ticketscope.operators.features import txt_stratified_split
+    from ticketscope.sources.sinks import export
+    d = _training_texts(df, text_col, label_col, F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"))
+    # ids may repeat: a text meets its part by its row; only ids are sorted
+    part = txt_stratified_split(d.select("_id", label_col, "_row"), id_col="_id", label_col=label_col, test=test, val=val,
+                                seed=seed).select("_row", "split")
+    d = materialize(d.join(part, "_row").select(label_col, "processed_text", "split"))
+    model = _fit(d.where("split = 'train'").drop("split"), label_col, model_type, max_features, C, seed, params)
+    scorer = PipelineModel(stages=model.stages[1:])  # without the class index
+    pred = materialize(scorer.transform(d.where("split = 'test'")).select(label_col, "predicted_category"))
+    columns = dict(label_col=label_col)
+    report = ev_class_report(pred, **columns).agg(F.array_sort(F.collect_list(F.struct("class", "precision", "recall", "support", "f1")))
+                                                  .alias("classification_report"))
+    sizes = d.agg(*[F.count_if(F.col("split") == s).alias(n) for s, n in (("train", "training_samples"), ("val", "validation_samples"))])
+    info = ev_accuracy(pred, **columns).crossJoin(sizes).crossJoin(report).select(  # one row each
+        F.lit(model_type).alias("model_type"), "accuracy", "n", "training_samples", "validation_samples",
+        F.array(*[F.lit(x) for x in model_labels(model)]).alias("label_mapping"), "classification_report")
+    model.write().overwrite().save(f"{path}/model")
+    export(info, f"{path}/info.json")
+    return df.sparkSession.read.schema(TRAINING_RECORD).json(f"{path}/info.json")
+
+
 def model_labels(model: PipelineModel) -> list[str]:
     return list(model.stages[-1].getLabels())
 

@@ -3,12 +3,15 @@ and model training / scoring / tuning / topic / PCA / clustering (rows-only)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ticketscope.operators import ml as ML
 from ticketscope.plans.fixtures import spark_view
 from ticketscope.plans.registry import Query
 from ticketscope.session import materialize
+from ticketscope.streaming.jobs import scratch
 
 Q = []
 OBJ = ["obj1", "obj2", "obj3"]
@@ -105,7 +108,15 @@ def _predict_batch(s, sf):
 
 
 reg("ml_predict_batch", _predict_batch)
-reg("ml_train_pipeline", lambda s, sf: ML.ev_accuracy(_scored("logistic_regression")(s, sf), label_col="category"))
+
+
+def _train_job(s, sf):
+    """Split, fit, evaluation on the test part, saved model and record."""
+    return ML.ml_train_job(_tickets(s, sf), scratch(s, f"io-train-{uuid.uuid4().hex}"), id_col="ticket_id",
+                           model_type="logistic_regression")
+
+
+reg("ml_train_pipeline", _train_job)
 
 
 def _cv(s, sf):
