@@ -36,3 +36,29 @@ def test_training_query_scores_texts_that_were_not_fitted(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     r = all_queries()["ml_train_pipeline"].spark(spark, str(tmp_path)).first()
     assert r.n == 18 and r.accuracy == pytest.approx(12 / 18)  # the larger class for all of them
+
+
+def test_cross_validation_reads_the_vectors_of_the_training(spark, tmp_path, monkeypatch):
+    from ticketscope.operators import ml as ML
+    from ticketscope.plans.registry import all_queries
+    rows = [(k, f"{('refund', 'crash')[k % 2]} own{chr(97 + k)}", ("en", "de")[k % 2], "web") for k in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    monkeypatch.setattr(ML, "tune_cross_validate", lambda prepared, *a, **k: seen.append(prepared) or prepared.select("label"))
+    all_queries()["tune_cross_validate"].spark(spark, str(tmp_path))
+    assert sorted(seen[0].columns) == ["features", "label"] and seen[0].count() == 20
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "split(" not in plan and "text" not in plan  # texts are neither cleaned nor tokenised again
+
+
+def test_vectors_equal_the_stages_of_the_model(spark):
+    """Tokens for the fit are split at blanks; the fitted stages read the cleaned text by their own patterns."""
+    from ticketscope.operators import ml as ML
+    from ticketscope.operators.textproc import txt_preprocess
+    texts = ["Refund REFUND, the money! a b c", "İstanbul crash error http://x.y z", "x", "não crash 12 error's", "money  money\tcrash",
+             "the and", "refund a@b.c late"]
+    df = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate(texts * 2)], "ticket_id long, customer_message string, category string")
+    model, prepared = ML.ml_train_vectors(df, maxIter=3)
+    own = PipelineModel(stages=model.stages[:-2]).transform(txt_preprocess(df).where("length(processed_text) > 0"))
+    key = lambda rows: sorted((r.label, str(r.features)) for r in rows)
+    assert key(prepared.collect()) == key(own.select("label", "features").collect()) and prepared.count() > 8

@@ -11,7 +11,7 @@ from __future__ import annotations
 import itertools
 import json
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, IndexToString, Normalizer,
                                 RegexTokenizer, StopWordsRemover, StringIndexer)
 from pyspark.ml.functions import vector_to_array
@@ -51,38 +51,41 @@ def _training_texts(df: DataFrame, text_col: str, label_col: str, *keep: Column
     return materialize(d.where(F.col(label_col).isNotNull()).select(label_col, "processed_text", *keep))
 
 
-def _fit(d: DataFrame, label_col: str, model_type: str, max_features: int, C: float, seed: int, params: dict) -> PipelineModel:
-    """The pipeline of ``ml_train_pipeline`` over ``_training_texts``."""
-    feats = Pipeline(stages=[
-        StringIndexer(inputCol=label_col, outputCol="label", stringOrderType="alphabetAsc"),
-        RegexTokenizer(inputCol="processed_text", outputCol="_tok", pattern=TOKEN2_RE, gaps=False),
-        StopWordsRemover(inputCol="_tok", outputCol="_tok2", stopWords=list(default_stopwords())),
-        CountVectorizer(inputCol="_tok2", outputCol="_tf", vocabSize=max_features),
-        IDF(inputCol="_tf", outputCol="_idf0"),
-    ]).fit(d)
-    idf_model = feats.stages[-1]
+def _fit(d: DataFrame, label_col: str, model_type: str, max_features: int, C: float, seed: int,
+         params: dict) -> tuple[PipelineModel, DataFrame]:
+    """The pipeline of ``ml_train_pipeline`` over ``_training_texts``, and their kept vectors (``label``, ``features``)."""
+    indexer = StringIndexer(inputCol=label_col, outputCol="label", stringOrderType="alphabetAsc").fit(d)
+    split = RegexTokenizer(inputCol="processed_text", outputCol="_tok", pattern=TOKEN2_RE, gaps=False)
+    stop = StopWordsRemover(inputCol="_tok", outputCol="_tok2", stopWords=list(default_stopwords()))
+    # what these two stages make of a cleaned text, that is of letters and single blanks without stop words
+    toks = F.filter(F.split("processed_text", " "), lambda w: F.length(w) >= 2)
+    d = indexer.transform(d).select("label", toks.alias("_tok2"))
+    counts = CountVectorizer(inputCol="_tok2", outputCol="_tf", vocabSize=max_features).fit(d)
+    # counted once: the weights and the classifier's passes read vectors and labels only, not texts and tokens
+    tf = materialize(counts.transform(d).select("label", "_tf"))
+    idf_model = IDF(inputCol="_tf", outputCol="_idf0").fit(tf)
     plus_one = ElementwiseProduct(inputCol="_tf", outputCol="_tfidf",
                                   scalingVec=Vectors.dense([v + 1.0 for v in idf_model.idf.toArray()]))
     norm = Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)
-    stages = list(feats.stages[:-1]) + [plus_one, norm]
-    # the classifier's passes read vectors and labels only, not texts and tokens beside them
-    prepared = PipelineModel(stages=stages).transform(d).select("label", "features").cache()
-    n = prepared.count()
-    clf = make_classifier(model_type, n_train=n, C=C, seed=seed, **params).fit(prepared)
-    prepared.unpersist()
-    labels = feats.stages[0].labelsArray[0]
-    back = IndexToString(inputCol="prediction", outputCol="predicted_category", labels=list(labels))
-    return PipelineModel(stages=stages + [clf, back])
+    prepared = norm.transform(plus_one.transform(tf)).select("label", "features")
+    clf = make_classifier(model_type, n_train=tf.count(), C=C, seed=seed, **params).fit(prepared)
+    back = IndexToString(inputCol="prediction", outputCol="predicted_category", labels=list(indexer.labelsArray[0]))
+    return PipelineModel(stages=[indexer, split, stop, counts, plus_one, norm, clf, back]), prepared
+
 
+def ml_train_vectors(df: DataFrame, *, text_col: str = "customer_message", label_col: str = "category",
+                     model_type: str = "logistic_regression", max_features: int = 10000, C: float = 1.0,
+                     seed: int = 42, **params) -> tuple[PipelineModel, DataFrame]:
+    """``ml_train_pipeline`` and the vectors (``label``, ``features``) it was fitted on."""
+    return _fit(_training_texts(df, text_col, label_col), label_col, model_type, max_features, C, seed, params)
 
-def ml_train_pipeline(df: DataFrame, *, text_col: str = "customer_message", label_col: str = "category",
-                      model_type: str = "logistic_regression", max_features: int = 10000, C: float = 1.0,
-                      seed: int = 42, **params) -> PipelineModel:
+
+def ml_train_pipeline(df: DataFrame, **args) -> PipelineModel:
     """preprocess -> tokens -> stop words -> counts -> smooth IDF -> L2 -> classifier.
 
-    Returns a PipelineModel whose output has ``predicted_category``.
+    Returns a PipelineModel whose output has ``predicted_category``; arguments as of ``ml_train_vectors``.
     """
-    return _fit(_training_texts(df, text_col, label_col), label_col, model_type, max_features, C, seed, params)
+    return ml_train_vectors(df, **args)[0]
 
 
 #: The record that a training job saves beside its model.
@@ -107,7 +110,7 @@ def ml_train_job(df: DataFrame, path: str, *, id_col: str, text_col: str = "cust
     part = txt_stratified_split(d.select("_id", label_col, "_row"), id_col="_id", label_col=label_col, test=test, val=val,
                                 seed=seed).select("_row", "split")
     d = materialize(d.join(part, "_row").select(label_col, "processed_text", "split"))
-    model = _fit(d.where("split = 'train'").drop("split"), label_col, model_type, max_features, C, seed, params)
+    model, _ = _fit(d.where("split = 'train'").drop("split"), label_col, model_type, max_features, C, seed, params)
     scorer = PipelineModel(stages=model.stages[1:])  # without the class index
     pred = materialize(scorer.transform(d.where("split = 'test'")).select(label_col, "predicted_category"))
     columns = dict(label_col=label_col)

@@ -120,12 +120,8 @@ reg("ml_train_pipeline", _train_job)
 
 
 def _cv(s, sf):
-    from pyspark.ml import PipelineModel
-    m = _model(s, sf, "logistic_regression")
-    feats = PipelineModel(stages=m.stages[:-2])
-    from ticketscope.operators.textproc import txt_preprocess
-    prepared = feats.transform(txt_preprocess(_tickets(s, sf)).where(F.length("processed_text") > 0)).select(
-        "features", "label")
+    # the vectors that the pipeline was fitted on: texts are cleaned and counted once
+    _, prepared = ML.ml_train_vectors(_tickets(s, sf), model_type="logistic_regression", max_features=10000)
     grid = [{"C": 0.1, "max_iter": 100}, {"C": 1, "max_iter": 100}, {"C": 10, "max_iter": 100}]
     return ML.tune_cross_validate(prepared, "logistic_regression", grid, folds=3)
 
