@@ -3,6 +3,10 @@ plain-text attachments."""
 
 from __future__ import annotations
 
+import os
+from typing import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -88,6 +92,80 @@ def src_validate_schema(df: DataFrame, required=REQUIRED) -> DataFrame:
 TEXT_EXTENSIONS = [".txt", ".log", ".csv", ".json", ".xml", ".html"]
 
 
+#: Names or bytes of contents that a task hands on at a time (a single file may have more).
+LISTED, READ_BYTES = 10_000, 1 << 24
+
+
+def _entries(folder: str) -> Iterator[os.DirEntry]:
+    """What Spark's readers list of a folder: no hidden names, and ``_`` only before a partition's name."""
+    with os.scandir(folder) as found:
+        for e in found:
+            if not (e.name.startswith(".") or e.name.endswith("._COPYING_") or (e.name.startswith("_") and "=" not in e.name)):
+                yield e
+
+
+def _files(path: str) -> Iterator[str]:
+    if not os.path.isdir(path):
+        yield path
+        return
+    for e in _entries(path):
+        yield from _files(e.path) if e.is_dir() else (e.path,)
+
+
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder's name on a file system that tasks can open, or None."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def _folder_contents(spark: SparkSession, folder: str, extensions: list[str]) -> DataFrame:
+    """(path, content) of a local folder's files with one of the extensions, like ``binaryFile`` with all
+    subfolders. A task hands on the names in the folder, the others list what lies below and read it, so no
+    list of files is ever whole in the driver or a task."""
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for top in batch.column(0).to_pylist():
+                held: list[str] = []
+                for e in _entries(top):
+                    held.append(e.path)
+                    if len(held) == LISTED:
+                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["at"])
+                        held = []
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["at"])
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths: list[str] = []
+        held: list[bytes] = []
+        n = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(held, pa.binary())], names=["path", "content"])
+
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                for path in _files(at):
+                    if not path.lower().endswith(tuple(extensions)):
+                        continue
+                    with open(path, "rb") as f:
+                        content = f.read()
+                    if not content:  # binaryFile has no row of an empty file
+                        continue
+                    held.append(content)
+                    paths.append(f"file:{path}")
+                    n += len(content)
+                    if n >= READ_BYTES or len(held) == LISTED:
+                        yield out()
+                        paths, held, n = [], [], 0
+        if held:
+            yield out()
+
+    top = spark.createDataFrame([(folder,)], "at string").mapInArrow(names, "at string")
+    return top.repartition(parts, "at").mapInArrow(contents, "path string, content binary")
+
+
 def src_text_attachments(spark: SparkSession, path_glob: str, *, ticket_of: Column | None = None,
                          max_chars: int | None = None, max_docs: int | None = None) -> DataFrame:
     """Read plain-text attachments with ``binaryFile``; one row per ticket.
@@ -97,10 +175,15 @@ def src_text_attachments(spark: SparkSession, path_glob: str, *, ticket_of: Colu
     path) per ticket; by default nothing is cut. Texts joined by a blank line, mean confidence.
     ``ticket_of`` maps the file path to a ticket id (default: parent folder).
     A folder (a path without glob characters) is read with all its subfolders:
-    they are listed by tasks, whereas the driver resolves a glob alone.
+    on a file system that tasks can open they are listed and read by tasks, and the driver
+    holds no list of files; elsewhere, and for a glob, the driver holds the list.
     """
     folder = not any(c in path_glob for c in "*?[{")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", folder).load(path_glob)
+    local = _local_folder(spark, path_glob) if folder else None
+    if local is not None and os.path.isdir(local):
+        raw = _folder_contents(spark, local, TEXT_EXTENSIONS)
+    else:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", folder).load(path_glob).select("path", "content")
     ext_ok = F.exists(F.array(*[F.lit(e) for e in TEXT_EXTENSIONS]),
                       lambda e: F.lower(F.col("path")).endswith(e))
     raw = raw.where(ext_ok)
