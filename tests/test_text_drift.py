@@ -89,3 +89,24 @@ def test_reference_state_round_trip(spark, tmp_path):
     again = TextReference.load(spark, str(tmp_path / "ref"))
     a, b = ({x.id: x.features for x in text_features(ref, f, id_col="id", text_col="text").collect()} for f in (fitted, again))
     assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+
+
+def test_domain_classifier_reads_its_odds_by_position(spark):
+    """A map of features x bins entries would be searched for every feature of every row."""
+    import re
+    r = random.Random(6)
+    names = [f"f{i}" for i in range(30)]
+    ref = [(i, tuple(r.gauss(0, 1) for _ in names)) for i in range(40)]
+    cur = [(i, tuple(None if j == 3 else r.gauss(j == 7, 1) for j in range(30))) for i in range(25)]
+    frame = lambda rows: spark.createDataFrame([(i, *x) for i, x in rows], "id long, " + ", ".join(f"{n} double" for n in names))
+    out = D.drift_domain_classifier(frame(ref), frame(cur), names)
+    assert out.first().auc == pytest.approx(plain_auc(ref, cur, D.DOMAIN_BINS, D.DOMAIN_GRID), abs=1e-9)
+    long = []
+    real = D.running_totals
+    try:
+        D.running_totals = lambda df, **k: long.append(df) or real(df, **k)
+        D.drift_domain_classifier(frame(ref), frame(cur), names)
+    finally:
+        D.running_totals = real
+    plan = long[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"element_at\(m#\d+, (named_)?struct", plan)

@@ -222,12 +222,15 @@ def drift_domain_classifier(ref: DataFrame, cur: DataFrame, features: list[str],
         F.sum(F.when(F.col("sample") == "cur", F.col("c")).otherwise(0)).alias("c"))
     odds = F.ln((F.col("c") + 1.0) / (F.col("n_cur") + DOMAIN_BINS)) - F.ln((F.col("r") + 1.0) / (F.col("n_ref") + DOMAIN_BINS))
     learned = seen.join(F.broadcast(n), "half").select(
-        (1 - F.col("half")).alias("half"), F.struct("feature", "bin").alias("k"),
-        F.round(odds * DOMAIN_GRID).cast("long").alias("v"))
-    tables = learned.groupBy("half").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
-    # the two maps hold features x bins entries: bounded, broadcast
+        (1 - F.col("half")).alias("half"), "feature", "bin", F.round(odds * DOMAIN_GRID).cast("long").alias("v"))
+    # per half an array over features of arrays over bins: read by position, a map would be searched for every feature of every row
+    by_bin = learned.groupBy("half", "feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "v"))).alias("m")).select(
+        "half", "feature", F.transform(F.sequence(F.lit(-1), F.lit(DOMAIN_BINS - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0).cast("long"))).alias("of"))
+    tables = by_bin.groupBy("half").agg(F.map_from_entries(F.collect_list(F.struct("feature", "of"))).alias("f")).select(
+        "half", F.transform(F.sequence(F.lit(0), F.lit(len(features) - 1)), lambda i: F.element_at("f", i)).alias("v"))
+    # two rows of features x bins numbers: bounded, broadcast; a half that learned nothing gives zeros
     scored = cells.join(F.broadcast(tables), "half", "left").withColumn("score", F.aggregate(
-        F.transform("bins", lambda b, i: F.coalesce(F.element_at("m", F.struct(i.alias("feature"), b.alias("bin"))), F.lit(0).cast("long"))),
+        F.transform("bins", lambda b, i: F.coalesce(F.get(F.get("v", i), b + 1), F.lit(0).cast("long"))),
         F.lit(0).cast("long"), lambda a, v: a + v))
     by_score = scored.groupBy("score").agg(F.sum(F.when(F.col("sample") == "ref", F.col("c")).otherwise(0)).cast("double").alias("c_ref"),
                                            F.sum(F.when(F.col("sample") == "cur", F.col("c")).otherwise(0)).cast("double").alias("c_cur"))
