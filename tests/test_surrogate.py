@@ -20,6 +20,15 @@ def test_weights_equal_least_squares():
     assert not surrogate_weights(masks, np.full(5, 0.3)).any()
 
 
+def test_factored_solve():
+    from ticketscope.operators.surrogate import BLOCK, factored_solve
+    r = np.random.default_rng(2)
+    for n in (1, 2, BLOCK - 1, BLOCK, BLOCK + 1, 3 * BLOCK, 3 * BLOCK + 5):
+        a = r.random((n, n + 40))
+        b = r.random(n)
+        assert factored_solve(np.linalg.cholesky(a @ a.T), b) == pytest.approx(np.linalg.solve(a @ a.T, b), rel=1e-7)
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     from ticketscope.operators import ml as ML
@@ -51,6 +60,20 @@ def test_masks_score_like_kept_tokens(spark, model):
         assert new == pytest.approx(old, rel=1e-6, abs=1e-9) and {d for d, _ in new} == {1, 2, 4, 7}
 
 
+def test_masks_are_sparks_hashes(spark):
+    """A task hashes all samples of a document's words itself, to the bit as Spark does."""
+    from ticketscope.operators.surrogate import dropped
+    words = ["", None, "é", "\U0001F600x", *["abcdefghij" * 9][0:1], *[("qwertyuiop" * 10)[:k] for k in range(1, 101)], *[f"w{k}" for k in range(150)]]
+    rows = [(i, k, w) for i in (None, -5, 12345678901) for k, w in enumerate(words)]
+    bits = [F.xxhash64("id", F.lit(s), "w", F.lit(42)).bitwiseAND(F.lit(1)).alias(f"s{s}") for s in (1, 2, 77, 130)]
+    got = spark.createDataFrame(rows, "id long, k int, w string").select("id", "k", F.xxhash64("id").alias("start"), *bits).collect()
+    for i in (None, -5, 12345678901):
+        own = sorted((r for r in got if r.id == i), key=lambda r: r.k)
+        d = dropped(own[0].start, words, 130, 42)
+        assert d.shape == (len(words), 130) and 0.45 < d.mean() < 0.55
+        assert [[r.s1, r.s2, r.s77, r.s130] for r in own] == d[:, [0, 1, 76, 129]].tolist()
+
+
 def test_surrogates_of_repeated_ids_and_batches(spark, model):
     from ticketscope.operators.counterfactual import LinearText
     from ticketscope.operators.explain import ex_local_surrogate
