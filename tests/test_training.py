@@ -62,3 +62,14 @@ def test_vectors_equal_the_stages_of_the_model(spark):
     own = PipelineModel(stages=model.stages[:-2]).transform(txt_preprocess(df).where("length(processed_text) > 0"))
     key = lambda rows: sorted((r.label, str(r.features)) for r in rows)
     assert key(prepared.collect()) == key(own.select("label", "features").collect()) and prepared.count() > 8
+
+
+def test_training_texts_are_cleaned_once(spark, monkeypatch):
+    """A filter on the cleaned text must not clean it a second time."""
+    from ticketscope.operators import ml as ML
+    seen, real = [], ML.materialize
+    monkeypatch.setattr(ML, "materialize", lambda df: seen.append(df) or real(df))
+    d = ML._training_texts(tickets(spark, 6), "customer_message", "category")
+    assert d.count() == 6 and d.columns == ["category", "processed_text"]
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join(") == 1
