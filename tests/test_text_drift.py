@@ -110,3 +110,11 @@ def test_domain_classifier_reads_its_odds_by_position(spark):
         D.running_totals = real
     plan = long[0]._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"element_at\(m#\d+, (named_)?struct", plan)
+
+
+def test_reference_texts_are_tokenised_once(spark, monkeypatch):
+    from ticketscope.operators import text_drift as T
+    seen, real = [], T.documents_tokens
+    monkeypatch.setattr(T, "documents_tokens", lambda df, **k: seen.append(df) or real(df, **k))
+    T.fit_text_reference(samples(spark, "alpha beta gamma".split(), 20, 5), id_col="id", text_col="text", max_features=10, k=2)
+    assert len(seen) == 1

@@ -32,9 +32,8 @@ class TextReference:
         return TextReference(spark.read.parquet(f"{path}/vocabulary"), SparsePca.load(spark, f"{path}/components"))
 
 
-def _weights(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Unit-length TF-IDF rows (id, idx, val) of the documents (id, t) with a known term."""
-    toks = documents_tokens(docs, id_col="id", text_col="t")
+def _weights(toks: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Unit-length TF-IDF rows (id, idx, val) of tokenised documents with a known term."""
     return vocabulary_rows(toks, vocabulary, "idf").select(F.col("doc_id").alias("id"), "idx", "val")
 
 
@@ -43,9 +42,10 @@ def fit_text_reference(df: DataFrame, *, id_col: str, text_col: str, max_feature
     """Vocabulary and components of the reference texts (null texts count as empty)."""
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
     n = docs.count()
-    fitted = fit_vocabulary(documents_tokens(docs, id_col="id", text_col="t"), ngram_range=ngram_range, max_features=max_features)
+    toks = documents_tokens(docs, id_col="id", text_col="t")  # kept: read for the vocabulary and for the rows
+    fitted = fit_vocabulary(toks, ngram_range=ngram_range, max_features=max_features)
     vocabulary = materialize(fitted.select("term", "index", smooth_idf(n).alias("idf")))
-    rows = materialize(_weights(docs, vocabulary))
+    rows = materialize(_weights(toks, vocabulary))
     return TextReference(vocabulary, fit_sparse_pca(rows, size=max(1, vocabulary.count()), k=k, n=n))
 
 
@@ -54,7 +54,7 @@ def text_features(df: DataFrame, ref: TextReference, *, id_col: str, text_col: s
     deviation in the reference (1 where that is 0). Texts without a known term
     are the zero vector's image; one row per id."""
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
-    rows = _weights(docs, ref.vocabulary)
+    rows = _weights(documents_tokens(docs, id_col="id", text_col="t"), ref.vocabulary)
     none = F.array().cast("array<int>"), F.array().cast("array<double>")
     full = docs.select("id").join(rows, "id", "left").select(
         "id", F.coalesce("idx", none[0]).alias("idx"), F.coalesce("val", none[1]).alias("val"))
